@@ -1,4 +1,12 @@
-"""Registered queries: operators applied to whole tables."""
+"""Registered queries: operators applied to whole tables, with equivalent SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import land, rain
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**rain.QUERIES, **land.QUERIES}
+ORACLE_SQL: dict[str, str] = {**rain.ORACLE_SQL, **land.ORACLE_SQL}

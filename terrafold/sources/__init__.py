@@ -1 +1,82 @@
-"""Readers and writers."""
+"""Readers and writers. Schemas are fixed; nothing is inferred."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import decimal_comma
+
+#: Header lines of a station file, in their order; and the fields of its rows. Fixed values.
+FACTS = ("regiao", "uf", "estacao", "code_wmo", "lat", "long", "alt", "data")
+MEASURES = (
+    "prep_mm", "pres_mb", "pres_max_mb", "pres_min_mb", "rad_wm2", "temp_bulbo_c", "temp_pont_orv_c", "temp_max_c", "temp_min_c", "temp_orv_max_c", "temp_orv_min_c",
+    "umid_max_p", "umid_min_p", "umid_p", "vent_dir_g", "vent_max_ms", "vent_vel_ms",
+)
+
+
+def reading_fields(line) -> list:
+    """The fields of a row of a station file, decimal commas as points; short rows end in nulls, long ones are cut."""
+    parts = F.split(line, ";")
+    return [decimal_comma(F.get(parts, F.lit(i))).alias(name) for i, name in enumerate(("data", "hora", *MEASURES))]
+
+
+def read_station_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Stations and readings of a directory of *.CSV files: eight lines of facts, a header line, then hourly rows.
+
+    Each file is read whole, since a line's place in its file matters; files are the unit of work.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.CSV").load(path)
+    stem = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
+    lines = F.split(F.decode("content", F.lit("ISO-8859-1")), r"\r?\n")
+    files = files.select(stem.alias("source"), lines.alias("lines"))
+    fact = {name: decimal_comma(F.get(F.split(F.get("lines", F.lit(i)), ";"), F.lit(1))) for i, name in enumerate(FACTS)}
+    kinds = {"lat": "double", "long": "double", "alt": "double"}
+    year = F.regexp_extract("source", r"([^_-]*)$", 1).try_cast("int")
+    stations = files.select("source", year.alias("source_ano"), *[(c.try_cast(kinds[n]) if n in kinds else c).alias(n) for n, c in fact.items()])
+    rows = files.select("source", fact["code_wmo"].alias("code_wmo"), F.posexplode("lines").alias("pos", "line")).where((F.col("pos") > 8) & (F.trim("line") != ""))
+    return stations, rows.select("source", "code_wmo", *reading_fields(F.col("line")))
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """Points of an `id;lat;long` file with a header."""
+    return spark.read.schema("id string, lat double, long double").option("sep", ";").option("header", True).csv(path)
+
+
+def read_band_csvs(spark: SparkSession, path: str, bands: tuple[str, ...] = ("AW3D30", "NASADEM")) -> DataFrame:
+    """Stacked bands of the CSV files of a directory, first lines skipped, with each file's stem as name."""
+    rows = spark.read.schema(", ".join(f"{b} int" for b in bands)).option("header", True).option("enforceSchema", True).csv(path)
+    return rows.withColumn("name", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1))
+
+
+def read_text_grid(spark: SparkSession, path: str, longitudes: int) -> DataFrame:
+    """lon, lat, height of text grids: six header numbers, then values in blocks; lines under four characters are empty."""
+    from ..operators.pixels import unflatten_grid
+
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("grid"), F.split("value", r"\r?\n").alias("lines"))
+    text = text.select("grid", F.filter("lines", lambda x: F.length(F.trim(x)) >= 4).alias("lines"))
+    numbers = lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != "")
+    head = numbers(F.element_at("lines", 1))
+    header = [F.element_at(head, i + 1).cast("double").alias(n) for i, n in enumerate(("south", "north", "west", "east", "n_s", "e_w"))]
+    values = F.transform(numbers(F.array_join(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))), " ")), lambda x: x.cast("double"))
+    return unflatten_grid(text.select("grid", *header, F.posexplode(values).alias("pos", "height")), longitudes)
+
+
+def pixels_from_parquet(spark: SparkSession, path: str, nodata: float | None) -> DataFrame:
+    """A pixel table with nodata and NaN as nulls."""
+    from ..operators.pixels import nodata_to_null
+
+    return nodata_to_null(spark.read.parquet(path), "value", nodata)
+
+
+def write_delimited(df: DataFrame, path: str, sep: str = ";") -> None:
+    df.write.mode("overwrite").option("sep", sep).option("header", True).csv(path)
+
+
+def save(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Register df as a view, materialised as Parquet first if a path is given."""
+    if path:
+        df.write.mode("overwrite").parquet(path)
+        df = df.sparkSession.read.schema(df.schema).parquet(path)
+    df.createOrReplaceTempView(name)
+    return df
