@@ -24,7 +24,7 @@ NO_PAIR = np.int32(2**31 - 1)
 #: Pieces of up to so many bytes are merged together.
 TOGETHER = 64
 #: Chunks that a Python worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 class Merges:
