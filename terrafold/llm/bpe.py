@@ -261,7 +261,7 @@ def decoded_text(df: DataFrame, ids: str = "ids", out: str = "decoded", vocabula
     @F.pandas_udf("binary")
     def run(arrays: pd.Series) -> pd.Series:
         merges = loaded(lines.value)
-        return pd.Series([None if a is None else merges.decode(a.tolist()) for a in arrays])
+        return pd.Series([None if a is None else merges.decode(list(a)) for a in arrays])
 
     return df.withColumn(out, run(F.col(ids)))
 
