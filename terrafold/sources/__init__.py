@@ -28,7 +28,7 @@ def read_station_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.CSV").load(path)
     stem = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
-    lines = F.split(F.decode("content", F.lit("ISO-8859-1")), r"\r?\n")
+    lines = F.split(F.decode("content", "ISO-8859-1"), r"\r?\n")
     files = files.select(stem.alias("source"), lines.alias("lines"))
     fact = {name: decimal_comma(F.get(F.split(F.get("lines", F.lit(i)), ";"), F.lit(1))) for i, name in enumerate(FACTS)}
     kinds = {"lat": "double", "long": "double", "alt": "double"}
