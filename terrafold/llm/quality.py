@@ -6,20 +6,31 @@ probability, hence the expected grade and the probability of a grade or better.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, hashed
+from .common import fresh, hashed, mixed
 from .linear import Rows, ordinal, sigmoid
 
-#: Features by block: words without their case and marks, their last letters, their shapes; and a few of the document.
-WORDS, ENDS, SHAPES, WHOLE = 1 << 16, 1 << 12, 1 << 12, 64
-WIDTH = WORDS + ENDS + SHAPES + WHOLE
+#: Features by block: words without their case and marks, their last letters, their shapes; a few of the document; and
+#: which words and beginnings of words a document has at all, however long it is.
+WORDS, ENDS, SHAPES, WHOLE, PRESENT = 1 << 16, 1 << 12, 1 << 12, 64, 1 << 18
+COUNTED = WORDS + ENDS + SHAPES + WHOLE
+WIDTH = COUNTED + PRESENT
+#: Beginnings of so many bytes.
+BEGINNINGS = (4, 5)
+#: Presence counts for the model where the sample's documents of one grade have it so many standard errors more often
+#: than those of the better grades.
+SURE = 5.0
 #: The fit uses about so many labelled rows, chosen by a hash of doc_id.
 ROWS = 6000
 GRADES = 3
+#: The value of what is present.
+PRESENCE = 0.25
 #: A feature gets a weight if so many of the sampled documents have it.
 LEAST_DOCUMENTS = 5
 #: A document is kept when the probability of the best grade is at least this.
@@ -48,21 +59,22 @@ def _parts(data: bytes):
         at = end
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and values of a whole text. In each block the values are square roots of shares, so the length of a text
-    doesn't matter. Null and empty texts have the features of no words."""
-    counts = np.zeros(WORDS + ENDS + SHAPES)
-    total, plain_total = 0, 0
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns and values of what is counted in a whole text, and columns of what is present in it. In each counted block
+    the values are square roots of shares, so the length of a text doesn't matter. Null and empty texts have the features
+    of no words."""
+    plain, shapes = Counter(), Counter()
     for part in _parts((text or "").encode()):
-        plain = part.translate(_PLAIN).split()
-        shapes = part.translate(_SHAPE).split()
-        total, plain_total = total + len(shapes), plain_total + len(plain)
-        w = (hashed(plain) % np.uint64(WORDS)).astype(np.int64)
-        e = (hashed([x[-3:] for x in plain]) % np.uint64(ENDS)).astype(np.int64)
-        s = (hashed([x[-4:] for x in shapes]) % np.uint64(SHAPES)).astype(np.int64)
-        counts += np.bincount(np.concatenate([w, WORDS + e, WORDS + ENDS + s]), minlength=len(counts))
-    columns = np.flatnonzero(counts)
-    found = counts[columns]
+        plain.update(part.translate(_PLAIN).split())
+        shapes.update([x[-4:] for x in part.translate(_SHAPE).split()])
+    words, kinds = hashed(list(plain)), hashed(list(shapes))
+    ends = Counter()
+    for x, times in plain.items():
+        ends[x[-3:]] += times
+    total, plain_total = shapes.total(), plain.total()
+    places = np.concatenate([words % np.uint64(WORDS), WORDS + hashed(list(ends)) % np.uint64(ENDS), WORDS + ENDS + kinds % np.uint64(SHAPES)]).astype(np.int64)
+    columns, at = np.unique(places, return_inverse=True)
+    found = np.bincount(at, [*plain.values(), *ends.values(), *shapes.values()], minlength=len(columns))
     of = np.where(columns < WORDS + ENDS, max(1, plain_total), max(1, total))
     values = np.sqrt(found / of)
     distinct = int((columns < WORDS).sum())
@@ -74,7 +86,24 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         base + 32 + min(15, int(16 * most / max(1, plain_total))),
         base + 48 + min(15, int(8 * plain_total / max(1, total))),
     ]
-    return np.concatenate([columns, whole]).astype(np.int32), np.concatenate([values, np.full(4, 0.25)]).astype(np.float32)
+    begun = [k for x in plain if len(x) > BEGINNINGS[0] for k in (x[: BEGINNINGS[0]], x[: BEGINNINGS[1]])]
+    seen = np.concatenate([mixed(words), hashed(list(set(begun)))])
+    present = COUNTED + np.unique((seen % np.uint64(PRESENT)).astype(np.int64))
+    return np.concatenate([columns, whole]).astype(np.int32), np.concatenate([values, np.full(4, 0.25)]).astype(np.float32), present.astype(np.int32)
+
+
+def telling(present: list[np.ndarray], grades: np.ndarray) -> np.ndarray:
+    """By column, whether its presence tells a grade from the better ones (SURE)."""
+    out = np.zeros(WIDTH, bool)
+    have = [np.bincount(np.concatenate([p for p, g in zip(present, grades, strict=True) if g == k] or [np.zeros(0, int)]), minlength=WIDTH) for k in range(GRADES)]
+    for k in range(GRADES - 1):
+        n, n_better = int((grades == k).sum()), int((grades > k).sum())
+        if n and n_better:
+            a, b = have[k], np.sum(have[k + 1 :], axis=0)
+            share = (a + b) / (n + n_better)
+            error = np.sqrt(np.maximum(share * (1 - share) * (1 / n + 1 / n_better), 1e-12))
+            out |= (a / n - b / n_better > SURE * error) & (a + b >= LEAST_DOCUMENTS)
+    return out
 
 
 class Grader:
@@ -85,8 +114,8 @@ class Grader:
         """By text, the probabilities of more than each grade but the last."""
         score = np.zeros(len(texts))
         for i, t in enumerate(texts):
-            columns, values = features(t)
-            score[i] = float(self.weights[columns] @ values)
+            columns, values, present = features(t)
+            score[i] = float(self.weights[columns] @ values) + float(self.weights[present].sum()) * PRESENCE
         return sigmoid(score[:, None] - self.thresholds)
 
 
@@ -103,19 +132,29 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Grader | None:
     draw = F.pmod(F.xxhash64(F.lit("grade"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     chosen = graded.where(draw <= min(1.0, rows / n)).groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
-    @F.pandas_udf("columns binary, values binary")
+    @F.pandas_udf("columns binary, values binary, present binary")
     def of(texts: pd.Series) -> pd.DataFrame:
         got = [features(t) for t in texts]
-        return pd.DataFrame({"columns": [c.tobytes() for c, _ in got], "values": [v.astype(np.float16).tobytes() for _, v in got]})
+        return pd.DataFrame({"columns": [c.tobytes() for c, _, _ in got], "values": [v.astype(np.float16).tobytes() for _, v, _ in got], "present": [p.tobytes() for _, _, p in got]})
 
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", of("text").alias("x"))
     got = sorted(sample.collect(), key=lambda r: (r["doc_id"], bytes(r["x"]["columns"])))
     if not got:
         return None
-    columns, values = ([np.frombuffer(r["x"][c], kind) for r in got] for c, kind in (("columns", np.int32), ("values", np.float16)))
-    often = np.bincount(np.concatenate(columns), minlength=WIDTH) >= min(LEAST_DOCUMENTS, len(got))
-    x = Rows([c[often[c]] for c in columns], [v[often[c]] for c, v in zip(columns, values, strict=True)])
-    return Grader(*ordinal(x, np.array([r["grade"] for r in got]), GRADES, WIDTH))
+    columns, values, present = ([np.frombuffer(r["x"][c], kind) for r in got] for c, kind in (("columns", np.int32), ("values", np.float16), ("present", np.int32)))
+    return learned(columns, values, present, np.array([r["grade"] for r in got]))
+
+
+def learned(columns: list[np.ndarray], values: list[np.ndarray], present: list[np.ndarray], grades: np.ndarray) -> Grader:
+    """The model of rows' features and grades."""
+    often = np.bincount(np.concatenate(columns), minlength=WIDTH) >= min(LEAST_DOCUMENTS, len(columns))
+    tells = telling(present, grades)
+    x, v = [], []
+    for c, of, p in zip(columns, values, present, strict=True):
+        p = p[tells[p]]
+        x.append(np.concatenate([c[often[c]], p]))
+        v.append(np.concatenate([of[often[c]], np.full(len(p), PRESENCE)]))
+    return Grader(*ordinal(Rows(x, v), grades, GRADES, WIDTH))
 
 
 def graded(text: Column, model: Grader | None, spark) -> Column:

@@ -126,6 +126,15 @@ def test_quality_on_held_out_labels(spark):
     assert r.clean > 0.98 and r.low < 0.1
 
 
+def test_presence_is_told_from_few_words_in_long_texts():
+    clean = ["alpha beta gamma delta " * (5 + i) for i in range(60)]
+    toxic = [t + "vexoria " for t in clean]
+    rows = [quality.features(t) for t in clean + toxic]
+    model = quality.learned(*[list(x) for x in zip(*rows, strict=True)], np.array([2] * 60 + [1] * 60))
+    good = model.tails(["alpha beta gamma delta " * 500, "alpha beta gamma delta " * 500 + "vexolt", ""])[:, -1]
+    assert good[0] > 0.5 > good[1] and 0 <= good[2] <= 1
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (6, None, 1), (None, 1, 1), (1, 1, 1)], "doc_id long, quality int, toxic int")
     assert quality.classify(odd, labels).count() == len(ROWS) and quality.classify(none, labels).count() == 0
