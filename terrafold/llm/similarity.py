@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -178,7 +179,7 @@ class Node:
 
     __slots__ = ("at", "below", "longest", "member", "one", "run")
 
-    def __init__(self, run: list[int], longest: int, member: int):
+    def __init__(self, run: array, longest: int, member: int):
         self.run, self.below, self.at = run, {}, []
         self.longest, self.member, self.one = longest, member, True
 
@@ -187,8 +188,7 @@ class Trie:
     """Sets of shingles in one order, with the components that links connect them to."""
 
     def __init__(self, least: Fraction, n: int):
-        self.least, self.root, self.up = least, Node([], 0, -1), list(range(n))
-        self.sets: list[list[int]] = [[]] * n
+        self.least, self.root, self.up = least, Node(array("i"), 0, -1), list(range(n))
 
     def find(self, i: int) -> int:
         while self.up[i] != i:
@@ -205,7 +205,7 @@ class Trie:
         t, d = self.least.numerator, self.least.denominator
         return -(-t * (a + b) // (t + d))
 
-    def add(self, i: int, order: list[int]) -> None:
+    def add(self, i: int, order: array) -> None:
         """Link set i with those stored that are similar and not connected with it yet, then store it. Sets come by
         ascending length."""
         n = len(order)
@@ -237,7 +237,7 @@ class Trie:
             stack.extend((x, depth, common, passed) for x in node.below.values())
         self.store(i, order)
 
-    def store(self, i: int, order: list[int]) -> None:
+    def store(self, i: int, order: array) -> None:
         node, at, n = self.root, 0, len(order)
         mine = self.find(i)
 
@@ -278,11 +278,12 @@ def linked(sets: list[np.ndarray], least: Fraction, known: list[int] | None = No
     every = np.concatenate([*sets, np.zeros(0, np.uint64)])
     kinds, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
     # Frequent shingles first: similar sets then begin alike and share their way down.
-    rank = np.empty(len(kinds), np.int64)
-    rank[np.lexsort((kinds, -count))] = np.arange(len(kinds))
+    rank = np.empty(len(kinds), np.int32)
+    rank[np.lexsort((kinds, -count))] = np.arange(len(kinds), dtype=np.int32)
     ranks = np.split(rank[inverse], np.cumsum([len(s) for s in sets])[:-1])
+    del every, kinds, inverse, count, rank
     for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
-        trie.add(i, np.sort(ranks[i]).tolist())
+        trie.add(i, array("i", np.sort(ranks[i]).tobytes()))
     return [trie.find(i) for i in range(len(sets))]
 
 
