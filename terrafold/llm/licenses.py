@@ -1,13 +1,15 @@
 """Operator 10: license scans by conditional compression.
 
 A block of text that a license template explains compresses far better with the template as dictionary than without.
-Templates are ranked by that reduction, and the best are confirmed by the exact words in which the block differs.
+Templates are ranked by that reduction, and each is confirmed by the exact words in which the block differs.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import zstandard
@@ -31,8 +33,8 @@ TEMPLATES = {
 ANCHOR = re.compile(r"(?i)licen[sc]e|permission|redistribution|rights")
 #: Words kept on either side of an anchor in a long line.
 AROUND = 32
-#: Templates that are confirmed by wording, and the share of a template's words in which a block may differ.
-CONFIRMED, DIFFERENT = 3, 0.15
+#: The share of a template's words in which a block may differ.
+DIFFERENT = 0.15
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
@@ -57,15 +59,59 @@ def blocks(text: str) -> Iterator[str]:
                 upto = i + AROUND // 2
 
 
-def differences(template: list[str], block: list[str]) -> int:
-    """The least number of words to add, drop or change to find the template somewhere in the block."""
-    above = [0] * (len(block) + 1)
+def endings(template: list[str], block: list[str]) -> list[tuple[int, int]]:
+    """For each place in the block, from before its first word on: the least number of words to add, drop or change to
+    find the template ending there, and the earliest place where it then starts."""
+    above = [(0, j) for j in range(len(block) + 1)]
     for i, a in enumerate(template, 1):
-        row = [i]
+        row = [(i, 0)]
         for j, b in enumerate(block, 1):
-            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (a != b)))
+            (up, up_at), (left, left_at), (both, both_at) = above[j], row[-1], above[j - 1]
+            row.append(min((up + 1, up_at), (left + 1, left_at), (both + (a != b), both_at)))
         above = row
-    return min(above)
+    return above
+
+
+def differences(template: list[str], block: list[str]) -> int:
+    """The least number of words to add, drop or change to find the template somewhere in the block."""
+    return min(endings(template, block))[0]
+
+
+def places(template: list[str], block: list[str], most: int) -> list[tuple[int, int, int]]:
+    """(start, end, differences) of every place where the template is found with at most so many differences; of
+    neighbouring ends the one with the fewest, the last of equal ones."""
+    out, last = [], None
+    for end, (d, start) in enumerate(endings(template, block)):
+        if d <= most:
+            if last != end - 1:
+                out.append((start, end, d))
+            elif d <= out[-1][2]:
+                out[-1] = start, end, d
+            last = end
+    return out
+
+
+class Match(NamedTuple):
+    """A template found at words start to end (exclusive) of a block, its saving as a share of the block's compressed
+    size, the differing words, and these as a share of its words."""
+
+    start: int
+    end: int
+    name: str
+    saved: float
+    differing: int
+    share: float
+
+
+def outermost(found: list[Match]) -> list[Match]:
+    """The matches that no longer match of another template holds; where two hold the same words, the one that differs
+    least stays."""
+    rank = lambda m: (m.start - m.end, m.share, m.name)
+    out: list[Match] = []
+    for m in sorted(found, key=rank):
+        if not any(o.name != m.name and o.start <= m.start and m.end <= o.end for o in out):
+            out.append(m)
+    return out
 
 
 class Scanner:
@@ -74,28 +120,32 @@ class Scanner:
         raw = lambda t: zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.plain = zstandard.ZstdCompressor(level=19, write_content_size=False)
         self.with_ = {k: zstandard.ZstdCompressor(level=19, dict_data=raw(" ".join(w)), write_content_size=False) for k, w in self.words.items()}
-        self.seen: dict[str, tuple] = {}
+        self.counts = {k: Counter(w) for k, w in self.words.items()}
+        self.most = {k: int(DIFFERENT * len(w)) for k, w in self.words.items()}
+        self.seen: dict[str, list[Match]] = {}
 
-    def reductions(self, block: str) -> list[tuple[float, str]]:
-        """Templates by how many bytes of theirs a block saves when they are given, best first."""
+    def reductions(self, block: str, names: list[str]) -> list[tuple[float, str]]:
+        """Some templates by the share of a block's compressed size that it saves when they are given, best first."""
         data = block.encode()
         bare = len(self.plain.compress(data))
-        return sorted(((bare - len(c.compress(data)), k) for k, c in self.with_.items()), key=lambda x: (-x[0], x[1]))
+        return sorted((((bare - len(self.with_[k].compress(data))) / max(1, bare), k) for k in names), key=lambda x: (-x[0], x[1]))
+
+    def possible(self, block: list[str]) -> list[str]:
+        """Templates of whose words the block holds enough; no other can be confirmed, as each missing word differs."""
+        held = Counter(block)
+        return [k for k, c in self.counts.items() if sum(min(n, held[w]) for w, n in c.items()) >= len(self.words[k]) - self.most[k]]
 
-    def match(self, block: str) -> tuple[str, float, int] | None:
-        """The confirmed template of a block, its saving as a share of the block's compressed size, and the differing
-        words. Among the best by compression the one whose wording differs least wins, the longer one where equal."""
+    def matches(self, block: str) -> list[Match]:
+        """All templates that the wording confirms, but those within a longer one. Compression ranks and scores them but
+        rules none out: among other words a short notice may save nothing."""
         if block not in self.seen:
             if len(self.seen) > 50_000:
                 self.seen.clear()
-            ranked, own = self.reductions(block), block.split(" ")
-            found = []
-            for saved, k in ranked[:CONFIRMED]:
-                words = self.words[k]
-                if saved > 0 and (d := differences(words, own)) <= DIFFERENT * len(words):
-                    found.append((d / len(words), -len(words), k, saved, d))
-            best = min(found, default=None)
-            self.seen[block] = best and (best[2], best[3] / max(1, len(self.plain.compress(block.encode()))), best[4])
+            own, found = block.split(" "), []
+            names = self.possible(own)
+            for saved, k in self.reductions(block, names) if names else []:
+                found += [Match(*at, k, saved, d, d / len(self.words[k])) for *at, d in places(self.words[k], own, self.most[k])]
+            self.seen[block] = outermost(found)
         return self.seen[block]
 
 
@@ -104,7 +154,7 @@ _LOADED: dict[tuple, Scanner] = {}
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, n_licenses, licenses, saved, differing for every row of docs: the distinct templates found in its whole
-    text in code-point order, the largest saving and the fewest differing words. A null or empty text has none; extra
+    text in code-point order, the largest saving (0 at least) and the fewest differing words. A null or empty text has none; extra
     columns are left out. One scan, no shuffle."""
     items = tuple(templates.items())
 
@@ -115,9 +165,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
             _LOADED[items] = Scanner(dict(items))
         scanner, out = _LOADED[items], []
         for t in texts:
-            found = [m for b in blocks(t or "") if (m := scanner.match(b))]
-            names = sorted({m[0] for m in found})
-            out.append((len(names), names, max((m[1] for m in found), default=0.0), min((m[2] for m in found), default=None)))
+            found = [m for b in blocks(t or "") for m in scanner.matches(b)]
+            names = sorted({m.name for m in found})
+            out.append((len(names), names, max([0.0, *(m.saved for m in found)]), min((m.differing for m in found), default=None)))
         frame = pd.DataFrame(out, columns=["n_licenses", "licenses", "saved", "differing"])
         return frame.astype({"differing": "Int32", "n_licenses": "int32", "saved": "float64"})
 

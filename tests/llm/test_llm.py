@@ -303,6 +303,26 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(odd).where("n_licenses > 0").count() == 0 and licenses.scan(none).count() == 0
 
 
+def test_licenses_of_one_line(spark):
+    header = licenses.TEMPLATES["Apache-2.0-header"]
+    rows = [
+        (1, "All rights reserved. Licensed under CC BY 4.0."), (2, " ".join(licenses.TEMPLATES.values())), (3, header), (4, f"{header} All rights reserved. {licenses.TEMPLATES['Apache-2.0']}"),
+        (5, header.replace("may not use", "must not use")), (6, "Released under the MIT License. Released under the MIT License."),
+    ]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ["CC-BY-4.0", "all-rights-reserved"]
+    assert got[2] == sorted(licenses.TEMPLATES)
+    assert got[3] == got[5] == ["Apache-2.0-header"]
+    assert got[4] == ["Apache-2.0", "Apache-2.0-header", "all-rights-reserved"]
+    assert got[6] == ["MIT"]
+
+
+def test_notice_that_saves_nothing(monkeypatch):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    monkeypatch.setattr(scanner, "reductions", lambda block, names: [(-0.01, k) for k in names])
+    assert [m.name for m in scanner.matches("x all rights reserved y")] == ["all-rights-reserved"]
+
+
 def test_differences():
     assert licenses.differences("a b c".split(), "x a b c y".split()) == 0
     assert licenses.differences("a b c".split(), "x a z c y".split()) == 1
