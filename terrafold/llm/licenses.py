@@ -7,6 +7,7 @@ Templates are ranked by that reduction, and each is confirmed by the exact words
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -31,7 +32,7 @@ TEMPLATES = {
 }
 #: Words that a block must hold to be a candidate; every template holds one.
 ANCHOR = re.compile(r"(?i)licen[sc]e|permission|redistribution|rights")
-#: Words kept on either side of an anchor in a long line.
+#: Words kept on either side of an anchor, at least; more where a template is longer.
 AROUND = 32
 #: The share of a template's words in which a block may differ.
 DIFFERENT = 0.15
@@ -43,20 +44,19 @@ def wording(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def blocks(text: str) -> Iterator[str]:
-    """The candidate blocks of a whole text: lines with an anchor; of long lines the words around each anchor."""
-    for line in text.split("\n"):
-        if ANCHOR.search(line) is None:
-            continue
-        words = wording(line)
-        if len(words) <= 2 * AROUND:
-            yield " ".join(words)
-            continue
-        at, upto = [i for i, w in enumerate(words) if ANCHOR.search(w)], -1
-        for i in at:
-            if i >= upto:
-                yield " ".join(words[max(0, i - AROUND) : i + AROUND])
-                upto = i + AROUND // 2
+def blocks(text: str, around: int = AROUND) -> Iterator[tuple[int, str]]:
+    """The candidate blocks of a whole text and the places of their first words. Blocks are cut from the sequence of all
+    words, across lines: each anchor is in one with `around` words on either side, or as many as there are; anchors
+    within `around` words of a block's first one share it."""
+    if ANCHOR.search(text) is None:
+        return
+    words = wording(text)
+    at = [i for i, w in enumerate(words) if ANCHOR.search(w)]
+    while at:
+        same = bisect_right(at, at[0] + around)
+        first = max(0, at[0] - around)
+        yield first, " ".join(words[first : at[same - 1] + around + 1])
+        at = at[same:]
 
 
 def endings(template: list[str], block: list[str]) -> list[tuple[int, int]]:
@@ -92,7 +92,7 @@ def places(template: list[str], block: list[str], most: int) -> list[tuple[int,
 
 
 class Match(NamedTuple):
-    """A template found at words start to end (exclusive) of a block, its saving as a share of the block's compressed
+    """A template found at words start to end (exclusive) of a block or text, its saving as a share of the block's compressed
     size, the differing words, and these as a share of its words."""
 
     start: int
@@ -106,11 +106,13 @@ class Match(NamedTuple):
 def outermost(found: list[Match]) -> list[Match]:
     """The matches that no longer match of another template holds; where two hold the same words, the one that differs
     least stays."""
-    rank = lambda m: (m.start - m.end, m.share, m.name)
     out: list[Match] = []
-    for m in sorted(found, key=rank):
-        if not any(o.name != m.name and o.start <= m.start and m.end <= o.end for o in out):
+    near: list[Match] = []
+    for m in sorted(set(found), key=lambda m: (m.start, -m.end, m.share, m.name)):
+        near = [o for o in near if o.end > m.start]
+        if not any(o.name != m.name and m.end <= o.end for o in near):
             out.append(m)
+            near.append(m)
     return out
 
 
@@ -122,6 +124,8 @@ class Scanner:
         self.with_ = {k: zstandard.ZstdCompressor(level=19, dict_data=raw(" ".join(w)), write_content_size=False) for k, w in self.words.items()}
         self.counts = {k: Counter(w) for k, w in self.words.items()}
         self.most = {k: int(DIFFERENT * len(w)) for k, w in self.words.items()}
+        #: As many words as a confirmed notice may have.
+        self.around = max([AROUND, *(len(w) + self.most[k] for k, w in self.words.items())])
         self.seen: dict[str, list[Match]] = {}
 
     def reductions(self, block: str, names: list[str]) -> list[tuple[float, str]]:
@@ -148,6 +152,11 @@ class Scanner:
             self.seen[block] = outermost(found)
         return self.seen[block]
 
+    def find(self, text: str) -> list[Match]:
+        """All confirmed templates of a whole text, but those within a longer one."""
+        found = [m._replace(start=first + m.start, end=first + m.end) for first, b in blocks(text, self.around) for m in self.matches(b)]
+        return outermost(found)
+
 
 _LOADED: dict[tuple, Scanner] = {}
 
@@ -165,7 +174,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
             _LOADED[items] = Scanner(dict(items))
         scanner, out = _LOADED[items], []
         for t in texts:
-            found = [m for b in blocks(t or "") for m in scanner.matches(b)]
+            found = scanner.find(t or "")
             names = sorted({m.name for m in found})
             out.append((len(names), names, max([0.0, *(m.saved for m in found)]), min((m.differing for m in found), default=None)))
         frame = pd.DataFrame(out, columns=["n_licenses", "licenses", "saved", "differing"])

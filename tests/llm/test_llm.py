@@ -317,6 +317,36 @@ def test_licenses_of_one_line(spark):
     assert got[6] == ["MIT"]
 
 
+MIT = """Copyright 2020 A. Writer
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction."""
+BSD = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are
+# met:"""
+APACHE = """ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License."""
+
+
+def test_licenses_across_lines(spark):
+    filler = "\n".join(f"word{i} other{i}" for i in range(5000))
+    one_a_line = "\n".join(w for t in licenses.TEMPLATES.values() for w in t.split())
+    many = "\n".join(["no license here"] * 3000)
+    rows = [(1, MIT), (2, BSD), (3, APACHE), (4, f"{filler}\n{MIT}\n{filler}\n{BSD}\n{filler}"), (5, f"{MIT}\n{BSD}\n{APACHE}"), (6, one_a_line), (7, f"{many}\n{BSD}\n{many}"), (8, many)]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    both = ["BSD-redistribution", "MIT-permission"]
+    assert got == {1: both[1:], 2: both[:1], 3: ["Apache-2.0-header"], 4: both, 5: ["Apache-2.0-header", *both], 6: sorted(licenses.TEMPLATES), 7: both[:1], 8: []}
+
+
+def test_notices_at_any_distance():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    notices = [licenses.TEMPLATES[k] for k in ("Apache-2.0-header", "MIT-permission", "all-rights-reserved")]
+    for gap in range(100):
+        text = f" {'x ' * gap}".join(["rights", *notices])
+        assert {m.name for m in scanner.find(text)} == {"Apache-2.0-header", "MIT-permission", "all-rights-reserved"}, gap
+
+
 def test_notice_that_saves_nothing(monkeypatch):
     scanner = licenses.Scanner(licenses.TEMPLATES)
     monkeypatch.setattr(scanner, "reductions", lambda block, names: [(-0.01, k) for k in names])
