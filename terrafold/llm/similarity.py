@@ -20,11 +20,12 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions, shingles, written
+from .common import checkpointed, fresh, partitions, shingles, written
 
 #: Counters that find very frequent shingles, and how many times the mean makes one of them frequent.
 SLOTS, FREQUENT, LEAST_FREQUENT = 1 << 18, 8, 64
@@ -337,6 +338,12 @@ def classes(docs: DataFrame, k: int = 5, least: Fraction = Fraction(4, 5)) -> Da
     with nothing; one with fewer than k words has the whole sequence as its shingle. Rows that repeat a doc_id are
     classed by their texts, each for itself; a null doc_id is never the smallest. Extra columns are left out.
     """
+    return classed(docs, k, least).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def classed(docs: DataFrame, k: int, least: Fraction) -> DataFrame:
+    """doc_id, n, name, root, component_id for every row of docs: how many shingles, the name of their set, the name that
+    stands for the class, and its smallest doc_id; without shingles the last two are null."""
     docs = docs.select("doc_id", "text")
     of, counts = members(docs, k)
     found = candidates(postings(docs, k, least, frequent_slots(counts)), least)
@@ -372,9 +379,9 @@ def classes(docs: DataFrame, k: int = 5, least: Fraction = Fraction(4, 5)) -> Da
     least_id = of.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least_id"))
     of_name = least_id.join(link, "name", "left").withColumn("root", F.coalesce("root", "name"))
     of_root = of_name.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    component = of_name.join(of_root, "root").select("name", "component_id")
-    got = of.join(component.withColumnRenamed("name", "its"), (F.col("name") == F.col("its")) & (F.col("n") > 0), "left")
-    return got.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    component = of_name.join(of_root, "root").select(F.col("name").alias("its"), "root", "component_id")
+    got = of.join(component, (F.col("name") == F.col("its")) & (F.col("n") > 0), "left")
+    return got.select("doc_id", "n", "name", "root", "component_id")
 
 
 def across(in_blocks: DataFrame, sizes: DataFrame, link: DataFrame, text_rows, k: int, least: Fraction) -> DataFrame:
@@ -389,10 +396,21 @@ def across(in_blocks: DataFrame, sizes: DataFrame, link: DataFrame, text_rows, k
 
 
 def keep_one(docs: DataFrame, k: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
-    """The rows of docs, with its columns, that stay when of each class of near copies the smallest doc_id stays. Of rows
-    that repeat a doc_id one stays; rows without a doc_id stay."""
-    kept = classes(docs, k, least).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    of = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    name = "_turn" + "_" * max(map(len, docs.columns))
-    one = of.withColumn(name, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(name) == 1)
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows of docs, with its columns, that stay when of each class of near copies one row stays: that of the smallest
+    doc_id, null ones last, and of rows that share it the smallest text. Classes are of rows, so a doc_id with unrelated
+    texts may stay several times, or not at all; rows without words are each a class of its own and stay."""
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        kept = classes(docs, k, least).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
+        return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+
+    @F.pandas_udf("binary")
+    def set_name(texts: pd.Series) -> pd.Series:
+        return pd.Series([digest(tokens) if len(tokens := shingles(t, k)) else None for t in texts], dtype=object)
+
+    rows = classed(docs, k, least).where("n > 0 and doc_id <=> component_id")
+    first = rows.select(F.col("name").alias("_its"), F.col("doc_id").alias("_kept"), F.col("root").alias("_root")).distinct()
+    name, turn = fresh(docs, "_name"), fresh(docs, "_turn")
+    named = docs.withColumn(name, set_name("text"))
+    of = named.join(first, (F.col(name) == F.col("_its")) & F.col("doc_id").eqNullSafe(F.col("_kept")))
+    one = of.withColumn(turn, F.row_number().over(Window.partitionBy("_root").orderBy("text"))).where(F.col(turn) == 1)
+    return one.select(*docs.columns).unionByName(named.where(F.col(name).isNull()).select(*docs.columns))

@@ -189,6 +189,20 @@ def test_join_of_odd_rows(odd, none):
     assert sorted(str(r.doc_id) for r in similarity.keep_one(odd).collect()) == ["1", "2", "3", "5", "6", "7", "None"]
 
 
+def test_keep_one_of_each_class(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, b), (5, a), (5, f"{b} end"), (6, a), (6, a), (None, a), (None, c), (None, c), (None, f"{c} end"), (8, c.upper() + " end"), (8, c), (9, " "), (9, " "), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in similarity.keep_one(frame).collect()), key=repr)
+    assert got == sorted([(3, b), (5, a), (8, c.upper() + " end"), (9, " "), (9, " "), (None, None)], key=repr)
+    got = similarity.keep_one(frame.where("doc_id is null")).collect()
+    assert sorted(map(repr, (r.text for r in got))) == sorted(map(repr, (a, c, None)))
+    got = similarity.keep_one(spark.createDataFrame([(1, a), (1, b), (1, c), (1, c)], "doc_id long, text string")).collect()
+    assert sorted(r.text for r in got) == [a, b, c]
+    got = similarity.keep_one(spark.createDataFrame([(2, a), (1, a), (3, b)], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, a), (3, b)]
+
+
 # 5
 
 
