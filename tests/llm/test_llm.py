@@ -289,6 +289,18 @@ def test_language_of_odd_rows(spark, odd, none):
     assert langid.keep_identified(odd).columns == odd.columns
 
 
+def test_language_rejects_what_it_did_not_learn(spark):
+    learned = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    other = [
+        "Всі люди народжуються вільними і рівними у своїй гідності та правах. Вони наділені розумом і совістю", "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다", "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם",
+        "Kõik inimesed sünnivad vabadena ja võrdsetena oma väärikuselt ja õigustelt. Neile on antud mõistus ja südametunnistus", "Gizon-emakume guztiak aske jaiotzen dira, duintasun eta eskubide berberak dituztela",
+        *(" ".join("".join(random.Random(99 * j + i).choices("abcdefghijklmnopqrstuvwxyz", k=7)) for i in range(40)) for j in range(3)), "1234 %%% 5678",
+    ]
+    rows = learned.unionByName(spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(other)], learned.schema))
+    kept = [r.doc_id for r in langid.keep_identified(rows).select("doc_id").collect()]
+    assert [i for i in kept if i < 0] == [] and len(kept) >= 0.995 * learned.count()
+
+
 # 9
 
 
