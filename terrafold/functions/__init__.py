@@ -24,6 +24,7 @@ def days_in_month(d: Column) -> Column:
 
 def season(month: Column) -> Column:
     """Season of a two-digit month."""
+    # Fixed values.
     names = (("01_summer", 1), ("02_autumn", 4), ("03_winter", 7), ("04_spring", 10))
     out = F.lit("others")
     for name, first in names:
@@ -32,7 +33,8 @@ def season(month: Column) -> Column:
 
 
 def rain_class(obs: Column, est: Column, wet: float = 0.0, thr: float = 0.2) -> Column:
-    """n11, n01, n10 or n00 of an observed and an estimated value; `others` for est equal to thr, obs under wet and nulls."""
+    """n11, n01, n10 or n00 of an observed and an estimated value; `others` for est equal to thr, obs under wet and nulls.
+    The names and the defaults of wet and thr are fixed values."""
     hit, dry, high, low = obs > wet, obs == wet, est > thr, est < thr
     return F.when(hit & high, "n11").when(dry & high, "n01").when(hit & low, "n10").when(dry & low, "n00").otherwise("others")
 
@@ -51,10 +53,14 @@ def world_to_pixel(x: Column, y: Column, x0, sx, rx, y0, ry, sy) -> tuple[Column
     return row.cast("int"), col.cast("int")
 
 
-def raster_extent(x0, sx, y0, sy, width, height) -> tuple[Column, Column, Column, Column]:
-    """minx, maxx, miny, maxy of a raster without rotation."""
-    x1, y1 = x0 + sx * width, y0 + sy * height
-    return F.least(x0, x1), F.greatest(x0, x1), F.least(y0, y1), F.greatest(y0, y1)
+def raster_extent(x0, sx, y0, sy, width, height, rx=None, ry=None) -> tuple[Column, Column, Column, Column]:
+    """minx, maxx, miny, maxy of a raster; rx and ry are its rotation terms, none by default."""
+    if rx is None or ry is None:
+        x1, y1 = x0 + sx * width, y0 + sy * height
+        return F.least(x0, x1), F.greatest(x0, x1), F.least(y0, y1), F.greatest(y0, y1)
+    xs = [x0, x0 + sx * width, x0 + rx * height, x0 + sx * width + rx * height]
+    ys = [y0, y0 + ry * width, y0 + sy * height, y0 + ry * width + sy * height]
+    return F.least(*xs), F.greatest(*xs), F.least(*ys), F.greatest(*ys)
 
 
 def inside(x: Column, y: Column, minx, maxx, miny, maxy, inclusive: bool = True) -> Column:
@@ -68,16 +74,33 @@ def floor_mod(a: Column, n) -> Column:
     return a - n * F.floor(a / n)
 
 
+#: The parts of granule names that don't tell the time. Fixed values.
+HALF_HOURLY, MONTHLY, GRANULE, VERSION = "3B-HHR-L", "3B-MO-GIS", "MS.MRG.3IMERG", "V06B"
+
+
 def granule_start(name: Column) -> Column:
-    """Start of a half-hourly granule from its name."""
+    """Start of a granule from its name."""
     return F.try_to_timestamp(F.regexp_extract(name, r"\.(\d{8}-S\d{6})-", 1), F.lit("yyyyMMdd-'S'HHmmss")).cast("timestamp_ntz")
 
 
-def granule_name(start: Column) -> Column:
-    """Name of the half-hourly granule that starts at start."""
+def granule_name(start: Column, product: str = HALF_HOURLY, version: str = VERSION) -> Column:
+    """Name of the half-hourly granule of a product and version that starts at start."""
     end = start + F.expr("interval 1799 seconds")
     minute = F.lpad((F.hour(start) * 60 + F.minute(start)).cast("string"), 4, "0")
     return F.concat(
-        F.lit("3B-HHR-L.MS.MRG.3IMERG."), F.date_format(start, "yyyyMMdd"), F.lit("-S"), F.date_format(start, "HHmmss"), F.lit("-E"), F.date_format(end, "HHmmss"),
-        F.lit("."), minute, F.lit(".V06B.30min"),
+        F.lit(f"{product}.{GRANULE}."), F.date_format(start, "yyyyMMdd"), F.lit("-S"), F.date_format(start, "HHmmss"), F.lit("-E"), F.date_format(end, "HHmmss"),
+        F.lit("."), minute, F.lit(f".{version}.30min"),
     )
+
+
+def month_granule_name(year: Column, month: Column, product: str = MONTHLY, version: str = VERSION) -> Column:
+    """File name of the monthly raster of a year and a month, both numbers."""
+    mm = F.lpad(month.cast("string"), 2, "0")
+    return F.concat(F.lit(f"{product}.{GRANULE}."), F.lpad(year.cast("string"), 4, "0"), mm, F.lit("01-S000000-E235959."), mm, F.lit(f".{version}.total.accum.tif"))
+
+
+def granule_month(name: Column) -> tuple[Column, Column]:
+    """Year and two-digit month as text from the name of a raster, monthly or half-hourly; null where there is no date."""
+    day = F.regexp_extract(name, r"\.(\d{4})(\d{2})\d{2}-S", 0)
+    known = day != ""
+    return F.when(known, F.substring(day, 2, 4)), F.when(known, F.substring(day, 6, 2))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import land, rain
+from . import files, land, rain
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**rain.QUERIES, **land.QUERIES}
-ORACLE_SQL: dict[str, str] = {**rain.ORACLE_SQL, **land.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**rain.QUERIES, **land.QUERIES, **files.QUERIES}
+ORACLE_SQL: dict[str, str] = {**rain.ORACLE_SQL, **land.ORACLE_SQL, **files.ORACLE_SQL}

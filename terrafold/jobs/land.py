@@ -10,7 +10,7 @@ from ..operators import landcover as L
 from ..operators import pixels as X
 from ..operators import trend as T
 from ..operators.clip import RING, clip_to_regions as clip
-from .common import CATALOG, HITS, PART, POINTS, catalog, number, part_raster, points, table
+from .common import CATALOG, HITS, PART, POINTS, catalog, number, part_raster, points, table, tiles
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -23,14 +23,8 @@ def query(sql: str):
     return add
 
 
-def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pixels of all images of the catalog: those of the part raster, each image a window of it."""
-    px = part_raster(spark, sf_dir).where("row < 13 and col < 12").select("row", "col", "value")
-    return catalog(spark, sf_dir).select("raster_id").crossJoin(px)
-
-
-TILES = "tiles AS (SELECT raster_id, row_, col_, value FROM catalog CROSS JOIN px WHERE row_ < 13 AND col_ < 12)"
-SAMPLES = f"{CATALOG}, {POINTS}, {PART}, {HITS}, {TILES}, samples AS (SELECT point_id, h.raster_id, value AS pixel_value FROM hits h JOIN tiles t ON t.raster_id = h.raster_id AND row_ = CAST(trunc(y0 - y) AS INTEGER) AND col_ = CAST(trunc(x - x0) AS INTEGER))"
+TILES = "tiles AS (SELECT (row_ // 10) || '_' || (col_ // 10) AS raster_id, row_ % 10 AS row_, col_ % 10 AS col_, value FROM px)"
+SAMPLES = f"{CATALOG}, {POINTS}, {HITS}, {TILES}, samples AS (SELECT point_id, h.raster_id, value AS pixel_value FROM hits h JOIN tiles t ON t.raster_id = h.raster_id AND row_ = CAST(trunc(y0 - y) AS INTEGER) AND col_ = CAST(trunc(x - x0) AS INTEGER))"
 
 
 @query(f"WITH {CATALOG}, {POINTS}, {HITS} SELECT point_id, raster_id FROM hits")
@@ -47,10 +41,9 @@ def sample_at_points(spark, sf_dir):
     return samples_of(spark, sf_dir)
 
 
-@query(f"WITH {SAMPLES}, one AS (SELECT * FROM samples WHERE raster_id = '7') SELECT p.point_id, x, y, pixel_value AS height FROM points p LEFT JOIN one USING (point_id)")
+@query(f"WITH {SAMPLES} SELECT p.point_id, x, y, pixel_value AS height FROM points p LEFT JOIN samples USING (point_id)")
 def attach_value(spark, sf_dir):
-    one = samples_of(spark, sf_dir).where("raster_id = '7'")
-    return X.attach_value(points(spark, sf_dir), one, "height").select("point_id", "x", "y", "height")
+    return X.attach_value(points(spark, sf_dir), samples_of(spark, sf_dir), "height").select("point_id", "x", "y", "height")
 
 
 @query(f"WITH {SAMPLES} SELECT (SELECT count(*) FROM points) AS n_points, (SELECT count(*) FROM catalog) AS n_images, (SELECT count(*) FROM samples) AS n_hits")
@@ -80,11 +73,14 @@ def nodata_to_null(spark, sf_dir):
     return X.nodata_to_null(part_raster(spark, sf_dir), "class_id", 7).select("row", "col", F.col("class_id").cast("double").alias("class_id"))
 
 
-@query("""SELECT l_returnflag AS name, count(l_quantity) AS n, round(avg(l_quantity), 4) AS mean, round(stddev_samp(l_quantity), 4) AS std, min(l_quantity) AS min,
-quantile_cont(l_quantity, 0.25) AS q25, quantile_cont(l_quantity, 0.5) AS q50, quantile_cont(l_quantity, 0.75) AS q75, max(l_quantity) AS max, count(l_quantity) * 900.0::DOUBLE AS area FROM lineitem GROUP BY 1""")
+DESCRIBE = """SELECT l_returnflag AS name, '{0}' AS band, count({0}) AS n, round(avg({0}), 4) AS mean, round(stddev_samp({0}), 4) AS std, min({0}) AS min,
+round(quantile_cont({0}, 0.25), 4) AS q25, round(quantile_cont({0}, 0.5), 4) AS q50, round(quantile_cont({0}, 0.75), 4) AS q75, max({0}) AS max, count(l_quantity) * 900.0::DOUBLE AS area FROM lineitem GROUP BY 1"""
+
+
+@query(" UNION ALL ".join(DESCRIBE.format(c) for c in ("l_quantity", "l_extendedprice")))
 def describe_area(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("name"), "l_quantity")
-    return X.describe_area(rows, "name", "l_quantity").withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)})
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("name"), "l_quantity", "l_extendedprice")
+    return X.describe_area(rows, "name", ("l_quantity", "l_extendedprice")).withColumns({c: F.round(c, 4) for c in ("mean", "std", "q25", "q50", "q75")})
 
 
 @query(f"""WITH {POINTS}, e AS (SELECT min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy FROM points)
@@ -199,28 +195,36 @@ def reduce_trend(spark, sf_dir):
     return reduced(spark, sf_dir)
 
 
+HEIGHT = "CAST((SELECT max(row_) + 1 FROM px) AS DOUBLE)"
+
+
 @query(f"""WITH {SERIES}, {REDUCED}, {PART},
-cells AS (SELECT CAST(regexp_extract(brand, '[0-9]+') AS INTEGER) // 5 AS row_, CAST(regexp_extract(brand, '[0-9]+') AS INTEGER) % 5 AS col_, trend_class FROM red),
-c AS (SELECT p.row_, p.col_, class_id, CASE WHEN class_id <> 0 AND p.row_ + 0.5 < 40 THEN CAST(trunc((p.row_ + 0.5) / 8) AS INTEGER) END AS r, CASE WHEN class_id <> 0 THEN CAST(trunc((p.col_ + 0.5) / 8) AS INTEGER) END AS c FROM
-  (SELECT row_, col_, class_id % 5 AS class_id FROM px) p)
-SELECT c.row_ AS "row", c.col_ AS col, CAST(CASE WHEN coalesce(trend_class, 0) <> 0 THEN 10 * class_id + trend_class ELSE 0 END AS INTEGER) AS code FROM c LEFT JOIN cells ON r = cells.row_ AND c = cells.col_""")
+cells AS (SELECT r, c, trend_class FROM (SELECT DISTINCT row_ // 8 AS r, col_ // 8 AS c FROM px) x JOIN red ON CAST(regexp_extract(brand, '[0-9]+') AS INTEGER) = (5 * r + c) % 25 + 1)
+SELECT row_ AS "row", col_ AS col, CAST(CASE WHEN class_id % 5 <> 0 AND coalesce(trend_class, 0) <> 0 THEN 10 * (class_id % 5) + trend_class ELSE 0 END AS INTEGER) AS code
+FROM px LEFT JOIN cells ON row_ // 8 = r AND col_ // 8 = c""")
 def overlay_code(spark, sf_dir):
-    k = F.regexp_extract("brand", "[0-9]+", 0).cast("int")
-    coarse = reduced(spark, sf_dir).select(F.floor(k / 5).cast("int").alias("row"), (k % 5).alias("col"), "trend_class")
-    fine = part_raster(spark, sf_dir).select("row", "col", (F.col("class_id") % 5).alias("class_id"))
-    return L.overlay_code(fine, coarse, {"x0": 0.0, "sx": 1.0, "y0": 40.0, "sy": -1.0}, {"x0": 0.0, "sx": 8.0, "y0": 40.0, "sy": -8.0, "width": 5, "height": 5})
+    px = part_raster(spark, sf_dir)
+    fine = px.select("row", "col", (F.col("class_id") % 5).alias("class_id"))
+    # A cell of 8 by 8 pixels has the trend of one brand; the cells cover the whole raster.
+    cells = px.select(F.floor(F.col("row") / 8).cast("int").alias("row"), F.floor(F.col("col") / 8).cast("int").alias("col")).distinct()
+    of = reduced(spark, sf_dir).select((F.regexp_extract("brand", "[0-9]+", 0).cast("int") - 1).alias("k"), "trend_class")
+    coarse = cells.join(of, (5 * F.col("row") + F.col("col")) % 25 == F.col("k")).select("row", "col", "trend_class")
+    rows = cells.agg(F.max("row")).first()[0] or 0
+    return L.overlay_code(fine, coarse, {"x0": 0.0, "sx": 1.0, "y0": 0.0, "sy": -1.0}, {"x0": 0.0, "sx": 8.0, "y0": 0.0, "sy": -8.0, "width": 5, "height": rows + 1})
 
 
-@query(f"""WITH {PART}, c AS (SELECT row_, col_, col_ + 0.5 AS x, row_ + 0.5 AS y FROM px)
+@query(f"""WITH {PART}, c AS (SELECT row_, col_, col_ + 0.5 AS x, row_ + 0.5 AS y, {HEIGHT} AS h FROM px)
 SELECT row_ AS "row", col_ AS col, CAST(r_regionkey AS INTEGER) AS region_id FROM c JOIN region ON
-CASE WHEN r_regionkey % 2 = 0 THEN x > 8 * r_regionkey AND x < 8 * r_regionkey + 8 AND y > 0 AND y < 30
-     ELSE x > 8 * r_regionkey AND y > 0 AND (x - 8 * r_regionkey) / 8 + y / 50 < 1 END""")
+CASE WHEN r_regionkey % 2 = 0 THEN x > 8 * r_regionkey AND x < 8 * r_regionkey + 8 AND y > 0 AND y < 0.75 * h
+     ELSE x > 8 * r_regionkey AND y > 0 AND (x - 8 * r_regionkey) / 8 + y / h < 1 END""")
 def clip_to_regions(spark, sf_dir):
-    k, corner = F.col("r_regionkey") * 8.0, lambda x, y: F.struct(x.alias("x"), F.lit(float(y)).alias("y"))
-    square = F.array(corner(k, 0), corner(k + 8, 0), corner(k + 8, 30), corner(k, 30))
-    triangle = F.array(corner(k, 0), corner(k + 8, 0), corner(k, 50))
+    k, corner = F.col("r_regionkey") * 8.0, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    height = part_raster(spark, sf_dir).agg(F.max("row") + 1.0).scalar()
+    none, h = F.lit(0.0), F.col("h")
+    square = F.array(corner(k, none), corner(k + 8, none), corner(k + 8, 0.75 * h), corner(k, 0.75 * h))
+    triangle = F.array(corner(k, none), corner(k + 8, none), corner(k, h))
     ring = F.when(F.col("r_regionkey") % 2 == 0, square).otherwise(triangle).cast(RING)
-    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("region_id"), ring.alias("ring"))
+    regions = table(spark, sf_dir, "region").withColumn("h", height).select(F.col("r_regionkey").cast("int").alias("region_id"), ring.alias("ring"))
     x, y = pixel_center(F.col("row"), F.col("col"), F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(1.0))
     px = part_raster(spark, sf_dir).select("row", "col", x.alias("x"), y.alias("y"))
     return clip(px, regions, 8.0).select("row", "col", "region_id")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import decimal_comma, granule_name, granule_start
+from ..functions import decimal_comma, granule_month, granule_name, granule_start, month_granule_name
 from ..operators import pairs as P
 from ..operators import readings as R
 from ..operators import satellite as S
 from ..sources import reading_fields
-from .common import EDGE_YEARS, HALVES, PAIRS, READINGS, daily, iso, lines, number, readings, table
+from ..storage import new_path
+from .common import EDGE_YEARS, HALVES, PAIRS, READINGS, daily, daily_sums, iso, lines, number, readings, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -23,6 +24,7 @@ def query(sql: str):
     return add
 
 
+# Class names, thresholds, seasons and granule names below are fixed values.
 KIND = """
   CASE WHEN inmet_prep > 0 AND gpm_prep > 0.2 THEN 'n11' WHEN inmet_prep = 0 AND gpm_prep > 0.2 THEN 'n01'
        WHEN inmet_prep > 0 AND gpm_prep < 0.2 THEN 'n10' WHEN inmet_prep = 0 AND gpm_prep < 0.2 THEN 'n00' ELSE 'others' END"""
@@ -46,7 +48,8 @@ SEASONAL = "seasonal AS (SELECT code_wmo, v_year, {s} AS seasons, sum(inmet_prep
 
 
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.pair(*daily(spark, sf_dir))
+    """Pairs of all station days that the tables have; pair_obs_est makes the same by the join of both sides."""
+    return daily_sums(spark, sf_dir)
 
 
 def lowered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,13 +128,16 @@ def seasonal_totals(spark, sf_dir):
 
 @query(f"WITH {PAIRS} SELECT code_wmo, CAST(v_date AS VARCHAR) AS v_date, {OBS_EST} FROM pairs")
 def pair_obs_est(spark, sf_dir):
-    return paired(spark, sf_dir).select("code_wmo", iso("v_date"), number("inmet_prep"), number("gpm_prep"))
+    return P.pair(*daily(spark, sf_dir)).select("code_wmo", iso("v_date"), number("inmet_prep"), number("gpm_prep"))
 
 
 @query(f"WITH {PAIRS} SELECT code_wmo, CAST(v_date AS VARCHAR) AS v_date, CAST(gpm_prep AS DOUBLE) AS prep_mm FROM pairs")
 def append_chunks(spark, sf_dir):
-    _, est = daily(spark, sf_dir)
-    chunks = [est.where(F.pmod(F.year("v_date"), F.lit(5)) == i) for i in range(5)]
+    """The chunks are files, one folder a station, written in one pass; each is read once."""
+    path, schema = new_path(spark, "chunks"), "v_date date, prep_mm decimal(38,2)"
+    daily(spark, sf_dir)[1].select("code_wmo", "v_date", F.col("prep_mm").cast("decimal(38,2)").alias("prep_mm")).write.partitionBy("code_wmo").parquet(path)
+    stations = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("code"))
+    chunks = [spark.read.schema(schema).parquet(f"{path}/code_wmo={r['code']}").select(F.lit(r["code"]).alias("code_wmo"), "v_date", "prep_mm") for r in stations.collect()]
     return P.append_chunks(chunks).select("code_wmo", iso("v_date"), number("prep_mm"))
 
 
@@ -171,9 +177,10 @@ def hours(df: DataFrame) -> DataFrame:
     return df.select("code_wmo", F.date_format("v_datetime", "yyyy-MM-dd HH").alias("v_datetime"), number("prep_mm"))
 
 
-@query(f"WITH {READINGS} SELECT code_wmo, {HOUR}, CAST(prep_mm AS DOUBLE) AS prep_mm FROM readings WHERE code_wmo IN (SELECT event_type FROM events GROUP BY 1 HAVING min(event_id) % 2 = 0)")
+@query(f"WITH {READINGS} SELECT code_wmo, {HOUR}, CAST(prep_mm AS DOUBLE) AS prep_mm FROM readings WHERE code_wmo IN (SELECT event_type FROM events GROUP BY 1 HAVING max(value) < 600)")
 def restrict_stations(spark, sf_dir):
-    subset = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("code_wmo")).agg(F.min("event_id").alias("first")).where("first % 2 = 0")
+    """The stations whose highest value is below 600."""
+    subset = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("code_wmo")).agg(F.max("value").alias("highest")).where("highest < 600")
     return hours(R.restrict_stations(readings(spark, sf_dir), subset))
 
 
@@ -205,19 +212,21 @@ def rain_day_totals(spark, sf_dir):
     return R.rain_day_totals(readings(spark, sf_dir)).select("code_wmo", iso("v_date"), number("prep_mm"))
 
 
-@query("""WITH s AS (SELECT o_custkey AS code_wmo, o_orderkey, year(o_orderdate) AS source_ano FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 2 = 0),
+@query("""WITH s AS (SELECT o_custkey AS code_wmo, o_orderkey, year(o_orderdate) AS source_ano FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING'),
 m AS (SELECT code_wmo, max(source_ano) AS source_ano FROM s GROUP BY 1)
 SELECT s.code_wmo, s.o_orderkey, CAST(s.source_ano AS INTEGER) AS source_ano FROM s JOIN m ON s.code_wmo = m.code_wmo AND s.source_ano = m.source_ano""")
 def latest_station(spark, sf_dir):
     stations = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("code_wmo"), "o_orderkey", F.year("o_orderdate").alias("source_ano"))
-    subset = table(spark, sf_dir, "customer").where("c_nationkey % 2 = 0").select(F.col("c_custkey").alias("code_wmo"))
+    """The stations of all market segments but one."""
+    subset = table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("code_wmo"))
     return R.latest_station(stations, subset)
 
 
-@query("SELECT c_custkey, CAST(c_custkey % 90 AS DOUBLE) AS lon, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS lat FROM customer")
+@query("""SELECT row_number() OVER (ORDER BY md5(CAST(c_custkey AS VARCHAR)), c_custkey) AS fid, c_custkey, CAST(c_custkey % 90 AS DOUBLE) AS lon,
+CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS lat FROM customer""")
 def station_points(spark, sf_dir):
     text = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 90).cast("string").alias("long"), F.col("c_acctbal").cast("decimal(18,2)").cast("string").alias("lat"))
-    return R.station_points(text).select("c_custkey", "point.lon", "point.lat")
+    return R.station_points(text, "c_custkey").select("fid", "c_custkey", "point.lon", "point.lat")
 
 
 # Satellite.
@@ -250,6 +259,17 @@ def granule_names(spark, sf_dir):
     return named.select("granule", F.date_format(granule_start(F.col("granule")), "yyyy-MM-dd HH:mm:ss").alias("start"))
 
 
+@query("""WITH m AS (SELECT DISTINCT year(o_orderdate) AS y, month(o_orderdate) AS m FROM orders)
+SELECT '3B-MO-GIS.MS.MRG.3IMERG.' || CAST(y AS VARCHAR) || lpad(CAST(m AS VARCHAR), 2, '0') || '01-S000000-E235959.' || lpad(CAST(m AS VARCHAR), 2, '0') || '.V06B.total.accum.tif' AS granule,
+CAST(y AS VARCHAR) AS v_year, lpad(CAST(m AS VARCHAR), 2, '0') AS v_month FROM m""")
+def month_granule_names(spark, sf_dir):
+    """Names of the monthly rasters of all months, and the years and months read back from them."""
+    months = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).distinct()
+    named = months.select(month_granule_name(F.col("y"), F.col("m")).alias("granule"))
+    year, month = granule_month(F.col("granule"))
+    return named.select("granule", year.alias("v_year"), month.alias("v_month"))
+
+
 @query(f"""WITH {DAYS}, s AS (SELECT event_type AS id, CAST(ts + INTERVAL 12 HOUR AS DATE) AS v_date, sum(CAST(value AS DECIMAL(18,2))) AS v FROM events GROUP BY 1, 2),
 i AS (SELECT DISTINCT event_type AS id FROM events)
 SELECT i.id, CAST(days.v_date AS VARCHAR) AS v_date, round(coalesce(CAST(v AS DOUBLE) / 10, 0), 4) AS total_mm FROM i CROSS JOIN days LEFT JOIN s ON s.id = i.id AND s.v_date = days.v_date""")

@@ -13,12 +13,19 @@ def remap_classes(px: DataFrame, groups: DataFrame) -> DataFrame:
     return px.join(groups, "class_id")
 
 
+#: Groups of classes are a legend, not data; more than so many are an error.
+MOST_GROUPS = 1000
+
+
 def class_stability(px: DataFrame, groups: DataFrame, keys: tuple[str, ...] = ("row", "col"), min_years: int = 20, include_zero: bool = False) -> DataFrame:
     """Years in each group by pixel, and whether they make it stable. Pixels without a year in a group are left out
     unless include_zero."""
     n = remap_classes(px, groups).groupBy(*keys, "group").agg(F.count("*").alias("n_years"))
     if include_zero:
-        grid = px.select(*keys).distinct().crossJoin(F.broadcast(groups.select("group").distinct()))
+        names = [r["group"] for r in groups.select("group").distinct().limit(MOST_GROUPS + 1).collect()]
+        if len(names) > MOST_GROUPS:
+            raise ValueError(f"more than {MOST_GROUPS} groups")
+        grid = px.select(*keys).distinct().withColumn("group", F.explode(F.array(*[F.lit(g) for g in names])))
         n = grid.join(n, [*keys, "group"], "left").withColumn("n_years", F.coalesce("n_years", F.lit(0)))
     return n.withColumn("stable", F.when(F.col("n_years") >= min_years, 1).otherwise(0)).withColumn("not_stable", 1 - F.col("stable"))
 

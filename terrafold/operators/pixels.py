@@ -24,7 +24,11 @@ def valid_pixels(px: DataFrame, nodata: dict[str, float | None]) -> DataFrame:
     return px.where(reduce(and_, tests)) if tests else px
 
 
-def mask_by_class(px: DataFrame, value: str, class_col: str, ids: tuple[int, ...] = (20, 36, 39, 41)) -> DataFrame:
+#: Classes of cropland. Fixed values.
+CROPS = (20, 36, 39, 41)
+
+
+def mask_by_class(px: DataFrame, value: str, class_col: str, ids: tuple[int, ...] = CROPS) -> DataFrame:
     """value where the class is one of ids, else null."""
     return px.withColumn(value, F.when(F.col(class_col).isin(*ids), F.col(value)))
 
@@ -34,12 +38,21 @@ def stack_bands(px: DataFrame, bands: tuple[int, ...], keys: tuple[str, ...] = (
     return px.groupBy(*keys).pivot("band", list(bands)).agg(F.first("value")).select(*keys, *[F.col(str(b)).alias(f"band{b}") for b in bands])
 
 
-def describe_area(df: DataFrame, by: str, column: str, pixel_area: float = 900.0) -> DataFrame:
-    """count, mean, std, min, exact quartiles, max and area by group."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev(column).alias("std"), F.min(column).alias("min"), q.alias("q"), F.max(column).alias("max"))
-    quartiles = [F.get("q", F.lit(i)).alias(f"q{p}") for i, p in enumerate((25, 50, 75))]
-    return out.select(by, "n", "mean", "std", "min", *quartiles, "max", (F.col("n") * pixel_area).alias("area"))
+def describe_area(df: DataFrame, by: str, columns: tuple[str, ...], pixel_area: float = 900.0, accuracy: int | None = None) -> DataFrame:
+    """by, band, n, mean, std, min, q25, q50, q75, max, area: a row for each group and column, in one pass. The area is that
+    of the pixels which have a value in the first column.
+
+    Exact quartiles keep each distinct value of a group in memory; for continuous values in large groups give the
+    accuracy of approximate ones (1 / accuracy is their relative error in rank).
+    """
+    places = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy) if accuracy else F.percentile(c, places)
+    facts = lambda c: (("n", F.count(c)), ("mean", F.avg(c)), ("std", F.stddev(c)), ("min", F.min(c)), ("q", quartiles(c)), ("max", F.max(c)))
+    of = lambda c: F.struct(F.lit(c).alias("band"), *[v.cast("array<double>" if n == "q" else "long" if n == "n" else "double").alias(n) for n, v in facts(c)])
+    out = df.groupBy(by).agg(F.array(*[of(c) for c in columns]).alias("bands"))
+    out = out.select(by, (F.get("bands", F.lit(0))["n"] * F.lit(float(pixel_area))).alias("area"), F.explode("bands").alias("b"))
+    cut = [F.get(F.col("b.q"), F.lit(i)).alias(f"q{p}") for i, p in enumerate((25, 50, 75))]
+    return out.select(by, *[F.col(f"b.{c}").alias(c) for c in ("band", "n", "mean", "std", "min")], *cut, F.col("b.max").alias("max"), "area")
 
 
 def extent(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -58,11 +71,11 @@ def snap_extent(ext: DataFrame, x0: float, sx: float, y0: float, sy: float) -> D
 def _extents(catalog: DataFrame) -> DataFrame:
     c = F.col
     names = ("minx", "maxx", "miny", "maxy")
-    return catalog.withColumns(dict(zip(names, raster_extent(c("x0"), c("sx"), c("y0"), c("sy"), c("width"), c("height")), strict=True)))
+    return catalog.withColumns(dict(zip(names, raster_extent(*map(c, ("x0", "sx", "y0", "sy", "width", "height", "rx", "ry"))), strict=True)))
 
 
 def points_in_extents(points: DataFrame, catalog: DataFrame, cell: float) -> DataFrame:
-    """Every (point, image) whose extent holds the point, edges included: both sides go to grid cells of the given width
+    """Every (point, image) whose extent (of a rotated image: the box around it) holds the point, edges included: both sides go to grid cells of the given width
     and meet there, so neither is copied whole; the exact test follows."""
     ext = _extents(catalog)
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
@@ -89,9 +102,9 @@ def attach_value(points: DataFrame, samples: DataFrame, field: str) -> DataFrame
 
 
 def sampling_report(points: DataFrame, catalog: DataFrame, samples: DataFrame) -> DataFrame:
-    """Numbers of points, images and hits: three frames of one row side by side."""
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    return one(points, "n_points").crossJoin(one(catalog, "n_images")).crossJoin(one(samples, "n_hits"))
+    """Numbers of points, images and hits in one row."""
+    number = lambda df: df.agg(F.count("*")).scalar()
+    return points.agg(F.count("*").alias("n_points")).select("n_points", number(catalog).alias("n_images"), number(samples).alias("n_hits"))
 
 
 def align_origin(a: DataFrame, b: DataFrame, key: Column) -> DataFrame:
@@ -101,11 +114,13 @@ def align_origin(a: DataFrame, b: DataFrame, key: Column) -> DataFrame:
     return out.withColumn("x0", F.col("_x0")).withColumn("y0", F.col("_y0")).drop("_key", "_x0", "_y0")
 
 
-def unflatten_grid(df: DataFrame, longitudes: int) -> DataFrame:
+def unflatten_grid(df: DataFrame, longitudes: int | None = None) -> DataFrame:
     """lon, lat, height of a flattened grid (pos, height, north, west, n_s, e_w): the last meridian repeats the first and
-    goes; longitudes beyond 180 turn to the west."""
-    i, j = F.floor(F.col("pos") / longitudes), F.col("pos") % longitudes
+    goes; longitudes beyond 180 turn to the west. How many longitudes a row has follows from the header (which then has
+    east too) unless it is given."""
+    width = F.lit(longitudes) if longitudes else F.floor((F.col("east") - F.col("west")) / F.col("e_w")).cast("int") + 1
+    i, j = F.floor(F.col("pos") / width), F.col("pos") % width
     lon = F.col("west") + j * F.col("e_w")
     wrapped = F.when(lon > 180, (lon + 180) % 360 - 180).otherwise(lon)
     keep = [c for c in ("grid",) if c in df.columns]
-    return df.where(j < longitudes - 1).select(*keep, wrapped.alias("lon"), (F.col("north") - i * F.col("n_s")).alias("lat"), "height")
+    return df.where(j < width - 1).select(*keep, wrapped.alias("lon"), (F.col("north") - i * F.col("n_s")).alias("lat"), "height")

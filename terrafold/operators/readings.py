@@ -74,6 +74,23 @@ def latest_station(stations: DataFrame, subset: DataFrame) -> DataFrame:
     return own.withColumn("_rank", F.rank().over(Window.partitionBy("code_wmo").orderBy(F.desc("source_ano")))).where("_rank = 1").drop("_rank")
 
 
-def station_points(stations: DataFrame) -> DataFrame:
-    """Stations with a numeric point from their text coordinates."""
-    return stations.withColumn("point", F.struct(F.col("long").try_cast("double").alias("lon"), F.col("lat").try_cast("double").alias("lat")))
+#: Rows are numbered in 16 ** ID_DIGITS ranges of a hash, each on its own.
+ID_DIGITS = 3
+
+
+def with_row_id(df: DataFrame, key: str, name: str = "fid") -> DataFrame:
+    """df with ids from 1 on in the order of the hash of a key, then of the key; rows that repeat a key (or have none) follow
+    each other in any order. Ranges of the hash are counted first, so no task numbers all rows."""
+    hashed = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    rows = df.withColumn("_hash", hashed).withColumn("_range", F.substring(hashed, 1, ID_DIGITS))
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_hash", key))
+    return rows.withColumn("_place", place).join(starts, "_range").withColumn(name, F.col("_start") + F.col("_place")).drop("_hash", "_range", "_n", "_start", "_place")
+
+
+def station_points(stations: DataFrame, key: str | None = None) -> DataFrame:
+    """Stations with a numeric point from their text coordinates, null where these are no numbers, and, given the column
+    that tells stations apart, with a row id (fid)."""
+    out = stations.withColumn("point", F.struct(F.col("long").try_cast("double").alias("lon"), F.col("lat").try_cast("double").alias("lat")))
+    return with_row_id(out, key) if key else out

@@ -20,11 +20,11 @@ def satellite_daily(samples: DataFrame, stations: DataFrame, dates: DataFrame, f
     """id, v_date, total_mm: each station's half-hourly samples (id, ts, value) from 12:00 of the day before to 11:59, by
     factor. A station without a sample has 0; missing granules are passed over.
 
-    stations and dates are the grid that is asked for: its rows are those of the result.
+    stations and dates are the grid that is asked for: its rows are those of the result. Dates become one array.
     """
     day = (F.col("ts") + F.expr("interval 12 hours")).cast("date")
     sums = samples.groupBy("id", day.alias("v_date")).agg((F.sum("value") / factor).alias("total_mm"))
-    grid = stations.select("id").crossJoin(dates.select("v_date"))
+    grid = stations.select("id", F.explode(dates.agg(F.collect_list("v_date")).scalar()).alias("v_date"))
     return grid.join(sums, ["id", "v_date"], "left").select("id", "v_date", F.coalesce("total_mm", F.lit(0)).alias("total_mm"))
 
 

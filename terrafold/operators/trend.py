@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RESULT = "n int, s double, var_s double, z double, p double, slope double"
-#: Series compared at once; bounds the memory of their differences.
-CHUNK = 4096
+#: Differences between values of series that are held at once.
+CHUNK = 1 << 21
 
 
 def series_trend(x: np.ndarray) -> dict[str, np.ndarray]:
@@ -50,8 +50,9 @@ def mann_kendall(px: DataFrame, keys: list[str], t: str, v: str, images: DataFra
         n = np.array([-1 if a is None else len(a) for a in arrays])
         for size in sorted(set(n[n > 0].tolist())):
             rows = np.flatnonzero(n == size)
-            for at in range(0, len(rows), CHUNK):
-                part = rows[at : at + CHUNK]
+            step = max(1, CHUNK // size**2)
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
                 for c, got in series_trend(np.stack([arrays.iloc[r] for r in part])).items():
                     out.loc[part, c] = got
         out["n"] = pd.array(np.where(n < 0, 0, n), dtype="int32")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import decimal_comma
@@ -21,13 +21,14 @@ def reading_fields(line) -> list:
     return [decimal_comma(F.get(parts, F.lit(i))).alias(name) for i, name in enumerate(("data", "hora", *MEASURES))]
 
 
-def read_station_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Stations and readings of a directory of *.CSV files: eight lines of facts, a header line, then hourly rows.
+def read_station_files(spark: SparkSession, path: str, glob: str = "*.CSV", source: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Stations and readings of a directory of station files: eight lines of facts, a header line, then hourly rows.
 
-    Each file is read whole, since a line's place in its file matters; files are the unit of work.
+    Each file is read whole, since a line's place in its file matters; files are the unit of work. source: an expression
+    on the file's `path` that names it; its stem by default.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.CSV").load(path)
-    stem = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    stem = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1) if source is None else source
     lines = F.split(F.decode("content", "ISO-8859-1"), r"\r?\n")
     files = files.select(stem.alias("source"), lines.alias("lines"))
     fact = {name: decimal_comma(F.get(F.split(F.get("lines", F.lit(i)), ";"), F.lit(1))) for i, name in enumerate(FACTS)}
@@ -43,17 +44,25 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, lat double, long double").option("sep", ";").option("header", True).csv(path)
 
 
-def read_band_csvs(spark: SparkSession, path: str, bands: tuple[str, ...] = ("AW3D30", "NASADEM")) -> DataFrame:
-    """Stacked bands of the CSV files of a directory, first lines skipped, with each file's stem as name."""
-    rows = spark.read.schema(", ".join(f"{b} int" for b in bands)).option("header", True).option("enforceSchema", True).csv(path)
-    return rows.withColumn("name", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1))
+#: Names of the stacked bands. Fixed values.
+BANDS = ("AW3D30", "NASADEM")
 
 
-def read_text_grid(spark: SparkSession, path: str, longitudes: int) -> DataFrame:
-    """lon, lat, height of text grids: six header numbers, then values in blocks; lines under four characters are empty."""
+def read_band_csvs(spark: SparkSession, path: str, bands: tuple[str, ...] = BANDS, name: Column | None = None) -> DataFrame:
+    """Stacked bands of the CSV files of a directory, first lines skipped. name: an expression on `_metadata` that names a
+    file's rows; the file's stem, up to the first point, by default."""
+    rows = spark.read.schema(", ".join(f"{b} int" for b in bands)).option("header", True).option("enforceSchema", True).option("recursiveFileLookup", True).csv(path)
+    return rows.withColumn("name", F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1) if name is None else name)
+
+
+def read_text_grid(spark: SparkSession, path: str, longitudes: int | None = None, grid: Column | None = None) -> DataFrame:
+    """grid, lon, lat, height of text grids: six header numbers, then values in blocks; lines under four characters are empty.
+    How many longitudes there are follows from each header, unless it is given. grid: an expression on `_metadata` that
+    names a file; its path by default."""
     from ..operators.pixels import unflatten_grid
 
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("grid"), F.split("value", r"\r?\n").alias("lines"))
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    text = files.select((F.col("_metadata.file_path") if grid is None else grid).alias("grid"), F.split("value", r"\r?\n").alias("lines"))
     text = text.select("grid", F.filter("lines", lambda x: F.length(F.trim(x)) >= 4).alias("lines"))
     numbers = lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != "")
     head = numbers(F.element_at("lines", 1))
@@ -69,14 +78,15 @@ def pixels_from_parquet(spark: SparkSession, path: str, nodata: float | None) ->
     return nodata_to_null(spark.read.parquet(path), "value", nodata)
 
 
-def write_delimited(df: DataFrame, path: str, sep: str = ";") -> None:
-    df.write.mode("overwrite").option("sep", sep).option("header", True).csv(path)
+def write_delimited(df: DataFrame, path: str, sep: str = ";", mode: str = "errorifexists") -> None:
+    """Delimited text with a header; what is at path already is an error unless mode says otherwise."""
+    df.write.mode(mode).option("sep", sep).option("header", True).csv(path)
 
 
-def save(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def save(df: DataFrame, name: str, path: str | None = None, mode: str = "errorifexists") -> DataFrame:
     """Register df as a view, materialised as Parquet first if a path is given."""
     if path:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode(mode).parquet(path)
         df = df.sparkSession.read.schema(df.schema).parquet(path)
     df.createOrReplaceTempView(name)
     return df

@@ -69,6 +69,9 @@ def test_stability(spark):
     groups = spark.createDataFrame([("g", 1)], "group string, class_id int")
     assert {r.pixel: r.stable for r in L.class_stability(px, groups, ("pixel",)).collect()} == {0: 0, 1: 1, 2: 1}
     assert {r.pixel: r.n_years for r in L.class_stability(px, groups, ("pixel",), include_zero=True).collect()}[3] == 0
+    many = spark.range(1001).select(F.col("id").cast("string").alias("group"), F.lit(1).alias("class_id"))
+    with pytest.raises(ValueError):
+        L.class_stability(px, many, ("pixel",), include_zero=True)
 
 
 def test_valid_pixels_and_nodata(spark):
@@ -79,10 +82,20 @@ def test_valid_pixels_and_nodata(spark):
 
 def test_describe(spark):
     df = spark.createDataFrame([("f", float(v)) for v in (1, 2, 4, 9)], "name string, v double")
-    r = X.describe_area(df, "name", "v").first()
+    r = X.describe_area(df, "name", ("v",)).first()
     assert (r.n, r.mean, r.q25, r.q50, r.q75, r.area) == (4, 4.0, 1.75, 3.0, 5.25, 3600.0)
 
 
+def test_describe_bands(spark):
+    rows = [("f", 1, 5), ("f", 3, None), ("f", None, 7), ("g", None, None)]
+    df = spark.createDataFrame(rows, "name string, a int, b int")
+    for accuracy in (None, 1000):
+        got = {(r.name, r.band): r for r in X.describe_area(df, "name", ("a", "b"), accuracy=accuracy).collect()}
+        assert [(got["f", b].n, got["f", b].min, got["f", b].max, got["f", b].area) for b in "ab"] == [(2, 1, 3, 1800), (2, 5, 7, 1800)]
+        assert got["g", "a"].n == 0 and got["g", "b"].mean is None and got["g", "b"].area == 0
+    assert X.describe_area(df.limit(0), "name", ("a",)).count() == 0
+
+
 def test_snap_of_an_aligned_extent(spark):
     ext = spark.createDataFrame([(0.25, 1.0, 0.5, 2.0)], "minx double, maxx double, miny double, maxy double")
     r = X.snap_extent(ext, 0.0, 0.25, 5.0, -0.25).first()
@@ -95,6 +108,18 @@ def test_unflatten(spark):
     assert len(out) == 12 and {r.lon for r in out} == {0.0, 90.0, 180.0, -90.0} and {r.lat for r in out} == {90.0, 0.0, -90.0}
 
 
+def test_unflatten_by_the_header(spark):
+    flat = spark.createDataFrame([(i, float(i), 90.0, 0.0, 360.0, 90.0, 90.0) for i in range(15)], "pos int, height double, north double, west double, east double, n_s double, e_w double")
+    assert sorted(map(tuple, X.unflatten_grid(flat).collect())) == sorted(map(tuple, X.unflatten_grid(flat, 5).collect()))
+
+
+def test_extent_of_a_rotated_image(spark):
+    catalog = spark.createDataFrame([("r", 0.0, 0.0, 1.0, 0.0, 1.0, 0.0, 3, 2)], "raster_id string, x0 double, sx double, rx double, y0 double, ry double, sy double, width int, height int")
+    points = spark.createDataFrame([(1, 1.5, 2.5), (2, 2.5, 1.5)], "point_id int, x double, y double")
+    pixels = spark.createDataFrame([("r", 1, 2, 7.0)], "raster_id string, row int, col int, value double")
+    assert [tuple(r) for r in X.sample_at_points(points, catalog, pixels, 2.0).collect()] == [(1, "r", 7.0)]
+
+
 def test_points_in_extents_equals_the_plain_join(spark):
     points = spark.range(60).select(F.col("id").alias("point_id"), (F.col("id") % 8 * 1.0).alias("x"), (F.col("id") % 7 * 1.0).alias("y"))
     catalog = spark.createDataFrame([(str(i), float(i), 1.0, 0.0, i + 2.0, 0.0, -1.0, 3, 2) for i in range(5)], "raster_id string, x0 double, sx double, rx double, y0 double, ry double, sy double, width int, height int")

@@ -3,7 +3,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from terrafold.functions import granule_name, season
+from terrafold.functions import granule_month, granule_name, month_granule_name, season
 from terrafold.operators import pairs as P
 from terrafold.operators import readings as R
 from terrafold.operators import satellite as S
@@ -94,7 +94,27 @@ def test_satellite_window(spark):
     assert sorted((r.id, r.total_mm) for r in out.collect()) == [("a", 2.0), ("b", 0.0)]
 
 
+def test_monthly_granules(spark):
+    df = spark.createDataFrame([(2006, 1), (2019, 12)], "y int, m int")
+    named = df.select(month_granule_name(F.col("y"), F.col("m")).alias("g"))
+    # Fixed value.
+    assert named.first().g == "3B-MO-GIS.MS.MRG.3IMERG.20060101-S000000-E235959.01.V06B.total.accum.tif"
+    assert sorted(tuple(r) for r in named.select(*granule_month(F.col("g"))).collect()) == [("2006", "01"), ("2019", "12")]
+    assert tuple(spark.range(1).select(*granule_month(F.lit("other.tif"))).first()) == (None, None)
+    other = granule_name(F.lit("2020-01-01 00:00").cast("timestamp_ntz"), "3B-HHR-E", "V07A")
+    # Fixed value.
+    assert spark.range(1).select(other).first()[0] == "3B-HHR-E.MS.MRG.3IMERG.20200101-S000000-E002959.0000.V07A.30min"
+
+
+def test_row_ids(spark):
+    df = spark.createDataFrame([(k, "1.5", "x") for k in ["a", "b", None, "a", ""] + [f"s{i}" for i in range(500)]], "code string, long string, lat string")
+    rows = R.station_points(df, "code").collect()
+    assert sorted(r.fid for r in rows) == list(range(1, 506)) and all(r.point.lon == 1.5 and r.point.lat is None for r in rows)
+    assert R.station_points(df.limit(0), "code").count() == 0 and "fid" not in R.station_points(df).columns
+
+
 def test_granules(spark):
+    # A fixed value.
     one = spark.createDataFrame([(datetime(2006, 12, 22, 10),)], "t timestamp_ntz").select(granule_name(F.col("t"))).first()[0]
     assert one == "3B-HHR-L.MS.MRG.3IMERG.20061222-S100000-E102959.0600.V06B.30min"
     calendar = S.granule_calendar(spark.createDataFrame([(date(2019, 1, 2),)], "v_date date"))

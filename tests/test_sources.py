@@ -1,8 +1,11 @@
 from datetime import datetime
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 import terrafold.sources as sources
+from terrafold import storage
 from terrafold.streaming import satellite_daily_stream
 
 
@@ -23,6 +26,52 @@ def test_points_and_delimited_round_trip(spark, tmp_path):
     assert sources.read_points(spark, str(tmp_path / "p")).collect() == df.collect()
 
 
+def test_nothing_is_overwritten_unasked(spark, tmp_path):
+    df = spark.range(1)
+    for write in (sources.write_delimited, lambda d, p, mode="errorifexists": sources.save(d, "kept", p, mode)):
+        path = str(tmp_path / str(id(write)))
+        write(df, path)
+        with pytest.raises(AnalysisException):
+            write(df, path)
+        write(df, path, mode="overwrite")
+
+
+def test_the_shared_folder_must_be_shared(spark, monkeypatch):
+    assert storage.shared_dir(spark)
+    path = storage.new_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    storage.removed(spark, path)
+    spark.range(1).write.parquet(path)
+
+    class Elsewhere:
+        def __init__(self):
+            self.conf, self.sparkContext = self, self
+
+        master = "spark://host:7077"
+
+        def get(self, *_):
+            return None
+
+        @property
+        def _jsc(self):
+            return self
+
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):
+            return self
+
+        def isDefined(self):
+            return False
+
+        def isEmpty(self):
+            return True
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Elsewhere())
+
+
 def test_save(spark, tmp_path):
     sources.save(spark.range(3).toDF("x"), "saved", str(tmp_path / "s"))
     assert spark.sql("select sum(x) from saved").first()[0] == 3
@@ -36,7 +85,7 @@ def test_band_csvs(spark, tmp_path):
 
 def test_text_grid(spark, tmp_path):
     (tmp_path / "g.txt").write_text("-90 90 0 360 90 90\n1 2 3 4 5\n\n6 7 8 9 10\n11 12 13\n14 15\n")
-    rows = sources.read_text_grid(spark, str(tmp_path / "g.txt"), 5).collect()
+    rows = sources.read_text_grid(spark, str(tmp_path / "g.txt")).collect()
     assert len(rows) == 12 and {(r.lon, r.lat): r.height for r in rows}[(-90.0, 0.0)] == 9.0
 
 
