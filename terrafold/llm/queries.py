@@ -36,8 +36,8 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id and the headers of each derivative record, with a digest in place of its block."""
-    return warc.derive(warc.responses(table(spark, sf_dir, "pages"))).drop("block")
+    """Each derivative record of each page, header fields and block, read back from its WARC form."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
