@@ -8,6 +8,7 @@ which they differ, and where that fails, both are sketched anew with more cells.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 from itertools import chain
@@ -163,33 +164,30 @@ def likeness(a: list[np.ndarray], b: list[np.ndarray], first: Sketches | None =
 
 
 def next_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(part, place, doc_id, text): docs dealt by ranges of descending doc_id; each part ends with a row of place 1, the
-    first of the next part that has rows (after the last: the first of all). One shuffle of the texts.
-
-    The ranges come from a shuffle of the ids alone; a row a range reaches the driver. Null doc_ids come last.
+    """(part, place, doc_id, text): docs dealt by ranges of descending doc_id, null last, and of the hashes of texts; each part
+    ends with a row of place 1, the first of the next part that has rows (after the last: the first of all). One shuffle
+    of the texts. The ranges come from a shuffle of ids and hashes; a row a range reaches the driver.
     """
     spark = docs.sparkSession
-    ids = docs.select("doc_id").where("doc_id is not null").repartitionByRange(partitions(spark), F.col("doc_id").desc())
-    heads = sorted((r["head"] for r in ids.groupBy(F.spark_partition_id()).agg(F.max("doc_id").alias("head")).collect()), reverse=True)
-    nulls = docs.where("doc_id is null").limit(1).count() > 0
-    heads += [None] if nulls else []
-    shared = spark.sparkContext.broadcast(heads)
+    docs = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    order = (F.col("doc_id").isNull().cast("int"), -F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(0)), F.col("h"))
+    keys = docs.select(*[c.alias(n) for n, c in zip("abc", order, strict=True)]).repartitionByRange(partitions(spark), "a", "b", "c")
+    heads = sorted(tuple(r["head"]) for r in keys.groupBy(F.spark_partition_id()).agg(F.min(F.struct("a", "b", "c")).alias("head")).collect())
+    shared = spark.sparkContext.broadcast([(a, int(b), c) for a, b, c in heads])
 
     @F.pandas_udf("array<struct<part: int, place: int>>")
-    def dealt(own: pd.Series, null: pd.Series) -> pd.Series:
+    def dealt(own: pd.Series, null: pd.Series, h: pd.Series) -> pd.Series:
         heads = shared.value
-        known = np.array([-h for h in heads if h is not None], np.int64)
-        part = np.where(null, len(heads) - 1, np.searchsorted(known, -own.to_numpy(), side="right") - 1)
-        lead = set(heads)
-        return pd.Series([
-            [{"part": p, "place": 0}, {"part": (p - 1) % len(heads), "place": 1}] if (None if missing else x) in lead else [{"part": p, "place": 0}]
-            for p, x, missing in zip(part.tolist(), own.tolist(), null.tolist(), strict=True)
-        ])
+        out = []
+        for x, missing, c in zip(own.tolist(), null.tolist(), h.tolist(), strict=True):
+            key = (1, 0, c) if missing else (0, -x, c)
+            p = bisect.bisect_right(heads, key) - 1
+            out.append([{"part": p, "place": 0}] + ([{"part": (p - 1) % len(heads), "place": 1}] if heads[p] == key else []))
+        return pd.Series(out)
 
-    at = dealt(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull())
-    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"), F.explode(at).alias("at"))
-    rows = rows.select("at.part", "at.place", "doc_id", "text")
-    return rows.repartition(partitions(spark), "part").sortWithinPartitions("part", "place", F.col("doc_id").desc_nulls_last(), "text")
+    at = dealt(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), F.col("h"))
+    rows = docs.select("doc_id", "text", "h", F.explode(at).alias("at")).select("at.part", "at.place", "doc_id", "h", "text")
+    return rows.repartition(partitions(spark), "part").sortWithinPartitions("part", "place", F.col("doc_id").desc_nulls_last(), "h", "text").drop("h")
 
 
 def edited(text: str, after: str) -> str:
@@ -201,8 +199,9 @@ def edited(text: str, after: str) -> str:
 def compare_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, cells for every row.
 
-    The next document comes in descending order of doc_id, then ascending of text; null doc_ids are last and a null text
-    is empty. A single row is its own next. Equal texts have equal fingerprints; two texts without difference have
+    The next document comes in descending order of doc_id, then ascending of the texts' hashes; null doc_ids are last and a
+    null text is empty. The sketch that is shown is small: of two that differ in more than about a dozen pieces the
+    difference is peeled from larger sketches of both sets, whose cells are counted in `cells`. A single row is its own next. Equal texts have equal fingerprints; two texts without difference have
     likeness 1. Extra columns are left out; an empty table gives an empty one.
     """
 

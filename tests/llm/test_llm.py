@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from terrafold.llm import bpe, fingerprint, langid, licenses, mixing, quality, repair, similarity, topk, warc
+from terrafold.llm import bpe, fingerprint, langid, mixing, quality, repair, similarity, topk, warc
 from terrafold.llm.common import shingles
 from terrafold.llm.queries import ORACLE_SQL, QUERIES
 
@@ -319,71 +319,6 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-# 10
-
-
-def test_licenses(spark, odd, none):
-    rows = [(1, "x\nLicensed under the Apache License, Version 2.0.\ny"), (2, "RELEASED!! UNDER!! THE!! MIT!! LICENSE."), (3, "Licensed under CC BY-NC 4.0."), (4, "The rights of others are not a license."), (5, "This | work | is | licensed | under | the | GNU | General | Public | License, | version | 3. | z")]
-    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: ["Apache-2.0"], 2: ["MIT"], 3: ["CC-BY-NC-4.0"], 4: [], 5: ["GPL-3.0"]}
-    assert licenses.scan(odd).where("n_licenses > 0").count() == 0 and licenses.scan(none).count() == 0
-
-
-def test_licenses_of_one_line(spark):
-    header = licenses.TEMPLATES["Apache-2.0-header"]
-    rows = [
-        (1, "All rights reserved. Licensed under CC BY 4.0."), (2, " ".join(licenses.TEMPLATES.values())), (3, header), (4, f"{header} All rights reserved. {licenses.TEMPLATES['Apache-2.0']}"),
-        (5, header.replace("may not use", "must not use")), (6, "Released under the MIT License. Released under the MIT License."),
-    ]
-    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1] == ["CC-BY-4.0", "all-rights-reserved"]
-    assert got[2] == sorted(licenses.TEMPLATES)
-    assert got[3] == got[5] == ["Apache-2.0-header"]
-    assert got[4] == ["Apache-2.0", "Apache-2.0-header", "all-rights-reserved"]
-    assert got[6] == ["MIT"]
-
-
-MIT = """Copyright 2020 A. Writer
-
-Permission is hereby granted, free of charge, to any person obtaining a copy
-of this software and associated documentation files (the "Software"), to deal
-in the Software without restriction."""
-BSD = """# Redistribution and use in source and binary forms, with or without
-# modification, are permitted provided that the following conditions are
-# met:"""
-APACHE = """ * Licensed under the Apache License, Version 2.0 (the "License");
- * you may not use this file except in compliance with the License."""
-
-
-def test_licenses_across_lines(spark):
-    filler = "\n".join(f"word{i} other{i}" for i in range(5000))
-    one_a_line = "\n".join(w for t in licenses.TEMPLATES.values() for w in t.split())
-    many = "\n".join(["no license here"] * 3000)
-    rows = [(1, MIT), (2, BSD), (3, APACHE), (4, f"{filler}\n{MIT}\n{filler}\n{BSD}\n{filler}"), (5, f"{MIT}\n{BSD}\n{APACHE}"), (6, one_a_line), (7, f"{many}\n{BSD}\n{many}"), (8, many)]
-    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    both = ["BSD-redistribution", "MIT-permission"]
-    assert got == {1: both[1:], 2: both[:1], 3: ["Apache-2.0-header"], 4: both, 5: ["Apache-2.0-header", *both], 6: sorted(licenses.TEMPLATES), 7: both[:1], 8: []}
-
-
-def test_notices_at_any_distance():
-    scanner = licenses.Scanner(licenses.TEMPLATES)
-    notices = [licenses.TEMPLATES[k] for k in ("Apache-2.0-header", "MIT-permission", "all-rights-reserved")]
-    for gap in range(100):
-        text = f" {'x ' * gap}".join(["rights", *notices])
-        assert {m.name for m in scanner.find(text)} == {"Apache-2.0-header", "MIT-permission", "all-rights-reserved"}, gap
-
-
-def test_notice_that_saves_nothing(monkeypatch):
-    scanner = licenses.Scanner(licenses.TEMPLATES)
-    monkeypatch.setattr(scanner, "reductions", lambda block, names: [(-0.01, k) for k in names])
-    assert [m.name for m in scanner.matches("x all rights reserved y")] == ["all-rights-reserved"]
-
-
-def test_differences():
-    assert licenses.differences("a b c".split(), "x a b c y".split()) == 0
-    assert licenses.differences("a b c".split(), "x a z c y".split()) == 1
-
-
 # The pipeline
 
 
@@ -400,3 +335,13 @@ def test_pipeline(spark, docs):
 
 def test_sql_names():
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_next_document_among_repeated_and_missing_ids(spark, monkeypatch):
+    rows = [(7, f"seven {i}") for i in range(20)] + [(None, f"none {i}") for i in range(20)] + [(i, f"text {i}") for i in range(20, 40)] + [(None, None), (7, "seven 3")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashed = {r.text: r.h for r in frame.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]], r[1]))
+    got = sorted(map(repr, ((r.doc_id, r.edited_sha256) for r in fingerprint.compare_documents(frame).collect())))
+    want = [(d, sha(fingerprint.edited(t, order[(i + 1) % len(order)][1]).encode())) for i, (d, t) in enumerate(order)]
+    assert got == sorted(map(repr, want))
