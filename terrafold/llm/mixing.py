@@ -30,8 +30,10 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
-def random_key(doc_id: Column, seed: str = SEED) -> Column:
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def random_key(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """The hash of doc_id, or of the text where there is none, so that rows without an id spread too."""
+    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    return F.md5(F.concat(F.lit(seed + ":"), own).cast("binary"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -61,10 +63,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
 
     taken counts the words that the mix takes of the row: its size in each whole epoch, and in the last epoch what lies
     before the cut, so a source's taken words add up to the floor of its target. Nulls: a null text has no words, a null
-    source is a source, a null doc_id is a key like any. Equal keys are ordered by doc_id, size and, with carry, text;
+    source is a source, the key of a null doc_id comes from the text. Equal keys are ordered by doc_id, size and, with carry, text;
     repeated rows are taken one after another. An empty table gives an empty one.
     """
-    key = random_key(F.col("doc_id"), seed)
+    key = random_key(F.col("doc_id"), F.col("text"), seed)
     rows = docs.select(
         "doc_id", size_of(F.col("text")).alias("size"), source_key(F.col("source")).alias("src"), key.alias("key"), F.substring(key, 1, RANGE_DIGITS).alias("range"),
         *([F.struct(*docs.columns).alias("row")] if carry else []),

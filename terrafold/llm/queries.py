@@ -64,7 +64,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mixing": r"""
 WITH d AS (
   SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, '')))) AS key
   FROM documents),
 s AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY src),
 w AS (
