@@ -20,8 +20,11 @@ FAMILIES = {
     "slavic": ("bg", "cs", "pl", "ru", "sk", "uk"),
 }
 WIDTH = 4096
-#: The fit uses about so many rows of each language, chosen by a hash of doc_id.
-ROWS_PER_LANGUAGE = 600
+#: The fit uses about so many rows of each language, chosen by a hash of doc_id and text, and about so many in all.
+ROWS_PER_LANGUAGE, ROWS = 600, 16_000
+#: So many languages are learned at most: those with the most rows, of equal ones the first by code point. Their models
+#: grow with the square of this. Rows of other languages are predicted like all, but not learned from.
+MOST_LANGUAGES = 64
 UNKNOWN = "und"
 #: The remainder of crc32(doc_id) by FOLDS that is held out.
 FOLDS, HELD_OUT = 4, 2
@@ -82,21 +85,23 @@ class Hierarchy:
 def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, families: dict[str, tuple[str, ...]] = FAMILIES) -> Hierarchy | None:
     """A model from text and lang of the rows that are not held out; None where there are none.
 
-    The sample has about rows_per_language rows of each language, so what reaches the driver is bounded by the number
-    of languages. Rows without text, lang, doc_id or any letter are not learned from.
+    The sample has about rows_per_language rows of each language and ROWS in all, so what reaches the driver is bounded,
+    whatever the table holds. Rows without text, lang, doc_id or any letter are not learned from; repeated rows count once.
     """
-    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang", F.xxhash64("text").alias("h"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in sizes.collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, rows_per_language / n))])
-    draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    rows = min(rows_per_language, ROWS // len(counts))
+    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, rows / n))])
+    draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id", "h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     @F.pandas_udf("binary")
     def features(texts: pd.Series) -> pd.Series:
         return pd.Series([ngrams(t).astype(np.float16).tobytes() if has_letter(t) else None for t in texts], dtype=object)
 
-    sample = known.where(draw <= F.element_at(share, F.col("lang"))).select("doc_id", "lang", features("text").alias("x"))
+    sample = known.where(draw <= F.try_element_at(share, F.col("lang"))).dropDuplicates(["doc_id", "lang", "h"]).select("doc_id", "lang", features("text").alias("x"))
     got = sorted((r for r in sample.collect() if r["x"] is not None), key=lambda r: (r["doc_id"], r["lang"], bytes(r["x"])))
     if not got:
         return None

@@ -63,28 +63,35 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def ordinal(x: Rows, grade: np.ndarray, grades: int, width: int, ridge: float = 1e-5, steps: int = 100, rate: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Shared weights and ascending thresholds of P(grade > k) = logistic(w x - threshold k), by Adam on the likelihood.
+def ordinal_loss(x: Rows, grade: np.ndarray, w: np.ndarray, base: np.ndarray, gaps: np.ndarray, ridge: float) -> tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The mean negative log-likelihood of grades with a ridge on the weights, and its gradient.
 
-    Thresholds are kept in order: each is the one before plus an exponential.
+    P(grade > k) = logistic(w x - threshold k); the thresholds are base, and each later one is the one before plus the
+    exponential of a gap, so they ascend.
     """
+    n = max(1, len(grade))
+    theta = np.concatenate([base, base + np.cumsum(np.exp(gaps))])
+    score = x.dot(w)
+    tail = sigmoid(score[:, None] - theta)
+    full = np.hstack([np.ones((len(score), 1)), tail, np.zeros((len(score), 1))])
+    own = np.maximum(full[np.arange(len(grade)), grade] - full[np.arange(len(grade)), grade + 1], 1e-9)
+    slope = np.hstack([np.zeros((len(score), 1)), tail * (1 - tail), np.zeros((len(score), 1))])
+    up, low = slope[np.arange(len(grade)), grade], slope[np.arange(len(grade)), grade + 1]
+    g_theta = np.zeros(len(theta) + 2)
+    np.add.at(g_theta, grade, up / own / n)
+    np.add.at(g_theta, grade + 1, -low / own / n)
+    g_theta = g_theta[1:-1]
+    g_gaps = np.array([g_theta[k + 1 :].sum() for k in range(len(gaps))]) * np.exp(gaps)
+    loss = -np.log(own).sum() / n + ridge / 2 * float(w @ w)
+    return loss, (x.back(-(up - low) / own / n, len(w)) + ridge * w, np.array([g_theta.sum()]), g_gaps)
+
+
+def ordinal(x: Rows, grade: np.ndarray, grades: int, width: int, ridge: float = 1e-5, steps: int = 100, rate: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Shared weights and ascending thresholds that make the grades likely (ordinal_loss), by Adam."""
     w, base, gaps = np.zeros(width), np.zeros(1), np.zeros(max(0, grades - 2))
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, base, gaps)]
-    n = max(1, len(grade))
     for t in range(1, steps + 1):
-        theta = np.concatenate([base, base + np.cumsum(np.exp(gaps))])
-        score = x.dot(w)
-        tail = sigmoid(score[:, None] - theta)
-        full = np.hstack([np.ones((len(score), 1)), tail, np.zeros((len(score), 1))])
-        own = np.maximum(full[np.arange(len(grade)), grade] - full[np.arange(len(grade)), grade + 1], 1e-9)
-        slope = np.hstack([np.zeros((len(score), 1)), tail * (1 - tail), np.zeros((len(score), 1))])
-        up, low = slope[np.arange(len(grade)), grade], slope[np.arange(len(grade)), grade + 1]
-        g_theta = np.zeros(grades + 1)
-        np.add.at(g_theta, grade, up / own / n)
-        np.add.at(g_theta, grade + 1, -low / own / n)
-        g_theta = g_theta[1:-1]
-        g_gaps = np.array([g_theta[k + 1 :].sum() for k in range(len(gaps))]) * np.exp(gaps)
-        grads = x.back(-(up - low) / own / n, width) + ridge * w, np.array([g_theta.sum()]), g_gaps
+        _, grads = ordinal_loss(x, grade, w, base, gaps, ridge)
         for p, g, (m, v) in zip((w, base, gaps), grads, state, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)

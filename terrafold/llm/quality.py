@@ -26,8 +26,10 @@ BEGINNINGS = (4, 5)
 #: Presence counts for the model where the sample's documents of one grade have it so many standard errors more often
 #: than those of the better grades.
 SURE = 5.0
-#: The fit uses about so many labelled rows, chosen by a hash of doc_id.
+#: The fit uses about so many labelled documents, chosen by a hash of doc_id.
 ROWS = 6000
+#: Labels of documents whose crc32(doc_id as text) leaves this remainder are never learned from, so they test the model.
+FOLDS, HELD_OUT = 5, 4
 GRADES = 3
 #: The value of what is present.
 PRESENCE = 0.25
@@ -47,6 +49,11 @@ def grade(quality: Column, toxic: Column) -> Column:
     return F.when(quality.isNull() | toxic.isNull(), None).when(quality < 1, 0).when(toxic > 0, 1).otherwise(2).cast("int")
 
 
+def held_out(doc_id: Column) -> Column:
+    """Whether the labels of a document are kept from learning; a null doc_id has none to keep."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
+
+
 def _parts(data: bytes):
     """data in parts that end at white space."""
     at = 0
@@ -120,16 +127,17 @@ class Grader:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Grader | None:
-    """A model from the grades of about `rows` labelled documents; None where no document has a grade.
+    """A model from the grades of about `rows` labelled documents that are not held out; None where there are none.
 
-    Labels with a null are passed over; of a document with several labels the lowest grade counts. The sample's labels
-    are bounded by `rows`, so they are broadcast; only their texts are read into features, which are collected.
+    Labels with a null are passed over; of a document with several labels the lowest grade counts, and of rows that repeat
+    a doc_id one text, that of the least hash. So the sample is bounded by `rows`: its labels are broadcast, and its
+    texts' features are collected.
     """
-    graded = labels.select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade")).where("doc_id is not null and grade is not null")
-    n = graded.count()
+    graded = labels.select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade")).where("doc_id is not null and grade is not null").where(~held_out(F.col("doc_id")))
+    n = graded.select("doc_id").distinct().count()
     if not n:
         return None
-    draw = F.pmod(F.xxhash64(F.lit("grade"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    draw = F.pmod(F.xxhash64(F.lit("grade"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = graded.where(draw <= min(1.0, rows / n)).groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
     @F.pandas_udf("columns binary, values binary, present binary")
@@ -137,7 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Grader | None:
         got = [features(t) for t in texts]
         return pd.DataFrame({"columns": [c.tobytes() for c, _, _ in got], "values": [v.astype(np.float16).tobytes() for _, v, _ in got], "present": [p.tobytes() for _, _, p in got]})
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", of("text").alias("x"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = texts.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text"))
+    sample = one.select("doc_id", "grade", of("text").alias("x"))
     got = sorted(sample.collect(), key=lambda r: (r["doc_id"], bytes(r["x"]["columns"])))
     if not got:
         return None
@@ -173,11 +183,12 @@ def graded(text: Column, model: Grader | None, spark) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, expected_grade, p_fair, p_good, keep for every row of docs. Repeated rows are graded alike, extra columns
-    are left out. Without any grade to learn from, all are kept with null probabilities."""
+    """doc_id, held_out, expected_grade, p_fair, p_good, keep for every row of docs; labels of held-out documents are not
+    learned from. Null and empty texts have the features of no words; repeated rows are graded alike; extra columns are
+    left out; an empty table gives an empty one. Without any grade to learn from, all are kept with null probabilities."""
     model = fit(docs, labels)
-    got = docs.select("doc_id", graded(F.col("text"), model, docs.sparkSession).alias("got"))
-    return got.select("doc_id", "got.*", F.coalesce(F.col("got.p_good") >= least, F.lit(True)).alias("keep"))
+    got = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), graded(F.col("text"), model, docs.sparkSession).alias("got"))
+    return got.select("doc_id", "held_out", "got.*", F.coalesce(F.col("got.p_good") >= least, F.lit(True)).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = LEAST) -> DataFrame:
