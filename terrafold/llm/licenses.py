@@ -1,15 +1,19 @@
 """Operator 10: license scans by conditional compression.
 
 A block of text that a license template explains compresses far better with the template as dictionary than without.
-Templates are ranked by that reduction, and each is confirmed by the exact words in which the block differs.
+Templates are ranked by that reduction, and each is confirmed by the exact words in which the block differs: few, and none
+of them a number, a negation or a word that names a license.
+
+A template of n words may differ in DIFFERENT of them, so of one more piece than that of the template at least one is
+found word for word; candidate blocks lie around the first three words of such pieces. Words are counted across lines and
+without marks, so wrapped notices and those in comments or tables are found.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -17,46 +21,33 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Public license notices. Fixed values.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "MIT": "Released under the MIT License.",
-    "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "BSD-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "all-rights-reserved": "All rights reserved.",
-}
-#: Words that a block must hold to be a candidate; every template holds one.
-ANCHOR = re.compile(r"(?i)licen[sc]e|permission|redistribution|rights")
-#: Words kept on either side of an anchor, at least; more where a template is longer.
-AROUND = 32
+from .license_texts import TEMPLATES
+
 #: The share of a template's words in which a block may differ.
-DIFFERENT = 0.15
+DIFFERENT = 0.05
+#: Words that name a license, a condition or a grant, and negations; like numbers, they never differ. Fixed values.
+NAMES = frozenset(
+    "gnu general lesser library affero public apache mit bsd isc mozilla mpl eclipse boost zlib creative commons cc cc0 attribution by sa nc nd by-sa by-nc by-nd by-nc-sa by-nc-nd "
+    "attribution-sharealike attribution-noncommercial attribution-noderivatives attribution-noncommercial-sharealike attribution-noncommercial-noderivatives "
+    "version v later only fee domain not no never nor neither without cannot except unless".split()
+)
+#: What every template holds; no confirmed block is without one, as these words never differ.
+ANCHOR = re.compile(r"(?i)licen[sc]e|permission|redistribution|rights|unencumbered")
+#: A notice after one of these, within so many words, is none.
+NEGATIONS, BEFORE = frozenset("not no never neither nor isn aren wasn without cannot".split()), 2
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
+_LICENCE = re.compile(r"licence")
 
 
 def wording(text: str) -> list[str]:
-    """Words without case, marks and table bars."""
-    return [w.lower() for w in _WORD.findall(text)]
+    """Words without case, marks and table bars; licence is spelt license."""
+    return _LICENCE.sub("license", " ".join(_WORD.findall(text)).lower()).split()
 
 
-def blocks(text: str, around: int = AROUND) -> Iterator[tuple[int, str]]:
-    """The candidate blocks of a whole text and the places of their first words. Blocks are cut from the sequence of all
-    words, across lines: each anchor is in one with `around` words on either side, or as many as there are; anchors
-    within `around` words of a block's first one share it."""
-    if ANCHOR.search(text) is None:
-        return
-    words = wording(text)
-    at = [i for i, w in enumerate(words) if ANCHOR.search(w)]
-    while at:
-        same = bisect_right(at, at[0] + around)
-        first = max(0, at[0] - around)
-        yield first, " ".join(words[first : at[same - 1] + around + 1])
-        at = at[same:]
+@lru_cache(100_000)
+def fixed(word: str) -> bool:
+    """Whether a word may not differ."""
+    return word in NAMES or any(map(str.isdigit, word)) or ANCHOR.search(word) is not None
 
 
 def endings(template: list[str], block: list[str]) -> list[tuple[int, int]]:
@@ -78,11 +69,14 @@ def differences(template: list[str], block: list[str]) -> int:
 
 
 def places(template: list[str], block: list[str], most: int) -> list[tuple[int, int, int]]:
-    """(start, end, differences) of every place where the template is found with at most so many differences; of
-    neighbouring ends the one with the fewest, the last of equal ones."""
-    out, last = [], None
+    """(start, end, differences) of every place where the template is found with at most so many differences, and with its
+    fixed words as they are; of neighbouring ends the one with the fewest, the last of equal ones."""
+    out, last, want = [], None, [w for w in template if fixed(w)]
+    if not most:
+        n = len(template)
+        return [(i, i + n, 0) for i in range(len(block) - n + 1) if block[i : i + n] == template]
     for end, (d, start) in enumerate(endings(template, block)):
-        if d <= most:
+        if d <= most and [w for w in block[start:end] if fixed(w)] == want:
             if last != end - 1:
                 out.append((start, end, d))
             elif d <= out[-1][2]:
@@ -92,8 +86,8 @@ def places(template: list[str], block: list[str], most: int) -> list[tuple[int,
 
 
 class Match(NamedTuple):
-    """A template found at words start to end (exclusive) of a block or text, its saving as a share of the block's compressed
-    size, the differing words, and these as a share of its words."""
+    """A license found at words start to end (exclusive) of a text, its saving as a share of the block's compressed size, the
+    differing words, and these as a share of the template's words."""
 
     start: int
     end: int
@@ -104,7 +98,7 @@ class Match(NamedTuple):
 
 
 def outermost(found: list[Match]) -> list[Match]:
-    """The matches that no longer match of another template holds; where two hold the same words, the one that differs
+    """The matches that no longer match of another license holds; where two hold the same words, the one that differs
     least stays."""
     out: list[Match] = []
     near: list[Match] = []
@@ -116,56 +110,89 @@ def outermost(found: list[Match]) -> list[Match]:
     return out
 
 
+class Template:
+    def __init__(self, name: str, text: str):
+        self.name, self.words = name, wording(text)
+        n = len(self.words)
+        if n < 3 or not any(ANCHOR.search(w) for w in self.words):
+            raise ValueError(f"a template has three words or more and an anchor: {text}")
+        #: How many words may differ; pieces of a template have three words or more.
+        self.most = min(int(DIFFERENT * n), n // 3 - 1)
+        size = n // (self.most + 1)
+        self.pieces = [(i * size, tuple(self.words[i * size : i * size + 3])) for i in range(self.most + 1)]
+        raw = zstandard.ZstdCompressionDict(" ".join(self.words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.packer = zstandard.ZstdCompressor(level=19, dict_data=raw, write_content_size=False)
+
+
 class Scanner:
-    def __init__(self, templates: dict[str, str]):
-        self.words = {k: wording(t) for k, t in templates.items()}
-        raw = lambda t: zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, templates: Mapping[str, tuple[str, ...]] = TEMPLATES):
+        self.templates = [Template(name, text) for name, texts in templates.items() for text in texts]
         self.plain = zstandard.ZstdCompressor(level=19, write_content_size=False)
-        self.with_ = {k: zstandard.ZstdCompressor(level=19, dict_data=raw(" ".join(w)), write_content_size=False) for k, w in self.words.items()}
-        self.counts = {k: Counter(w) for k, w in self.words.items()}
-        self.most = {k: int(DIFFERENT * len(w)) for k, w in self.words.items()}
-        #: As many words as a confirmed notice may have.
-        self.around = max([AROUND, *(len(w) + self.most[k] for k, w in self.words.items())])
-        self.seen: dict[str, list[Match]] = {}
-
-    def reductions(self, block: str, names: list[str]) -> list[tuple[float, str]]:
+        self.at: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+        for t, template in enumerate(self.templates):
+            for offset, words in template.pieces:
+                self.at.setdefault(words, []).append((t, offset))
+        self.begins = {words[0] for words in self.at}
+        self.seen: dict[tuple[str, tuple[int, ...]], list[Match]] = {}
+
+    def candidates(self, words: list[str]) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+        """(start, end, templates): the words among which some templates may be found; what overlaps is one block."""
+        found = []
+        for i, w in enumerate(words):
+            if w in self.begins:
+                for t, offset in self.at.get(tuple(words[i : i + 3]), ()):
+                    template = self.templates[t]
+                    first = i - offset - template.most
+                    found.append((max(0, first), min(len(words), first + len(template.words) + 2 * template.most), t))
+        found.sort()
+        while found:
+            start, end, n = *found[0][:2], 0
+            while n < len(found) and found[n][0] < end:
+                end, n = max(end, found[n][1]), n + 1
+            yield start, end, tuple(sorted({t for _, _, t in found[:n]}))
+            found = found[n:]
+
+    def reductions(self, block: str, templates: tuple[int, ...]) -> list[tuple[float, int]]:
         """Some templates by the share of a block's compressed size that it saves when they are given, best first."""
         data = block.encode()
         bare = len(self.plain.compress(data))
-        return sorted((((bare - len(self.with_[k].compress(data))) / max(1, bare), k) for k in names), key=lambda x: (-x[0], x[1]))
-
-    def possible(self, block: list[str]) -> list[str]:
-        """Templates of whose words the block holds enough; no other can be confirmed, as each missing word differs."""
-        held = Counter(block)
-        return [k for k, c in self.counts.items() if sum(min(n, held[w]) for w, n in c.items()) >= len(self.words[k]) - self.most[k]]
-
-    def matches(self, block: str) -> list[Match]:
-        """All templates that the wording confirms, but those within a longer one. Compression ranks and scores them but
-        rules none out: among other words a short notice may save nothing."""
-        if block not in self.seen:
-            if len(self.seen) > 50_000:
+        return sorted((((bare - len(self.templates[t].packer.compress(data))) / max(1, bare), t) for t in templates), key=lambda x: (-x[0], x[1]))
+
+    def matches(self, block: str, templates: tuple[int, ...]) -> list[Match]:
+        """All templates that the wording confirms. Compression ranks and scores them but rules none out: among other words
+        a short notice may save nothing."""
+        key = block, templates
+        if key not in self.seen:
+            if len(self.seen) > 20_000:
                 self.seen.clear()
             own, found = block.split(" "), []
-            names = self.possible(own)
-            for saved, k in self.reductions(block, names) if names else []:
-                found += [Match(*at, k, saved, d, d / len(self.words[k])) for *at, d in places(self.words[k], own, self.most[k])]
-            self.seen[block] = outermost(found)
-        return self.seen[block]
+            for saved, t in self.reductions(block, templates):
+                template = self.templates[t]
+                found += [Match(*at, template.name, saved, d, d / len(template.words)) for *at, d in places(template.words, own, template.most)]
+            if len(block) > 2000:
+                return found
+            self.seen[key] = found
+        return self.seen[key]
 
     def find(self, text: str) -> list[Match]:
-        """All confirmed templates of a whole text, but those within a longer one."""
-        found = [m._replace(start=first + m.start, end=first + m.end) for first, b in blocks(text, self.around) for m in self.matches(b)]
-        return outermost(found)
+        """All confirmed licenses of a whole text, but those within a longer notice and those that are negated."""
+        if ANCHOR.search(text) is None:
+            return []
+        words, found = wording(text), []
+        for start, end, templates in self.candidates(words):
+            found += [m._replace(start=start + m.start, end=start + m.end) for m in self.matches(" ".join(words[start:end]), templates)]
+        return [m for m in outermost(found) if not NEGATIONS.intersection(words[max(0, m.start - BEFORE) : m.start])]
 
 
 _LOADED: dict[tuple, Scanner] = {}
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """doc_id, n_licenses, licenses, saved, differing for every row of docs: the distinct templates found in its whole
-    text in code-point order, the largest saving (0 at least) and the fewest differing words. A null or empty text has none; extra
-    columns are left out. One scan, no shuffle."""
-    items = tuple(templates.items())
+def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
+    """doc_id, n_licenses, licenses, saved, differing for every row of docs: the distinct licenses found in its whole text in
+    code-point order, the largest saving (0 at least) and the fewest differing words (null without licenses). A null or
+    empty text has none; repeated rows are scanned alike; extra columns are left out; an empty table gives an empty one.
+    One scan, no shuffle."""
+    items = tuple((k, tuple(v)) for k, v in templates.items())
 
     @F.pandas_udf("n_licenses int, licenses array<string>, saved double, differing int")
     def run(texts: pd.Series) -> pd.DataFrame:
