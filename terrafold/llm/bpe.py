@@ -10,21 +10,26 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 NO_PAIR = np.int32(2**31 - 1)
 #: Pieces of up to so many bytes are merged together.
 TOGETHER = 64
-#: Chunks that a Python worker remembers before it starts anew.
-REMEMBERED = 200_000
+#: Chunks that a Python worker remembers before it starts anew, and the most characters of one; longer ones are encoded
+#: each time they come, so what is remembered is bounded in bytes.
+REMEMBERED, LONGEST = 200_000, 40
+#: Texts that are encoded together.
+TEXTS = 1000
 
 
 class Merges:
@@ -48,6 +53,8 @@ class Merges:
         #: By chunk, the first without and the second with a space before it: decimal ids, decoded bytes.
         self.seen: dict[str, tuple[str, bytes]] = {}
         self.seen_spaced: dict[str, tuple[str, bytes]] = {}
+        #: Chunks among these that are too long to be remembered.
+        self.long: list[tuple[dict, str]] = []
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
@@ -167,10 +174,14 @@ class Merges:
         return out
 
     def learn(self, chunks: Iterable[str], spaced: Iterable[str] = ()) -> None:
-        """Remember, of chunks not seen yet, the decimal ids and the bytes that they decode to."""
+        """Remember, of chunks not seen yet, the decimal ids and the bytes that they decode to. What is long is forgotten
+        when the next chunks come."""
         if len(self.seen) + len(self.seen_spaced) > REMEMBERED:
             self.seen.clear()
             self.seen_spaced.clear()
+        for seen, chunk in self.long:
+            seen.pop(chunk, None)
+        self.long.clear()
         for seen, before, wanted in ((self.seen, "", chunks), (self.seen_spaced, " ", spaced)):
             new = list(set(wanted).difference(seen))
             pieces = [[p.encode() for p in self.split(before + c)] for c in new]
@@ -179,6 +190,8 @@ class Merges:
             for chunk, ps in zip(new, pieces, strict=True):
                 own = ids[ps[0]] if len(ps) == 1 else [i for p in ps for i in ids[p]]
                 seen[chunk] = ",".join([decimal[i] for i in own]), b"".join([text[i] for i in own])
+                if len(chunk) > LONGEST:
+                    self.long.append((seen, chunk))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -189,15 +202,19 @@ class Merges:
         return [i for p in pieces for i in ids[p]]
 
 
-SPACE_RUN = regex.compile(r" \s").search
+#: A space before white space, by the widest notion of it.
+SPACE_RUN = re.compile(r" \s").search
+#: Before a space that follows a letter, a digit or a mark: no match of the pattern holds both.
+AFTER_WORD = regex.compile(r"(?V1)(?<=[\p{L}\p{N}\p{P}])(?= )").split
 
 
 def chunks_of(text: str) -> tuple[str, list[str]]:
-    """text cut before its single spaces: the first chunk, and the others without their space. A space and what follows
-    belong to one match of the pattern whenever the next character is no white space, so such a cut lies between two
-    matches; a text with a space before other white space stays whole."""
+    """text cut before spaces: the first chunk, and the others without the space that they begin with. A space and what
+    follows belong to one match of the pattern whenever the next character is no white space, so a cut before a single
+    space lies between two matches; a text with a space before other white space is cut after words alone."""
     if SPACE_RUN(text):
-        return text, []
+        first, *rest = AFTER_WORD(text)
+        return first, [x[1:] for x in rest]
     first, *rest = text.split(" ")
     return first, rest
 
@@ -214,32 +231,6 @@ def loaded(lines: bytes) -> Merges:
     return _LOADED[key]
 
 
-def encode_decode(text: Column, spark, vocabulary: str = VOCABULARY) -> Column:
-    """struct<n_tokens, ids_sha256, decoded_sha256> of whole texts; null counts as empty, the empty text has no ids.
-
-    The vocabulary is a file of fixed size; it is broadcast, so executors need no copy.
-    """
-    with open(vocabulary, "rb") as f:
-        lines = spark.sparkContext.broadcast(f.read())
-
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        merges = loaded(lines.value)
-        out = []
-        for at in range(0, len(texts), 1000):
-            part = [chunks_of(t or "") for t in texts.iloc[at : at + 1000]]
-            merges.learn([a for a, _ in part], set().union(*[b for _, b in part]))
-            first, get = merges.seen, merges.seen_spaced.__getitem__
-            for a, rest in part:
-                decimal, text = zip(first[a], *map(get, rest), strict=True)
-                ids = ",".join(decimal if a else decimal[1:])
-                whole = hashlib.sha256(b"".join(text)).hexdigest()
-                out.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), whole))
-        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return run(text)
-
-
 def token_ids(df: DataFrame, text: str = "text", out: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """df with an array of the ids of each whole text (null: no ids)."""
     with open(vocabulary, "rb") as f:
@@ -266,9 +257,35 @@ def decoded_text(df: DataFrame, ids: str = "ids", out: str = "decoded", vocabula
     return df.withColumn(out, run(F.col(ids)))
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs; repeated rows give repeated rows, extra
-    columns are left out, an empty table gives an empty one. One scan, no shuffle."""
-    spark = docs.sparkSession
-    got = docs.select("doc_id", encode_decode(F.col("text"), spark, vocabulary).alias("got"))
-    return got.select("doc_id", "got.n_tokens", "got.ids_sha256", "got.decoded_sha256")
+def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (an array) for every row of docs.
+
+    A null text counts as empty; the empty text has no ids. Repeated rows give repeated rows, extra columns are left out,
+    an empty table gives an empty one. One scan, no shuffle. The vocabulary is a file of fixed size; it is broadcast, so
+    executors need no copy.
+    """
+    with open(vocabulary, "rb") as f:
+        lines = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges = loaded(lines.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                own = batch.slice(at, TEXTS)
+                part = [chunks_of(t or "") for t in own.column(1).to_pylist()]
+                merges.learn([a for a, _ in part], set().union(*[b for _, b in part]))
+                first, get = merges.seen, merges.seen_spaced.__getitem__
+                n, ids_of, texts, arrays = [], [], [], []
+                for a, rest in part:
+                    decimal, text = zip(first[a], *map(get, rest), strict=True)
+                    numbers = ",".join(decimal if a else decimal[1:])
+                    n.append(numbers.count(",") + 1 if numbers else 0)
+                    ids_of.append(hashlib.sha256(numbers.encode()).hexdigest())
+                    texts.append(hashlib.sha256(b"".join(text)).hexdigest())
+                    if ids:
+                        arrays.append(np.fromstring(numbers, np.int32, sep=",") if numbers else np.zeros(0, np.int32))
+                out = {"doc_id": own.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_of, pa.string()), "decoded_sha256": pa.array(texts, pa.string())}
+                yield pa.record_batch(out | ({"ids": pa.array(arrays, pa.list_(pa.int32()))} if ids else {}))
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema + (", ids array<int>" if ids else ""))
