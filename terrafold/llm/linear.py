@@ -50,7 +50,7 @@ class Rows:
         self.n = np.array([len(c) for c in columns])
         self.columns = np.concatenate([*columns, np.zeros(0, np.int32)]).astype(np.int32)
         self.values = np.concatenate([*values, np.zeros(0, np.float32)]).astype(np.float32)
-        self.row = np.repeat(np.arange(len(columns)), self.n)
+        self.row = np.repeat(np.arange(len(columns), dtype=np.int32), self.n)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.values * w[self.columns], minlength=len(self.n))
