@@ -16,22 +16,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of ids and digests of ids and decoded bytes of every document; a null text is empty."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likenesses; a null text is empty."""
     return fingerprint.compare_documents(table(spark, sf_dir, "documents"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grade probabilities of every document, and whether it is kept; a null text is graded like an empty one."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the shingle set and class of every document; without words it is a class of its own."""
     return similarity.classes(table(spark, sf_dir, "documents"), k=3, least=Fraction(90, 100))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the files; a null text has the end id alone."""
     return repair.round_trip(table(spark, sf_dir, "documents"))
 
 
@@ -41,18 +46,22 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; null is a source, and a null text has no words."""
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; `und` for a null text and one without a letter."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best candidates of every 50th vector; vectors with nulls or non-finite components take no part."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses found in every document; none in a null text."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
