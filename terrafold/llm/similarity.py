@@ -8,29 +8,34 @@
    and size class, so no pairs within a group are written out.
 4. The sets of a block are stored in a trie by the block's own order and each set walks it, sharing overlaps along
    common beginnings and leaving subtrees whose remaining lengths can't reach the overlap needed, or whose sets are
-   all connected with it already. Large blocks are dealt out in chunks, then in pairs of chunks as far as they have
-   several components left.
+   all connected with it already.
+5. Large blocks are dealt out in chunks. Then one set of each component that a chunk found stands for it, and these are
+   joined. What may still link is only in groups of a shared shingle whose sets are in several components and chunks;
+   the sets of such groups make new, smaller blocks, which are joined the same way.
 """
 
 from __future__ import annotations
 
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import new_path, removed
 from .common import checkpointed, fresh, partitions, shingles, written
 
 #: Counters that find very frequent shingles, and how many times the mean makes one of them frequent.
 SLOTS, FREQUENT, LEAST_FREQUENT = 1 << 18, 8, 64
-#: The most shingles that one task gets of a block.
-CHUNK = 4_000_000
+#: The most shingles, about, that one task gets of a block.
+CHUNK = 500_000
+#: Bits that tell which rows are needed in blocks; of more rows some unneeded ones are read too.
+BITS = 1 << 24
 
 
 def least_common(n: np.ndarray, least: Fraction) -> np.ndarray:
@@ -43,9 +48,14 @@ def digest(tokens: np.ndarray) -> bytes:
     return hashlib.md5(tokens.tobytes()).digest()
 
 
-def _texts(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+def key_of(name: bytes) -> int:
+    return int.from_bytes(name[:8], "little", signed=True)
+
+
+def _texts(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     for batch in batches:
-        yield from zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns], strict=True)
+        for at in range(0, batch.num_rows, 256):
+            yield from zip(*[batch.column(c).slice(at, 256).to_pylist() for c in columns], strict=True)
 
 
 def _once(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[str, np.ndarray, bytes]]:
@@ -59,28 +69,30 @@ def _once(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[str, np.n
 
 
 def members(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, name) of every row, and (slot, count) of the shingles of all rows, from one pass."""
+    """(doc_id, h, g, n, name, key) of every row, h and g being hashes of its text and key the first half of the name, and
+    (slot, count) of the shingles of all rows, from one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(SLOTS, np.int64), set()
         for batch in batches:
             n, names = [], []
-            for text in batch.column("text").to_pylist():
+            for (text,) in _texts([batch], "text"):
                 tokens = shingles(text, k)
                 n.append(len(tokens))
                 names.append(name := digest(tokens))
                 if name not in seen:
                     seen.add(name)
                     np.add.at(counts, (tokens & np.uint64(SLOTS - 1)).astype(np.int64), 1)
-            yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "n": pa.array(n, pa.int64()), "name": pa.array(names, pa.binary()), "slot": pa.nulls(len(n), pa.int32()), "count": pa.nulls(len(n), pa.int64())})
+            own = {c: batch.column(c) for c in ("doc_id", "h", "g")}
+            yield pa.record_batch(own | {"n": pa.array(n, pa.int64()), "name": pa.array(names, pa.binary()), "key": pa.array(map(key_of, names), pa.int64()), "slot": pa.nulls(len(n), pa.int32()), "count": pa.nulls(len(n), pa.int64())})
         used = np.flatnonzero(counts)
         for at in range(0, len(used), 10_000):
             part = used[at : at + 10_000]
-            empty = {c: pa.nulls(len(part), t) for c, t in (("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.binary()))}
+            empty = {c: pa.nulls(len(part), t) for c, t in (("doc_id", pa.int64()), ("h", pa.int64()), ("g", pa.int32()), ("n", pa.int64()), ("name", pa.binary()), ("key", pa.int64()))}
             yield pa.record_batch(empty | {"slot": pa.array(part, pa.int32()), "count": pa.array(counts[part])})
 
-    both = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, name binary, slot int, count long"), "members")
-    return both.where("slot is null").select("doc_id", "n", "name"), both.where("slot is not null").select("slot", "count")
+    both = written(docs.mapInArrow(run, "doc_id long, h long, g int, n long, name binary, key long, slot int, count long"), "members")
+    return both.where("slot is null").select("doc_id", "h", "g", "n", "name", "key"), both.where("slot is not null").select("slot", "count")
 
 
 def frequent_slots(counts: DataFrame) -> np.ndarray:
@@ -114,7 +126,7 @@ def postings(docs: DataFrame, k: int, least: Fraction, frequent: np.ndarray) ->
             if len(own) < first:
                 rest = np.concatenate([tokens[light & ~counted], tokens[~light]])
                 own = np.concatenate([own, rest[: first - len(own)]])
-            held.append((own, int.from_bytes(name[:8], "little", signed=True), n, int(counted.sum()), sure))
+            held.append((own, key_of(name), n, int(counted.sum()), sure))
             rows += len(own)
             if rows > 100_000:
                 yield batch(held)
@@ -131,25 +143,29 @@ def postings(docs: DataFrame, k: int, least: Fraction, frequent: np.ndarray) ->
 
 
 def candidates(posted: DataFrame, least: Fraction) -> DataFrame:
-    """(token, key, n): of each set the first shingles that another set has too."""
-    by_token = Window.partitionBy("token")
-    shared = (
-        posted.withColumn("df", F.count("*").over(by_token))
-        .withColumn("several", F.min("key").over(by_token) != F.max("key").over(by_token))
-        .where("several")
-    )
-    # Shingles that no other set has come first of all and need no posting; they take up places, though.
+    """(token, key, n): of each set the first shingles that are posted more than once.
+
+    Counts come from an aggregation and join back, so that the rows of one frequent shingle can be split over tasks (the
+    skew join of adaptive execution); the postings are made twice for that.
+    """
+    often = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # Shingles that are posted once come first of all and need no posting; they take up places, though.
     place = F.dense_rank().over(Window.partitionBy("key").orderBy("df", "token"))
     first = F.col("n") - F.ceil(F.lit(least.numerator) * F.col("n") / F.lit(least.denominator)) + 1
-    ranked = shared.withColumn("place", place).withColumn("others", F.col("spare") - F.max("place").over(Window.partitionBy("key")))
-    return ranked.where(F.col("sure") | (F.col("place") <= first - F.col("others"))).select("token", "key", "n")
+    ranked = posted.join(often, "token").withColumn("place", place).withColumn("others", F.col("spare") - F.max("place").over(Window.partitionBy("key")))
+    return ranked.where(F.col("sure") | (F.col("place") <= first - F.col("others"))).select("token", "key", "n").distinct()
 
 
-def edges(found: DataFrame, least: Fraction) -> DataFrame:
-    """(u, v): sets of the same shingle and of neighbouring size classes, each joined to the least of them."""
+def grouped(found: DataFrame, least: Fraction) -> DataFrame:
+    """found with size_class: sets that may link have a shingle and a size class in common, as each is in two classes."""
     width = float(-np.log(float(least))) * 1.0001
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int")
-    spread = found.withColumn("size_class", F.explode(F.array(size_class, size_class + 1)))
+    return found.withColumn("size_class", F.explode(F.array(size_class, size_class + 1)))
+
+
+def edges(found: DataFrame, least: Fraction) -> DataFrame:
+    """(u, v): sets of the same shingle and of neighbouring size classes, each joined to the least of them."""
+    spread = grouped(found, least)
     hubs = spread.groupBy("token", "size_class").agg(F.min("key").alias("hub"), F.max("key").alias("far")).where("hub <> far")
     return spread.join(hubs.drop("far"), ["token", "size_class"]).where("key <> hub").select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct()
 
@@ -160,7 +176,14 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn: each vertex's larger neighbours, then its smaller ones, move to the least
     of its neighbourhood, until nothing moves. The rows never outnumber the links.
     """
-    e = checkpointed(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    spark = links.sparkSession
+
+    def stored(df: DataFrame) -> tuple[str, DataFrame]:
+        path = new_path(spark, "links")
+        df.write.parquet(path)
+        return path, spark.read.schema(df.schema).parquet(path)
+
+    path, e = stored(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     seen = None
     while True:
         total = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -172,7 +195,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        e = checkpointed(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        before, (path, e) = path, stored(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        removed(spark, before)
 
 
 class Node:
@@ -290,7 +314,7 @@ def linked(sets: list[np.ndarray], least: Fraction, known: list[int] | None = No
 
 def joined(rows: DataFrame, k: int, least: Fraction) -> DataFrame:
     """(name, root): of rows (part, name, label, text) the sets of each part that links connect, with the least name.
-    Sets of equal label are connected already. A part is never larger than a chunk pair."""
+    Sets of equal label are connected already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, names, sets, labels, out = None, [], [], [], ([], [])
@@ -341,40 +365,72 @@ def classes(docs: DataFrame, k: int = 5, least: Fraction = Fraction(4, 5)) -> Da
     return classed(docs, k, least).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """The packed bits of the hashes in the one column of keys. Each of 16 tasks sets the bits of its own ranges, so what
+    reaches the driver is one bitmap in all."""
+    wide = BITS >> 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.asarray(batch.column(0)).astype(np.int64)
+            for r in np.unique(at // wide).tolist():
+                held.setdefault(r, np.zeros(wide, bool))[at[at // wide == r] % wide] = True
+        yield pa.record_batch({"range": pa.array(list(held), pa.int64()), "bits": pa.array([np.packbits(b).tobytes() for b in held.values()], pa.binary())})
+
+    slots = keys.select(F.pmod(F.col(keys.columns[0]), F.lit(BITS)).alias("slot")).distinct()
+    out = np.zeros(BITS >> 3, np.uint8)
+    for r in slots.repartition(16, F.floor(F.col("slot") / wide)).mapInArrow(run, "range long, bits binary").collect():
+        out[r["range"] * (wide >> 3) : (r["range"] + 1) * (wide >> 3)] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def asked_for(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows whose key is among keys (one column), and a few others: what a join would drop ends here, before a shuffle."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(keys))
+
+    @F.pandas_udf("boolean")
+    def asked(keys: pd.Series) -> pd.Series:
+        at = keys.to_numpy() & (BITS - 1)
+        return pd.Series((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0)
+
+    return rows.where(asked(key))
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (doc_id, h, g, ...) with the text of its document. Rows of docs that aren't asked for, and repeated ones within
+    a task, end before the shuffle."""
+    key = F.xxhash64("doc_id", "h", "g")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for batch in batches:
+            keep = []
+            for i, row in enumerate(zip(*[batch.column(c).to_pylist() for c in ("doc_id", "h", "g")], strict=True)):
+                if row not in seen:
+                    seen.add(row)
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    rows = asked_for(docs, key, wanted.select(key.alias("k"))).mapInArrow(once, "doc_id long, text string, h long, g int").select(F.col("doc_id").alias("_d"), "text", F.col("h").alias("_h"), F.col("g").alias("_g"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g"))
+    return wanted.join(rows, same).drop("doc_id", "h", "g", "_d", "_h", "_g")
+
+
 def classed(docs: DataFrame, k: int, least: Fraction) -> DataFrame:
     """doc_id, n, name, root, component_id for every row of docs: how many shingles, the name of their set, the name that
     stands for the class, and its smallest doc_id; without shingles the last two are null."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.hash("text").alias("g"))
     of, counts = members(docs, k)
-    found = candidates(postings(docs, k, least, frequent_slots(counts)), least)
+    found = written(candidates(postings(docs, k, least, frequent_slots(counts)), least), "found")
     root = components(edges(found, least))
     block = root.select(F.col("u").alias("key"), "root").union(root.select(F.col("root").alias("key"), "root").distinct())
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for text, tokens, name in _once(batches, k):
-            held.append((int.from_bytes(name[:8], "little", signed=True), name, len(tokens), text))
-            size += len(text)
-            if size > 1 << 22:
-                yield rows(held)
-                held, size = [], 0
-        yield rows(held)
-
-    def rows(held: list) -> pa.RecordBatch:
-        columns = list(zip(*held, strict=True)) or [[]] * 4
-        kinds = (("key", pa.int64()), ("name", pa.binary()), ("n", pa.int64()), ("text", pa.string()))
-        return pa.record_batch({c: pa.array(v, t) for (c, t), v in zip(kinds, columns, strict=True)})
-
-    sets = docs.mapInArrow(texts, "key long, name binary, n long, text string").join(block, "key")
-    in_blocks = written(sets.select("root", "name", "n", "text"), "blocks")
-    sizes = in_blocks.groupBy("root").agg(F.sum("n").alias("size")).withColumn("chunks", F.ceil(F.col("size") / F.lit(CHUNK)).cast("int"))
-    chunk = F.pmod(F.xxhash64("name"), F.col("chunks"))
-    dealt = in_blocks.join(sizes, "root").withColumn("part", F.struct(F.col("root"), chunk.alias("i"), chunk.alias("j")))
-    text_rows = lambda df, label: df.select(F.concat_ws(":", F.col("part.root"), F.col("part.i"), F.col("part.j")).alias("part"), "name", label.alias("label"), "text")
-    link = checkpointed(joined(text_rows(dealt, F.lit(None).cast("binary")), k, least))
-    if sizes.where("chunks > 1").limit(1).count():
-        link = checkpointed(link.union(across(in_blocks, sizes, link, text_rows, k, least)))
-        link = components(link.select(F.col("name").alias("u"), F.col("root").alias("v"))).select(F.col("u").alias("name"), "root")
+    # One row of docs stands for each set.
+    reps = of.where("n > 0").groupBy("name").agg(F.min(F.struct("doc_id", "h", "g")).alias("rep"), F.first("n").alias("n"), F.first("key").alias("key"))
+    wanted = checkpointed(reps.join(block, "key").select("rep.*", "name", "n", "key", "root"))
+    in_blocks = written(texts_of(docs, wanted), "blocks")
+    link = connected(in_blocks, found, k, least)
 
     least_id = of.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least_id"))
     of_name = least_id.join(link, "name", "left").withColumn("root", F.coalesce("root", "name"))
@@ -384,15 +440,60 @@ def classed(docs: DataFrame, k: int, least: Fraction) -> DataFrame:
     return got.select("doc_id", "n", "name", "root", "component_id")
 
 
-def across(in_blocks: DataFrame, sizes: DataFrame, link: DataFrame, text_rows, k: int, least: Fraction) -> DataFrame:
-    """Links between chunks of the blocks that still have several components: every pair of a block's chunks is a part.
-    Each set goes to as many parts as its block has chunks."""
-    labelled = in_blocks.join(sizes.where("chunks > 1"), "root").join(link.select("name", F.col("root").alias("label")), "name", "left").withColumn("label", F.coalesce("label", "name"))
-    several = labelled.groupBy("root").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("root")
-    own = F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int")
-    other = labelled.join(several, "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("own <> other")
-    dealt = other.withColumn("part", F.struct(F.col("root"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
-    return joined(text_rows(dealt, F.col("label")), k, least)
+def chunked(rows: DataFrame, seed: str) -> DataFrame:
+    """rows (root, name, n) with chunks, how many their block needs, and own, the number of the one they are in."""
+    sizes = rows.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(CHUNK)).cast("int").alias("chunks"))
+    return rows.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("name", F.lit(seed)), F.col("chunks")).cast("int"))
+
+
+def in_parts(rows: DataFrame, k: int, least: Fraction) -> DataFrame:
+    """What `joined` finds in rows (root, own, name, label, text), each chunk of each block being a part."""
+    return joined(rows.withColumn("part", F.concat_ws(":", "root", "own")), k, least)
+
+
+def connected(in_blocks: DataFrame, found: DataFrame, k: int, least: Fraction) -> DataFrame:
+    """(name, root) of the sets that links connect with one of a lesser name; in_blocks: name, n, key, root, text."""
+    none = F.lit(None).cast("binary")
+    dealt = chunked(in_blocks, "first")
+    link = written(in_parts(dealt.withColumn("label", none), k, least), "link")
+    large = checkpointed(dealt.where("chunks > 1").drop("text").distinct())
+    if not large.limit(1).count():
+        return link
+
+    def with_labels(rows: DataFrame) -> DataFrame:
+        return rows.join(link.select("name", F.col("root").alias("label")), "name", "left").withColumn("label", F.coalesce("label", "name"))
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        return rows.join(in_blocks.select("name", "text"), "name")
+
+    def relabelled(moved: DataFrame) -> DataFrame:
+        """link after components moved (name, root) to others; the sets that name them get rows of their own."""
+        to = moved.select(F.col("name").alias("from"), F.col("root").alias("to"))
+        kept = link.join(to, F.col("root") == F.col("from"), "left").select("name", F.coalesce("to", "root").alias("root"))
+        return written(kept.union(moved.select("name", "root")), "link")
+
+    # A set is in one part here, so what is found is settled without further steps.
+    heads = chunked(with_labels(large).where("name = label").drop("chunks", "own"), "heads")
+    link = relabelled(written(in_parts(with_text(heads), k, least), "heads"))
+
+    # Pairs of one chunk are settled, so only groups of several components in several chunks can still hold a link.
+    spread = grouped(asked_for(found, F.col("key"), large.select("key")), least).join(with_labels(large).select("key", "label", "own"), "key")
+    ends = [f(c).alias(f"{c}_{n}") for c in ("label", "own") for n, f in (("a", F.min), ("b", F.max))]
+    groups = spread.groupBy("token", "size_class").agg(F.min("key").alias("hub"), *ends).where("label_a <> label_b and own_a <> own_b")
+    active = written(spread.join(groups.select("token", "size_class", "hub"), ["token", "size_class"]).select("key", "hub").distinct(), "active")
+    if not active.limit(1).count():
+        return link
+    root = components(active.where("key <> hub").select(F.col("key").alias("u"), F.col("hub").alias("v")))
+    block = root.select(F.col("u").alias("key"), "root").union(root.select(F.col("root").alias("key"), "root").distinct())
+    rest = chunked(with_labels(large).drop("root", "chunks", "own").join(block, "key"), "rest")
+    # A block that still is too large for a task: its chunks meet in pairs, each set in as many parts as there are chunks.
+    pairs = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunks = 1 or own <> other")
+    pairs = pairs.withColumn("own", F.concat_ws("-", F.least("own", "other"), F.greatest("own", "other")))
+    more = in_parts(with_text(pairs), k, least)
+    label = with_labels(large).select(F.col("name").alias("set"), "label").distinct()
+    both = more.join(label, F.col("name") == F.col("set")).select(F.col("label").alias("u"), "root").join(label, F.col("root") == F.col("set")).select("u", F.col("label").alias("v"))
+    moved = components(both)
+    return relabelled(moved.select(F.col("u").alias("name"), "root"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -400,17 +501,18 @@ def keep_one(docs: DataFrame, k: int = 5, least: Fraction = Fraction(4, 5)) -> D
     doc_id, null ones last, and of rows that share it the smallest text. Classes are of rows, so a doc_id with unrelated
     texts may stay several times, or not at all; rows without words are each a class of its own and stay."""
     if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
-        kept = classes(docs, k, least).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-        return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+        own = fresh(docs, "kept")
+        kept = classes(docs, k, least).where("doc_id = component_id").select(F.col("doc_id").alias(own))
+        return docs.join(kept, F.col("doc_id") == F.col(own), "left_semi")
 
     @F.pandas_udf("binary")
     def set_name(texts: pd.Series) -> pd.Series:
         return pd.Series([digest(tokens) if len(tokens := shingles(t, k)) else None for t in texts], dtype=object)
 
+    its, kept, root, name, turn = (fresh(docs, c) for c in ("its", "kept", "root", "name", "turn"))
     rows = classed(docs, k, least).where("n > 0 and doc_id <=> component_id")
-    first = rows.select(F.col("name").alias("_its"), F.col("doc_id").alias("_kept"), F.col("root").alias("_root")).distinct()
-    name, turn = fresh(docs, "_name"), fresh(docs, "_turn")
+    first = rows.select(F.col("name").alias(its), F.col("doc_id").alias(kept), F.col("root").alias(root)).distinct()
     named = docs.withColumn(name, set_name("text"))
-    of = named.join(first, (F.col(name) == F.col("_its")) & F.col("doc_id").eqNullSafe(F.col("_kept")))
-    one = of.withColumn(turn, F.row_number().over(Window.partitionBy("_root").orderBy("text"))).where(F.col(turn) == 1)
+    of = named.join(first, (F.col(name) == F.col(its)) & F.col("doc_id").eqNullSafe(F.col(kept)))
+    one = of.withColumn(turn, F.row_number().over(Window.partitionBy(root).orderBy("text"))).where(F.col(turn) == 1)
     return one.select(*docs.columns).unionByName(named.where(F.col(name).isNull()).select(*docs.columns))

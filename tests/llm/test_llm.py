@@ -345,3 +345,36 @@ def test_next_document_among_repeated_and_missing_ids(spark, monkeypatch):
     got = sorted(map(repr, ((r.doc_id, r.edited_sha256) for r in fingerprint.compare_documents(frame).collect())))
     want = [(d, sha(fingerprint.edited(t, order[(i + 1) % len(order)][1]).encode())) for i, (d, t) in enumerate(order)]
     assert got == sorted(map(repr, want))
+
+
+def test_join_in_chunks_of_chains_and_strangers(spark, monkeypatch):
+    """Chains of near copies across chunks, and sets that share rare shingles but are not similar."""
+    rng = random.Random(8)
+    rows, n = [], 0
+    for c in range(6):
+        own = [f"c{c}w{i}" for i in range(80)]
+        for _ in range(25):
+            own = own[1:] + [f"n{n}"]
+            rows.append((n, " ".join(own)))
+            n += 1
+    shared = [f"s{i}" for i in range(6)]
+    for _ in range(60):
+        rows.append((n, " ".join(shared + [f"u{n}x{i}" for i in range(12)])))
+        n += 1
+    rng.shuffle(rows)
+    for chunk in (300, 1500):
+        monkeypatch.setattr(similarity, "CHUNK", chunk)
+        for k, least in ((3, Fraction(9, 10)), (2, Fraction(1, 2))):
+            got = {r.doc_id: r.component_id for r in similarity.classes(spark.createDataFrame(rows, "doc_id long, text string"), k, least).collect()}
+            assert got == brute(rows, k, least)
+
+
+def test_likenesses_are_those_of_the_pieces(docs):
+    rows = {r.doc_id: r.text for r in docs.limit(60).collect()}
+    ids = sorted(rows, reverse=True)
+    got = {r.doc_id: r for r in fingerprint.compare_documents(docs.where(F.col("doc_id").isin(*ids))).collect()}
+    plain = lambda a, b: 2 * len(np.intersect1d(a, b)) / (len(a) + len(b)) if len(a) + len(b) else 1.0
+    for i, d in enumerate(ids):
+        text, after = rows[d], rows[ids[(i + 1) % len(ids)]]
+        own, new, following = fingerprint.digests([text, fingerprint.edited(text, after), after])
+        assert got[d].near_edited == pytest.approx(plain(own, new)) and got[d].near_next == pytest.approx(plain(own, following))
