@@ -1,59 +1,118 @@
 """Operator 5: token ids in binary files, compressed by Re-Pair grammars.
 
 Documents are encoded, dealt to shards by ranges of doc_id, and each shard's ids become a grammar: again and again the
-frequent pairs of neighbouring ids are replaced by new symbols. A shard stores the rules, how many ids each symbol
-expands to, and what is left of the sequence, so any span of ids can be decoded alone.
+frequent pairs of neighbouring ids are replaced by new symbols, until none is frequent. A shard stores the rules, how
+many ids each symbol expands to, and what is left of the sequence in blocks of their own with an index, so any span of
+ids can be decoded from the blocks that hold it.
 """
 
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import new_path
 from .bpe import chunks_of
-from .common import shared_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
 #: A shard is closed when it holds so many ids; a longer document is a shard of its own.
 SHARD = 1_000_000
-#: Rounds of replacement, pairs replaced in one round, and how often a pair must occur to be replaced.
-ROUNDS, RULES, LEAST = 6, 4096, 32
-REMEMBERED = 400_000
-MAGIC = b"RPG1"
+#: A pair is replaced while it occurs so often without overlap. A rule takes three numbers (two symbols and a length), so
+#: one for a rarer pair would take at least as much as it saves.
+LEAST = 4
+#: Symbols of the remaining sequence that are compressed together.
+BLOCK = 8192
+#: Chunks that a Python worker remembers in each of two generations, and the most characters of one; longer ones are
+#: encoded each time they come.
+REMEMBERED, LONGEST = 400_000, 40
+MAGIC = b"RPG2"
+_MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+
+
+def mapped_bytes() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Recent(dict):
+    """What a function gives for recent keys: a dictionary in two generations, so that frequent keys stay. Keys that are long
+    or go over lines, and so seldom come again, are not kept."""
+
+    def __init__(self, made, most: int = REMEMBERED):
+        super().__init__()
+        self.made, self.most, self.older = made, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.made(key)
+        if len(key) <= LONGEST and "\n" not in key:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 class Encoder:
-    """The tokenizers library over the chunks of a text, each distinct chunk once."""
+    """Ids of whole texts by the tokenizers library, each recent chunk once. A chunk of letters, with or without marks after
+    it, is one or two pieces of the pattern, which go to the library's model directly; other chunks are cut by the
+    pattern; texts that may hold a special token go to the whole tokenizer."""
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.seen: dict[str, bytes] = {}
-        self.seen_spaced: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit integers."""
-        if len(self.seen) + len(self.seen_spaced) > REMEMBERED:
-            self.seen.clear()
-            self.seen_spaced.clear()
-        parts = [chunks_of(t) for t in texts]
-        for seen, before, wanted in ((self.seen, "", {a for a, _ in parts}), (self.seen_spaced, " ", set().union(*[b for _, b in parts]))):
-            new = list(wanted.difference(seen))
-            got = self.tokenizer.encode_batch_fast([before + c for c in new], add_special_tokens=False)
-            seen.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, got, strict=True))
-        first, get = self.seen, self.seen_spaced.__getitem__
-        return [first[a] + b"".join(map(get, b)) for a, b in parts]
+        self.merge = self.tokenizer.model.tokenize
+        self.special = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        self.mapped = str.maketrans(mapped_bytes())
+        self.space = " ".translate(self.mapped)
+        self.spaced = Recent(self.chunk)
+        self.bare = Recent(self.plain)
+        self.piece = Recent(self.ids, REMEMBERED // 3)
+        self.line = self.ids("\n")
+
+    def ids(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.mapped))]).tobytes()
+
+    def chunk(self, text: str) -> bytes:
+        """Ids of a chunk with a space before it."""
+        core = text.rstrip(_MARKS)
+        if core.isalpha():
+            if len(core) < len(text):
+                return self.spaced[core] + self.piece[text[len(core) :]]
+            if text.isascii():
+                return array("I", [t.id for t in self.merge(self.space + text)]).tobytes()
+            return self.ids(" " + text)
+        lines = text.split("\n")
+        if len(lines) > 1 and text.split() == lines:
+            # A line break between words is a piece of its own.
+            return self.line.join([self.spaced[lines[0]], *map(self.bare.__getitem__, lines[1:])])
+        return self.plain(" " + text)
+
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.piece.__getitem__, self.cut(text)))
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text as unsigned 32-bit integers."""
+        if any(x in text for x in self.special):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        first, rest = chunks_of(text)
+        return self.plain(first) + b"".join(map(self.spaced.__getitem__, rest))
 
 
 _LOADED: dict[int, Encoder] = {}
@@ -67,113 +126,166 @@ def loaded(definition: str) -> Encoder:
     return _LOADED[key]
 
 
-def grammar(ids: np.ndarray, rounds: int = ROUNDS, rules: int = RULES, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray]:
-    """The first new symbol, the rules as pairs of symbols, and the sequence that is left of ids.
+def grammar(ids: np.ndarray, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray]:
+    """The first new symbol, the rules as pairs of symbols, and the sequence that is left of ids, in which no pair occurs
+    `least` times without overlap.
 
-    A round counts hashed pairs, counts exactly those that can be frequent, and replaces the most frequent, left to
-    right without overlap.
+    A round counts the pairs that may be frequent, and replaces those that outdo the pairs that overlap them by their
+    counts: the most frequent pair of all is replaced wherever it occurs, and so are others that don't touch it. Only
+    pairs of new symbols can become frequent, so later rounds look at these and at what was frequent and is left.
     """
     first = int(ids.max(initial=0)) + 1
-    made, seq, bits = [np.zeros((0, 2), np.int64)], ids.astype(np.int64), 20
-    for _ in range(rounds):
-        if len(seq) < 2:
+    made, seq, total = [np.zeros((0, 2), np.int64)], ids.astype(np.int32), first
+    at = np.arange(max(0, len(seq) - 1), dtype=np.int32)
+    while len(at):
+        whole, odd = len(at) == len(seq) - 1, at[:0]
+        left, right = (seq[:-1], seq[1:]) if whole else (seq[at], seq[at + 1])
+        if len(same := np.flatnonzero(left == right)):
+            # Of pairs that overlap in a run of one symbol every other one counts, from the left.
+            runs = np.flatnonzero(np.append(True, np.diff(at[same]) != 1))
+            place = np.arange(len(same)) - np.repeat(runs, np.diff(np.append(runs, len(same))))
+            odd = at[same[place % 2 == 1]]
+            rest = np.ones(len(at), bool)
+            rest[same[place % 2 == 1]] = False
+            at, left, right = at[rest], left[rest], right[rest]
+        # Pair and place in one number, so that one sort of plain numbers brings equal pairs together.
+        wide, long = total.bit_length(), len(at).bit_length()
+        code = left.astype(np.int64)
+        code <<= wide
+        code |= right
+        if 2 * wide + long < 64:
+            code <<= long
+            code |= np.arange(len(at))
+            code.sort()
+            ordered, order = code >> long, code & ((1 << long) - 1)
+        else:
+            order = np.argsort(code, kind="stable")
+            ordered = code[order]
+        start = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        count = np.diff(np.append(start, len(ordered)))
+        some = np.repeat(count >= least, count)
+        kind = np.full(len(at), -1, np.int32)
+        kind[order[some]] = np.repeat(np.arange(len(start), dtype=np.int32)[count >= least], count[count >= least])
+        at, kind = at[kind >= 0], kind[kind >= 0]
+        if not len(at):
             break
-        slot = ((seq[:-1] * 0x9E3779B1 + seq[1:] * 0x85EBCA77) >> 11) & ((1 << bits) - 1)
-        often = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= least)[slot])
-        code = seq[often] << 32 | seq[often + 1]
-        order = np.argsort(code, kind="stable")
-        new = np.append(True, code[order][1:] != code[order][:-1]) if len(code) else np.zeros(0, bool)
-        start = np.flatnonzero(new)
-        count = np.diff(np.append(start, len(code)))
-        best = np.flatnonzero(count >= least)
-        best = best[np.argsort(-count[best], kind="stable")][:rules]
-        if not len(best):
-            break
-        kind = np.full(len(start), -1)
-        kind[best] = np.arange(len(best))
-        which = np.empty(len(code), np.int64)
-        which[order] = np.repeat(kind, count)
-        at, which = often[which >= 0], which[which >= 0]
-        # In a run of pairs that overlap every other one, from the left, is replaced.
-        runs = np.flatnonzero(np.append(True, np.diff(at) != 1))
-        place = np.arange(len(at)) - np.repeat(runs, np.diff(np.append(runs, len(at))))
-        at, which = at[place % 2 == 0], which[place % 2 == 0]
-        symbol = first + sum(map(len, made))
-        pairs = np.stack([code[order][start[best]] >> 32, code[order][start[best]] & 0xFFFFFFFF], axis=1)
-        made.append(pairs)
-        keep = np.ones(len(seq), bool)
-        seq[at] = symbol + which
-        keep[at + 1] = False
-        seq = seq[keep]
+        worth = (count << 32 | np.arange(len(start)))[kind]
+        touching, up = np.diff(at) == 1, worth[1:] > worth[:-1]
+        wins = np.ones(len(at), bool)
+        wins[:-1] &= ~(touching & up)
+        wins[1:] &= ~(touching & ~up)
+        enough = np.bincount(kind[wins], minlength=len(start)) >= least
+        wins &= enough[kind]
+        new = np.flatnonzero(enough)
+        symbol = np.zeros(len(start), np.int32)
+        symbol[new] = total + np.arange(len(new))
+        pairs = ordered[start[new]]
+        made.append(np.stack([pairs >> wide, pairs & ((1 << wide) - 1)], axis=1))
+        where = at[wins]
+        seq[where] = symbol[kind[wins]]
+        look, keep = np.zeros(len(seq), bool), np.ones(len(seq), bool)
+        look[at] = look[odd] = True
+        keep[where + 1] = False
+        seq, look = seq[keep], look[keep]
+        fresh = seq >= total
+        look |= fresh
+        look[:-1] |= fresh[1:]
+        total += len(new)
+        at = np.flatnonzero(look[:-1]).astype(np.int32)
     return first, np.concatenate(made), seq
 
 
 def lengths(first: int, rules: np.ndarray) -> np.ndarray:
     """How many ids each new symbol expands to; rules refer to earlier rules only."""
-    out = np.ones(len(rules), np.int64)
-    of = lambda s: np.where(s < first, 1, out[np.clip(s - first, 0, len(out) - 1)])
-    if len(rules):
-        level = np.zeros(len(rules), np.int64)
-        for i, (a, b) in enumerate(rules.tolist()):
-            level[i] = 1 + max(level[a - first] if a >= first else 0, level[b - first] if b >= first else 0)
-        for k in range(1, int(level.max()) + 1):
-            at = level == k
-            out[at] = of(rules[at, 0]) + of(rules[at, 1])
+    out: list[int] = []
+    for a, b in (rules - first).tolist():
+        out.append((out[a] if a >= 0 else 1) + (out[b] if b >= 0 else 1))
+    return np.array(out, np.int64)
+
+
+def expand(first: int, rules: np.ndarray, size: np.ndarray, seq: np.ndarray) -> np.ndarray:
+    """The ids that symbols stand for: each symbol's place is known from the lengths, so only what is no id yet is
+    replaced, level by level."""
+    rules, size, seq = rules.astype(np.int32), size.astype(np.int32), seq.astype(np.int32)
+    of = np.append(np.ones(1, np.int32), size)
+    wide = lambda x: of[np.maximum(x - (first - 1), 0)]
+    n = wide(seq)
+    place = np.cumsum(n, dtype=np.int64)
+    out = np.empty(int(place[-1]) if len(place) else 0, np.int32)
+    place -= n
+    while len(seq):
+        done = seq < first
+        out[place[done]] = seq[done]
+        more = ~done
+        pair, place = rules[seq[more] - first], place[more]
+        left, right = pair[:, 0], pair[:, 1]
+        seq, place = np.concatenate([left, right]), np.concatenate([place, place + wide(left)])
     return out
 
 
-def expand(first: int, rules: np.ndarray, seq: np.ndarray) -> np.ndarray:
-    """The ids that symbols stand for."""
-    while len(at := np.flatnonzero(seq >= first)):
-        n = np.ones(len(seq), np.int64)
-        n[at] = 2
-        out = np.repeat(seq, n)
-        place = np.cumsum(n) - n
-        pair = rules[seq[at] - first]
-        out[place[at]], out[place[at] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq
+def planes(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, compressed as four planes of bytes."""
+    return zlib.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def pack(doc_ids: np.ndarray, known: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """A shard: magic, numbers of documents, rules and symbols, the first new symbol; then, compressed, doc_ids, which of
-    them are known, ids per document, rules, expansion lengths and symbols, all little-endian."""
+    """A shard: magic; the numbers of documents and blocks, the first new symbol, and how long three compressed parts are:
+    documents (doc_ids, which of them are known, ids of each), rules, expansion lengths; then for each block of the
+    remaining symbols the ids before it and where it ends; then the three parts and the blocks. All little-endian."""
     first, rules, seq = grammar(ids)
-    body = b"".join(x.tobytes() for x in (doc_ids.astype("<i8"), known.astype("u1"), counts.astype("<u8"), rules.astype("<u4"), lengths(first, rules).astype("<u4"), seq.astype("<u4")))
-    return MAGIC + struct.pack("<QQQQ", len(doc_ids), len(rules), len(seq), first) + zlib.compress(body, 1)
+    size = lengths(first, rules)
+    docs = zlib.compress(b"".join(x.tobytes() for x in (doc_ids.astype("<i8"), counts.astype("<u8"), known.astype("u1"))), 1)
+    parts = [docs, planes(rules.ravel()), planes(size)]
+    n = np.ones(len(seq), np.int64)
+    made = seq >= first
+    n[made] = size[seq[made] - first]
+    before = (np.cumsum(n) - n)[::BLOCK]
+    blocks = [planes(seq[i : i + BLOCK]) for i in range(0, len(seq), BLOCK)]
+    ends = np.cumsum([len(b) for b in blocks], dtype=np.int64)
+    head = struct.pack("<6Q", len(doc_ids), len(blocks), first, *map(len, parts))
+    return b"".join([MAGIC, head, before.astype("<u8").tobytes(), ends.astype("<u8").tobytes(), *parts, *blocks])
 
 
 class Shard:
-    """A shard read back."""
+    """A shard read back; `inflated` counts the blocks that were decompressed."""
 
     def __init__(self, blob: bytes):
         if blob[:4] != MAGIC:
             raise ValueError("not a shard")
-        n, r, m, self.first = struct.unpack_from("<QQQQ", blob, 4)
-        body, at = zlib.decompress(blob[36:]), 0
-
-        def take(kind: str, n: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(body, kind, n, at)
-            at += out.nbytes
-            return out
-
-        self.doc_ids, self.known, self.counts = take("<i8", n), take("u1", n).astype(bool), take("<u8", n).astype(np.int64)
-        self.rules, self.size, self.seq = take("<u4", 2 * r).reshape(-1, 2).astype(np.int64), take("<u4", r).astype(np.int64), take("<u4", m).astype(np.int64)
-        self.ends = np.cumsum(np.where(self.seq < self.first, 1, self.size[np.clip(self.seq - self.first, 0, max(0, r - 1))] if r else 1))
+        self.n, blocks, self.first, *sizes = struct.unpack_from("<6Q", blob, 4)
+        self.before = np.frombuffer(blob, "<u8", blocks, 52).astype(np.int64)
+        self.ends = np.frombuffer(blob, "<u8", blocks, 52 + 8 * blocks).astype(np.int64)
+        at = 52 + 16 * blocks
+        self._docs, rules, size = (blob[a : a + n] for a, n in zip(at + np.cumsum([0, *sizes[:2]]), sizes, strict=True))
+        self._blob, self._at, self.inflated = blob, at + sum(sizes), 0
+        self.rules, self.size = from_planes(rules).reshape(-1, 2).astype(np.int64), from_planes(size).astype(np.int64)
+
+    def documents(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """doc_ids, which of them are known, and ids of each document."""
+        body, n = zlib.decompress(self._docs), self.n
+        return np.frombuffer(body, "<i8", n), np.frombuffer(body, "u1", n, 16 * n).astype(bool), np.frombuffer(body, "<u8", n, 8 * n).astype(np.int64)
 
     def ids(self, start: int, n: int) -> np.ndarray:
-        """n ids from start on, from the symbols that cover them alone."""
+        """n ids from start on, from the blocks that hold them alone."""
         if n <= 0:
-            return np.zeros(0, np.int64)
-        a, b = np.searchsorted(self.ends, start, side="right"), np.searchsorted(self.ends, start + n - 1, side="right")
-        before = int(self.ends[a - 1]) if a else 0
-        return expand(self.first, self.rules, self.seq[a : b + 1])[start - before : start - before + n]
+            return np.zeros(0, np.int32)
+        a, b = np.searchsorted(self.before, start, side="right") - 1, np.searchsorted(self.before, start + n - 1, side="right") - 1
+        seq = []
+        for i in range(int(a), int(b) + 1):
+            seq.append(from_planes(self._blob[self._at + (int(self.ends[i - 1]) if i else 0) : self._at + int(self.ends[i])]))
+            self.inflated += 1
+        lead = start - int(self.before[a])
+        return expand(self.first, self.rules, self.size, np.concatenate(seq))[lead : lead + n]
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END) -> None:
-    """Write the ids of all texts, each with the end id after it, as shards in ascending order of doc_id (null first,
-    then text). A row of the Parquet table at path is a shard: part, number in it, its ids' number, its bytes."""
+    """Write the ids of all texts, each with the end id after it, as shards in ascending order of doc_id (null first; rows
+    that repeat one in the order of their texts' hashes). A row of the Parquet table at path is a shard: part, number in
+    it, its ids' number, its bytes."""
     with open(tokenizer) as f:
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -192,18 +304,18 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int =
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 500):
-                for doc_id, ids in zip(doc_ids[at : at + 500], encoder.encode([t or "" for t in texts[at : at + 500]]), strict=True):
-                    held.append((doc_id, ids + close))
-                    size += len(ids) // 4 + 1
-                    if size >= SHARD:
-                        yield shard()
-                        size, number = 0, number + 1
+            for doc_id, text in zip(doc_ids, texts, strict=True):
+                held.append((doc_id, encoder.encode(text or "") + close))
+                size += len(held[-1][1]) // 4
+                if size >= SHARD:
+                    yield shard()
+                    size, number = 0, number + 1
         if held:
             yield shard()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(run, "part int, number int, ids long, blob binary").write.parquet(path)
+    # The hash deals rows that repeat a doc_id to several ranges.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    rows.select("doc_id", "text").mapInArrow(run, "part int, number int, ids long, blob binary").write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -219,12 +331,13 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = Shard(blob)
-                ends = np.cumsum(s.counts)
-                data = s.ids(0, int(ends[-1])).astype("<u4")
-                crc = [zlib.crc32(data[e - n : e].tobytes()) for e, n in zip(ends.tolist(), s.counts.tolist(), strict=True)]
+                shard = Shard(blob)
+                doc_ids, known, counts = shard.documents()
+                ends = np.cumsum(counts)
+                data = memoryview(shard.ids(0, int(ends[-1])).astype("<u4").tobytes())
+                crc = [zlib.crc32(data[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
                 yield pa.record_batch({
-                    "doc_id": pa.array(s.doc_ids, pa.int64(), mask=~s.known), "start": pa.array(start + ends - s.counts), "n_tokens": pa.array(s.counts), "ids_crc32": pa.array(crc, pa.int64()),
+                    "doc_id": pa.array(doc_ids, pa.int64(), mask=~known), "start": pa.array(start + ends - counts), "n_tokens": pa.array(counts), "ids_crc32": pa.array(crc, pa.int64()),
                 })
 
     placed = shards.join(starts, ["part", "number"]).select("start", "blob")
@@ -237,6 +350,6 @@ def round_trip(docs: DataFrame, tokenizer: str = TOKENIZER, path: str | None = N
     A null text is empty and has the end id alone; rows that repeat a doc_id follow each other; extra columns are left
     out; an empty table gives no shard and no row.
     """
-    path = path or f"{shared_dir(docs.sparkSession)}/ids-{uuid.uuid4().hex}"
+    path = path or new_path(docs.sparkSession, "ids")
     write_ids(docs, path, tokenizer)
     return read_ids(docs.sparkSession, path)
