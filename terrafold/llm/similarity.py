@@ -143,17 +143,19 @@ def postings(docs: DataFrame, k: int, least: Fraction, frequent: np.ndarray) ->
 
 
 def candidates(posted: DataFrame, least: Fraction) -> DataFrame:
-    """(token, key, n): of each set the first shingles that are posted more than once.
-
-    Counts come from an aggregation and join back, so that the rows of one frequent shingle can be split over tasks (the
-    skew join of adaptive execution); the postings are made twice for that.
-    """
-    often = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    # Shingles that are posted once come first of all and need no posting; they take up places, though.
+    """(token, key, n): of each set the first shingles that another set has too. Counts come from a window, since adding up
+    nearly distinct shingles on the map side fills the executors' memory for nothing."""
+    by_token = Window.partitionBy("token")
+    shared = (
+        posted.withColumn("df", F.count("*").over(by_token))
+        .withColumn("several", F.min("key").over(by_token) != F.max("key").over(by_token))
+        .where("several")
+    )
+    # Shingles that no other set has come first of all and need no posting; they take up places, though.
     place = F.dense_rank().over(Window.partitionBy("key").orderBy("df", "token"))
     first = F.col("n") - F.ceil(F.lit(least.numerator) * F.col("n") / F.lit(least.denominator)) + 1
-    ranked = posted.join(often, "token").withColumn("place", place).withColumn("others", F.col("spare") - F.max("place").over(Window.partitionBy("key")))
-    return ranked.where(F.col("sure") | (F.col("place") <= first - F.col("others"))).select("token", "key", "n").distinct()
+    ranked = shared.withColumn("place", place).withColumn("others", F.col("spare") - F.max("place").over(Window.partitionBy("key")))
+    return ranked.where(F.col("sure") | (F.col("place") <= first - F.col("others"))).select("token", "key", "n")
 
 
 def grouped(found: DataFrame, least: Fraction) -> DataFrame:
