@@ -29,7 +29,7 @@ TOGETHER = 64
 #: each time they come, so what is remembered is bounded in bytes.
 REMEMBERED, LONGEST = 200_000, 40
 #: Texts that are encoded together.
-TEXTS = 1000
+TEXTS = 250
 
 
 class Merges:
