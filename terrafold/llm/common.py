@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..storage import new_path, shared_dir
 
@@ -119,3 +121,29 @@ def shingles(text: str | None, k: int) -> np.ndarray:
             out *= np.uint64(0x9E3779B97F4A7C15)
             out += h[i : len(h) - size + 1 + i]
     return distinct(mixed(out))
+
+
+def matches(text: bytes, find: Callable[[bytes], list[bytes]], gap: Callable[[bytes, int], re.Match | None], size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """What find gives for a whole text, in parts of about so many bytes that end at a gap between matches; one part at least."""
+    at = 0
+    while len(text) - at > size:
+        between = gap(text, at + size)
+        if not between:
+            break
+        yield find(text[at : between.start()])
+        at = between.start()
+    yield find(text[at:] if at else text)
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """df with the place of each row in the given order, from 1. Rows are dealt by ranges and sorted there; the sizes of the
+    ranges, one number each, give where a range begins. Rows that are equal in the order may span ranges."""
+    tie = fresh(df, "tie")
+    rows = written(df.withColumn(tie, F.monotonically_increasing_id()), "to-rank")
+    rows = rows.repartitionByRange(*order, F.col(tie)).sortWithinPartitions(*order, tie).drop(tie)
+    at, part, before = (fresh(df, c) for c in ("at", "part", "before"))
+    rows = written(rows.withColumn(at, F.monotonically_increasing_id()), "ranked").withColumn(part, F.shiftright(at, 33))
+    sizes = rows.groupBy(part).agg(F.count("*").alias(before))
+    starts = sizes.withColumn(before, F.sum(before).over(Window.orderBy(part)) - F.col(before))
+    out = rows.join(F.broadcast(starts), part).withColumn(name, F.col(before) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    return out.drop(at, part, before)

@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, licenses, mixing, quality, repair, similarity, topk, warc
+from . import bpe, divergence, fingerprint, importance, langid, licenses, mixing, quality, repair, similarity, tokencount, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +65,23 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms by which each source stands out; nulls are ''."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw that leans towards the benchmark; a null text has no features."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether they are more than a window holds; a null text has none."""
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_quality, op4_ngram_join, op5_token_files, op6_warc, op7_mixing, op8_language, op9_top_k, op10_licenses)
+    f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_quality, op4_ngram_join, op5_token_files, op6_warc, op7_mixing, op8_language, op9_top_k, op10_licenses, op11_divergence, op12_importance, op13_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -105,5 +120,61 @@ s AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op11_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+c AS (SELECT i, lang, source, term, count(*) AS n FROM (SELECT i, lang, source, unnest(terms) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS in_lang FROM c GROUP BY 1, 2 HAVING count(*) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(in_lang) AS of_lang FROM kept GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+has AS (SELECT lang, source, term, sum(n) AS n FROM c JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+own AS (SELECT lang, source, sum(n) AS of_group FROM has GROUP BY 1, 2),
+f AS (
+  SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n,
+         1 + CAST(1000000000 AS HUGEINT) * (coalesce(h.n, 0) + 5) // (coalesce(o.of_group, 0) + 5 * l.v) AS p,
+         1 + CAST(1000000000 AS HUGEINT) * (k.in_lang + 5) // (l.of_lang + 5 * l.v) AS q
+  FROM g JOIN kept k ON g.lang = k.lang JOIN langs l ON g.lang = l.lang LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source
+  LEFT JOIN has h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM f WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM o WHERE part = 'pair' OR rank <= 50
+""",
+    "op12_importance": r"""
+WITH crc AS (
+  SELECT list(CAST(c AS BIGINT) ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS c
+    FROM (SELECT unnest(range(256)) AS b))),
+d AS (
+  SELECT row_number() OVER () AS i, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+b AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM benchmark),
+w AS (SELECT i, unnest(words) AS word FROM d),
+hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(strlen(word)), lambda k: CAST('0x' || substr(h, CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT))),
+           lambda x, y: xor(x // 256, t[xor(x, y) % 256 + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM w UNION SELECT word FROM b)) CROSS JOIN crc),
+s AS (SELECT bucket, count(*) AS s FROM w JOIN hashed USING (word) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN hashed USING (word) GROUP BY 1),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM w) + 10000) / (CAST(s + 1 AS DOUBLE) * ((SELECT count(*) FROM b) + 10000)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+m AS (SELECT i, sum(gain) AS total FROM w JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY 1),
+x AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, CAST(coalesce(floor(CAST(total AS DOUBLE) / nullif(len(words), 0)), 0) AS BIGINT) AS weight,
+         CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h
+  FROM d LEFT JOIN m USING (i)),
+y AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (WHERE n_features >= 20) OVER () AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * n // 100 THEN CAST(r AS BIGINT) END AS rank FROM z
 """,
 }
