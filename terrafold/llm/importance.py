@@ -30,7 +30,7 @@ LONGEST_RUN, BUCKETS = 1, 10_000
 #: Documents of fewer words are never drawn; of the others so many of a hundred are.
 LEAST_WORDS, PERCENT = 20, 10
 SEED = "2024"
-#: A block has so many bytes of text, or one document.
+#: A block has so many bytes of text (64 more for each document), or one document.
 BLOCK = 1 << 25
 _find, _gap = re.compile(WORD).findall, re.compile(BETWEEN).search
 
@@ -71,7 +71,7 @@ class Block:
         parts = [np.fromiter(map(number, found), np.int32, len(found)) for found in matches(text, _find, _gap)]
         self.ids.append(doc_id)
         self.texts.append(parts[0] if len(parts) == 1 else np.concatenate(parts))
-        self.size += len(text)
+        self.size += len(text) + 64
 
     def rows(self, longest: int) -> Iterator[pa.RecordBatch]:
         """Each word with its number and count; each longer run, numbered after the words; each document of the first side."""
