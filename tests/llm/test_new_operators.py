@@ -11,6 +11,7 @@ import duckdb
 import pandas as pd
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from terrafold.llm import common, divergence, importance, tokencount
 from terrafold.llm.queries import ORACLE_SQL, QUERIES
@@ -164,7 +165,7 @@ def test_resampling_of_nothing(spark, odd, none):
 
 def test_ranks_of_a_third_of_equal_rows(spark):
     df = spark.range(900).selectExpr("IF(id % 3 = 0, 5, id) AS x", "'c' AS tie", "'c' AS part")
-    got = common.ranked(df, [df.x.desc()]).orderBy("rank").collect()
+    got = common.ranked(df, [F.col("x").desc()]).orderBy("rank").collect()
     assert [r["rank"] for r in got] == list(range(1, 901))
     assert [r["x"] for r in got] == sorted((r["x"] for r in got), reverse=True)
 
