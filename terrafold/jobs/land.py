@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import pixel_center
 from ..operators import landcover as L
 from ..operators import pixels as X
 from ..operators import trend as T
-from ..operators.clip import RING, clip_to_regions as clip
+from ..operators.clip import RINGS, clip_to_regions as clip
 from .common import CATALOG, HITS, PART, POINTS, catalog, number, part_raster, points, table, tiles
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -218,13 +217,32 @@ SELECT row_ AS "row", col_ AS col, CAST(r_regionkey AS INTEGER) AS region_id FRO
 CASE WHEN r_regionkey % 2 = 0 THEN x > 8 * r_regionkey AND x < 8 * r_regionkey + 8 AND y > 0 AND y < 0.75 * h
      ELSE x > 8 * r_regionkey AND y > 0 AND (x - 8 * r_regionkey) / 8 + y / h < 1 END""")
 def clip_to_regions(spark, sf_dir):
-    k, corner = F.col("r_regionkey") * 8.0, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    height = part_raster(spark, sf_dir).agg(F.max("row") + 1.0).scalar()
-    none, h = F.lit(0.0), F.col("h")
+    k, none, h = F.col("r_regionkey") * 8.0, F.lit(0.0), F.col("h")
     square = F.array(corner(k, none), corner(k + 8, none), corner(k + 8, 0.75 * h), corner(k, 0.75 * h))
     triangle = F.array(corner(k, none), corner(k + 8, none), corner(k, h))
-    ring = F.when(F.col("r_regionkey") % 2 == 0, square).otherwise(triangle).cast(RING)
-    regions = table(spark, sf_dir, "region").withColumn("h", height).select(F.col("r_regionkey").cast("int").alias("region_id"), ring.alias("ring"))
-    x, y = pixel_center(F.col("row"), F.col("col"), F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(1.0))
-    px = part_raster(spark, sf_dir).select("row", "col", x.alias("x"), y.alias("y"))
-    return clip(px, regions, 8.0).select("row", "col", "region_id")
+    return clipped(spark, sf_dir, F.array(F.when(F.col("r_regionkey") % 2 == 0, square).otherwise(triangle)))
+
+
+@query(f"""WITH {PART}, c AS (SELECT row_, col_, col_ + 0.5 AS x, row_ + 0.5 AS y, {HEIGHT} AS h FROM px)
+SELECT row_ AS "row", col_ AS col, CAST(r_regionkey AS INTEGER) AS region_id FROM c JOIN region ON
+y < h AND x < 40 - r_regionkey AND (x > 30 OR y < 0.25 * h OR y > 0.5 * h) AND x > r_regionkey
+AND NOT (x > 5 AND x < 20 AND y > 0.0625 * h AND y < 0.1875 * h) OR y > 0.625 * h AND y < 0.875 * h AND x > 40 - r_regionkey AND x < 41""")
+def clip_with_holes(spark, sf_dir):
+    """Regions with a bay from the left, a hole and an exclave."""
+    k, w, none, h = F.col("r_regionkey") * 1.0, 40.0 - F.col("r_regionkey"), F.lit(0.0), F.col("h")
+    at = lambda x: F.lit(float(x))
+    outer = F.array(corner(k, none), corner(w, none), corner(w, h), corner(k, h), corner(k, 0.5 * h), corner(at(30), 0.5 * h), corner(at(30), 0.25 * h), corner(k, 0.25 * h))
+    box = lambda x1, x2, y1, y2: F.array(corner(x1, y1), corner(x1, y2), corner(x2, y2), corner(x2, y1))
+    return clipped(spark, sf_dir, F.array(outer, box(at(5), at(20), 0.0625 * h, 0.1875 * h), box(w, at(41), 0.625 * h, 0.875 * h)))
+
+
+def corner(x: Column, y: Column) -> Column:
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def clipped(spark: SparkSession, sf_dir: str, rings: Column) -> DataFrame:
+    """row, col, region_id of the part raster's pixels in the regions; rings may use its height h."""
+    px = part_raster(spark, sf_dir).select("row", "col")
+    regions = table(spark, sf_dir, "region").withColumn("h", px.agg(F.max("row") + 1.0).scalar())
+    regions = regions.select(F.col("r_regionkey").cast("int").alias("region_id"), rings.cast(RINGS).alias("rings"))
+    return clip(px, regions, {"x0": 0.0, "sx": 1.0, "y0": 0.0, "sy": 1.0}).select("row", "col", "region_id")

@@ -10,7 +10,6 @@ from terrafold.functions import inside
 from terrafold.operators import landcover as L
 from terrafold.operators import pixels as X
 from terrafold.operators import trend as T
-from terrafold.operators.clip import clip_to_regions
 
 
 def series(values):
@@ -126,10 +125,3 @@ def test_points_in_extents_equals_the_plain_join(spark):
     got = X.points_in_extents(points, catalog, 2.0).select("point_id", "raster_id")
     plain = points.join(catalog, F.expr("x between x0 and x0 + width and y between y0 - height and y0")).select("point_id", "raster_id")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
-
-
-def test_concave_ring(spark):
-    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0)]
-    regions = spark.createDataFrame([("r", ring)], "region_id string, ring array<struct<x: double, y: double>>")
-    px = spark.createDataFrame([(0, 0.5, 0.5), (1, 9.0, 9.0), (2, 2.0, 3.0), (3, 3.8, 3.0)], "id int, x double, y double")
-    assert sorted(r.id for r in clip_to_regions(px, regions, 1.5).collect()) == [0, 3]
