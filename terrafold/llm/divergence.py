@@ -11,6 +11,7 @@ term follows from each source's own counts, and the postings of a term correct t
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,8 @@ LEAST_DOCS = 30
 SMOOTHING, SCALE = 5, 1_000_000_000
 #: Terms listed for a group.
 TOP = 50
-#: Terms that a task counts before it hands them on.
-HELD = 400_000
+#: Terms of groups that a task counts before it hands them on, at about 200 bytes each.
+HELD = 1_000_000
 #: Leading bits by which counts are alike.
 LIKE = 6
 #: Sources are paired in blocks of so many, and so many pairs of blocks are summed at once.
@@ -51,13 +52,12 @@ def partial_counts(docs: DataFrame) -> DataFrame:
             texts = batch.column(2).cast(pa.binary())
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
                 own = groups.setdefault((lang or "", source or ""), {})
-                before, counted = len(own), {}
+                before, counted = len(own), Counter()
                 for part in matches((text.as_py() or b"").lower(), _find, _gap):
-                    for t in part:
-                        counted[t] = counted.get(t, _DOC) + 1
+                    counted.update(part)
                 get = own.get
                 for t, n in counted.items():
-                    own[t] = get(t, 0) + n
+                    own[t] = get(t, 0) + n + _DOC
                 own[None] = get(None, 0) + _DOC
                 held += len(own) - before
                 if held > HELD:
