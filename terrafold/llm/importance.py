@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ LONGEST_RUN, BUCKETS = 1, 10_000
 LEAST_WORDS, PERCENT = 20, 10
 SEED = "2024"
 #: A block has so many bytes of text (64 more for each document), or one document.
-BLOCK = 1 << 25
+BLOCK = 1 << 24
 _find, _gap = re.compile(WORD).findall, re.compile(BETWEEN).search
 
 BLOCKS = "block long, doc_id long, side int, n_words long, n_features long, counts binary, local int, word string, run array<int>, n long"
@@ -76,11 +76,20 @@ class Block:
     def rows(self, longest: int) -> Iterator[pa.RecordBatch]:
         """Each word with its number and count; each longer run, numbered after the words; each document of the first side."""
         n_words = np.array([len(t) for t in self.texts])
-        flat = np.concatenate(self.texts).astype(np.int64)
-        owner = np.repeat(np.arange(len(self.texts)), n_words)
+        flat = np.concatenate(self.texts)
         words = pa.array(list(self.words), pa.binary()).cast(pa.string())
         known = len(self.words)
         yield self.batch(known, local=pa.array(np.arange(known, dtype=np.int32)), word=words, n=pa.array(np.bincount(flat, minlength=known)))
+        own, n = self.texts, n_words
+        if longest > 1:
+            own, n = yield from self.runs(flat, n_words, longest)
+        if not self.side:
+            counts = pa.array([packed(x) for x in own], pa.binary())
+            yield self.batch(len(own), doc_id=pa.array(self.ids, pa.int64()), n_words=pa.array(n_words), n_features=pa.array(n), counts=counts)
+
+    def runs(self, flat: np.ndarray, n_words: np.ndarray, longest: int) -> Generator[pa.RecordBatch, None, tuple[list[np.ndarray], np.ndarray]]:
+        """Each run of 2 to longest words, numbered after the words; returns the features of each document and how many."""
+        known, flat, owner = len(self.words), flat.astype(np.int64), np.repeat(np.arange(len(self.texts)), n_words)
         features, owners, tuples, prefix = [flat], [owner], np.arange(known)[:, None], flat
         for size in range(2, longest + 1):
             m = max(0, len(flat) - size + 1)
@@ -95,14 +104,9 @@ class Block:
             features.append(known + at)
             owners.append(owner[whole])
             known += len(keys)
-        if self.side:
-            return
         feature, owner = np.concatenate(features), np.concatenate(owners)
-        order = np.argsort(owner, kind="stable")
         n = np.bincount(owner, minlength=len(self.texts))
-        own = np.split(feature[order], np.cumsum(n)[:-1])
-        counts = pa.array([packed(x) for x in own], pa.binary())
-        yield self.batch(len(own), doc_id=pa.array(self.ids, pa.int64()), n_words=pa.array(n_words), n_features=pa.array(n), counts=counts)
+        return np.split(feature[np.argsort(owner, kind="stable")], np.cumsum(n)[:-1]), n
 
     def batch(self, k: int, **columns: pa.Array) -> pa.RecordBatch:
         types = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_features": pa.int64(), "counts": pa.binary(), "local": pa.int32(), "word": pa.string(), "run": pa.list_(pa.int32()), "n": pa.int64()}

@@ -143,7 +143,7 @@ def test_resampling_equals_plain_python(spark, odd, longest, buckets, least, per
 
 def test_resampling_in_small_blocks(spark, odd):
     """The numbers of a block are its own: blocks of one document count alike."""
-    whole, small = (importance.blocks(odd, odd.limit(0), 2, size).where("counts IS NOT NULL") for size in (1 << 25, 1))
+    whole, small = (importance.blocks(odd, odd.limit(0), 2, size).where("counts IS NOT NULL") for size in (1 << 24, 1))
     assert small.select("block").distinct().count() == small.count() == whole.count()
     features = lambda df: Counter(tuple(r) for r in df.select("doc_id", "n_words", "n_features").collect())
     assert features(whole) == features(small)
