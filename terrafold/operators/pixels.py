@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import floor_mod, inside, raster_extent, world_to_pixel
+from .quantiles import exact_quantiles
 
 
 def nodata_to_null(px: DataFrame, column: str, nodata: float | None) -> DataFrame:
@@ -39,20 +40,24 @@ def stack_bands(px: DataFrame, bands: tuple[int, ...], keys: tuple[str, ...] = (
 
 
 def describe_area(df: DataFrame, by: str, columns: tuple[str, ...], pixel_area: float = 900.0, accuracy: int | None = None) -> DataFrame:
-    """by, band, n, mean, std, min, q25, q50, q75, max, area: a row for each group and column, in one pass. The area is that
-    of the pixels which have a value in the first column.
+    """by, band, n, mean, std, min, q25, q50, q75, max, area: a row for each group and column. The area is that of the pixels
+    which have a value in the first column. A null group is a group.
 
-    Exact quartiles keep each distinct value of a group in memory; for continuous values in large groups give the
-    accuracy of approximate ones (1 / accuracy is their relative error in rank).
+    Quartiles are exact and come from histograms, so a group's values are never in one place; with an accuracy they are
+    approximate and cost no further pass (1 / accuracy is their relative error in rank).
     """
-    places = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy) if accuracy else F.percentile(c, places)
-    facts = lambda c: (("n", F.count(c)), ("mean", F.avg(c)), ("std", F.stddev(c)), ("min", F.min(c)), ("q", quartiles(c)), ("max", F.max(c)))
-    of = lambda c: F.struct(F.lit(c).alias("band"), *[v.cast("array<double>" if n == "q" else "long" if n == "n" else "double").alias(n) for n, v in facts(c)])
+    places = (0.25, 0.5, 0.75)
+    facts = lambda c: (("n", F.count(c)), ("mean", F.avg(c)), ("std", F.stddev(c)), ("min", F.min(c)), ("max", F.max(c)))
+    near = lambda c: [F.percentile_approx(c, list(places), accuracy).cast("array<double>").alias("q")] if accuracy else []
+    of = lambda c: F.struct(F.lit(c).alias("band"), *[v.cast("long" if n == "n" else "double").alias(n) for n, v in facts(c)], *near(c))
     out = df.groupBy(by).agg(F.array(*[of(c) for c in columns]).alias("bands"))
-    out = out.select(by, (F.get("bands", F.lit(0))["n"] * F.lit(float(pixel_area))).alias("area"), F.explode("bands").alias("b"))
-    cut = [F.get(F.col("b.q"), F.lit(i)).alias(f"q{p}") for i, p in enumerate((25, 50, 75))]
-    return out.select(by, *[F.col(f"b.{c}").alias(c) for c in ("band", "n", "mean", "std", "min")], *cut, F.col("b.max").alias("max"), "area")
+    out = out.select(by, (F.get("bands", F.lit(0))["n"] * F.lit(float(pixel_area))).alias("area"), F.explode("bands").alias("b")).select(by, "area", "b.*")
+    if not accuracy:
+        values = F.explode(F.array(*[F.struct(F.lit(c).alias("band"), F.col(c).cast("double").alias("v")) for c in columns])).alias("b")
+        q = exact_quantiles(df.select(F.struct(by).alias("_by"), values).select("_by", "b.*"), ["_by", "band"], "v", places)
+        out = out.withColumn("_by", F.struct(by)).join(q.withColumnRenamed("quantiles", "q"), ["_by", "band"], "left")
+    cut = [F.get(F.col("q"), F.lit(i)).alias(f"q{p}") for i, p in enumerate((25, 50, 75))]
+    return out.select(by, "band", "n", "mean", "std", "min", *cut, "max", "area")
 
 
 def extent(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
