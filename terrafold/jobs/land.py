@@ -132,7 +132,18 @@ def remap_classes(spark, sf_dir):
 @query(f"""WITH {YEARLY}, {GROUPS} SELECT pixel, "group", count(*) AS n_years, CAST(CASE WHEN count(*) >= 4 THEN 1 ELSE 0 END AS INTEGER) AS stable,
 CAST(CASE WHEN count(*) < 4 THEN 1 ELSE 0 END AS INTEGER) AS not_stable FROM yearly JOIN groups USING (class_id) GROUP BY 1, 2""")
 def class_stability(spark, sf_dir):
-    return L.class_stability(yearly(spark, sf_dir), groups(spark), keys=("pixel",), min_years=4)
+    return L.class_stability(yearly(spark, sf_dir), groups(spark), keys=("pixel",), min_years=4).drop("longest_run")
+
+
+@query(f"""WITH {GROUPS}, y AS (SELECT DISTINCT l_partkey AS pixel, year(l_shipdate) AS year, "group" FROM lineitem JOIN groups ON l_linenumber = class_id),
+i AS (SELECT *, year - row_number() OVER (PARTITION BY pixel, "group" ORDER BY year) AS island FROM y),
+r AS (SELECT pixel, "group", island, count(*) AS run FROM i GROUP BY 1, 2, 3)
+SELECT pixel, "group", CAST(sum(run) AS BIGINT) AS n_years, CAST(max(run) AS INTEGER) AS longest_run, CAST(CASE WHEN sum(run) >= 4 THEN 1 ELSE 0 END AS INTEGER) AS stable,
+CAST(CASE WHEN sum(run) < 4 THEN 1 ELSE 0 END AS INTEGER) AS not_stable FROM r GROUP BY 1, 2""")
+def class_runs(spark, sf_dir):
+    """Years and longest runs of years with a class of the group; a pixel has many rows a year."""
+    px = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("pixel"), F.year("l_shipdate").alias("year"), F.col("l_linenumber").alias("class_id"))
+    return L.class_stability(px, groups(spark), keys=("pixel",), min_years=4)
 
 
 @query("SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")

@@ -73,6 +73,46 @@ def test_stability(spark):
         L.class_stability(px, many, ("pixel",), include_zero=True)
 
 
+def test_repeated_rows_change_no_years(spark):
+    years = [1989, 1990, 1991, 2047, 2048, 2049, 2050, 2051, 2060, -1]
+    px = spark.createDataFrame([("p", y, c) for y in years for c in (1, 1, 2)] + [("p", None, 1), ("p", 2070, 9), ("q", 2000, 2)], "pixel string, year int, class_id int")
+    groups = spark.createDataFrame([("g", 1), ("g", 2), ("g", 1), ("h", 2)], "group string, class_id int")
+    got = {(r["pixel"], r["group"]): (r["n_years"], r["longest_run"], r["stable"]) for r in L.class_stability(px, groups, ("pixel",), min_years=10).collect()}
+    assert got == {("p", "g"): (10, 5, 1), ("p", "h"): (10, 5, 1), ("q", "g"): (1, 1, 0), ("q", "h"): (1, 1, 0)}
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins by shuffles alone, with partitions as they are dealt."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_overlay_deals_unused_pixels_evenly(spark, no_broadcast):
+    """Four of five pixels have class 0 or lie outside; the others spread by blocks."""
+    at = spark.range(0, 800 * 500, 1, 8).select(F.floor(F.col("id") / 500).cast("int").alias("row"), (F.col("id") % 500).cast("int").alias("col"))
+    fine = at.withColumn("class_id", F.when(F.col("col") % 5 == 0, 3).when(F.col("col") % 5 == 1, None).otherwise(0))
+    coarse = spark.range(62 * 62).select(F.floor(F.col("id") / 62).cast("int").alias("row"), (F.col("id") % 62).cast("int").alias("col")).withColumn("trend_class", (F.col("row") + F.col("col")) % 6)
+    geo = {"x0": 0.0, "sx": 1.0, "y0": 0.0, "sy": -1.0}
+    out = L.overlay_code(fine, coarse, geo, {"x0": 0.0, "sx": 8.0, "y0": 0.0, "sy": -8.0, "width": 62, "height": 62})
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 400_000 and max(sizes) <= 2 * 400_000 / 8
+    met = [r["count"] for r in out.where("col % 5 = 0 and row < 496 and col < 496").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert max(met) <= 2 * sum(met) / 8
+    wrong = out.where("col % 5 = 0 and row < 496 and col < 496").where("code <> if((row div 8 + col div 8) % 6 = 0, 0, 30 + (row div 8 + col div 8) % 6)")
+    assert wrong.count() == 0 and out.where("(col % 5 <> 0 or row >= 496 or col >= 496) and code <> 0").count() == 0
+
+
+def test_blocks_hold_about_as_many_pixels_whatever_the_grids(spark):
+    at = lambda sx: {"sx": sx, "sy": -sx}
+    assert [L.block_side(at(1.0), at(c)) for c in (0.5, 1.0, 8.0, 30.0, 1000.0)] == [64, 64, 8, 2, 1]
+
+
 def test_valid_pixels_and_nodata(spark):
     px = spark.createDataFrame([(1, -9.0), (1, 2.0), (None, 2.0), (1, float("nan"))], "a int, b double")
     assert [tuple(r) for r in X.valid_pixels(px, {"a": None, "b": -9.5}).where("a = 1 and not isnan(b)").collect()] == [(1, 2.0)]
