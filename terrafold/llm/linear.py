@@ -43,6 +43,35 @@ class OneVersusOne:
         return best, 1 / (1 + np.exp(-4 * margin))
 
 
+class OneVersusRest:
+    """An SVM for each class against all others, fitted together; the class of the largest margin is predicted. Its cost and
+    its size grow with the number of classes, not with that of their pairs."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, c: float = 20.0, steps: int = 150):
+        self.classes = sorted(set(y.tolist()))
+        place = {a: i for i, a in enumerate(self.classes)}
+        own = np.array([place[a] for a in y.tolist()])
+        target = np.full((len(x), len(self.classes)), -1, x.dtype)
+        target[np.arange(len(x)), own] = 1
+        n = np.bincount(own, minlength=len(self.classes))
+        share = np.where(target > 0, 0.5 / n, 0.5 / np.maximum(1, len(x) - n)).astype(x.dtype)
+        square = (x * x).sum(1) + 1
+        self.w, self.b = np.zeros((x.shape[1], len(n)), x.dtype), np.zeros(len(n), x.dtype)
+        v, u, rate = self.w.copy(), self.b.copy(), 1.0 / (2 * c * (share * square[:, None]).sum(0) + 1.0).astype(x.dtype)
+        for t in range(1, steps + 1):
+            pull = 2 * c * share * target * np.maximum(0, 1 - target * (x @ v + u))
+            w, b = v - rate * (v - x.T @ pull), u - rate * (u - pull.sum(0))
+            go = (t - 1) / (t + 2)
+            v, u, self.w, self.b = w + go * (w - self.w), b + go * (b - self.b), w, b
+
+    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class numbers, and how sure each is: the logistic of its margin over all others."""
+        margin = x @ self.w + self.b
+        best = np.argmax(margin, axis=1) if len(x) else np.zeros(0, int)
+        sure = margin[np.arange(len(x)), best] if len(self.classes) > 1 else np.full(len(x), 8.0)
+        return best, 1 / (1 + np.exp(-4 * sure.astype(float)))
+
+
 class Rows:
     """Sparse rows: of each row the columns and values, end to end."""
 

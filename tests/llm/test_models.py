@@ -1,5 +1,6 @@
 """Operators 3 and 8: the fits against plain arithmetic, bounded samples, held-out labels, odd rows."""
 
+import random
 import math
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafold.llm import langid, quality
-from terrafold.llm.linear import OneVersusOne, Rows, ordinal, ordinal_loss
+from terrafold.llm.linear import OneVersusOne, OneVersusRest, Rows, ordinal, ordinal_loss, svm
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
@@ -89,9 +90,10 @@ def test_samples_are_bounded_by_documents(spark, monkeypatch):
     monkeypatch.setattr(langid, "ROWS_PER_LANGUAGE", 50)
     langid.fit(docs, 50)
     assert seen["x"] <= 100
+    assert seen["langs"] == {"en", "fr"}
     monkeypatch.setattr(langid, "MOST_LANGUAGES", 1)
-    got = langid.identify(docs)
-    assert got.count() == len(rows) and seen["langs"] == {"en"} and {r.lang_pred for r in got.select("lang_pred").distinct().collect()} == {"en"}
+    with pytest.raises(ValueError):
+        langid.identify(docs)
 
 
 def test_pairs_of_classes_vote():
@@ -102,6 +104,76 @@ def test_pairs_of_classes_vote():
     assert [model.classes[b] for b in best] == ["a"] * 20 + ["b"] * 20 + ["c"] * 20 and ((sure > 0.5) & (sure <= 1)).all()
 
 
+def test_one_class_against_the_rest():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.1, (20, 2)) for c in ((0, 2), (2, 0), (-2, -2))]).astype(np.float32)
+    y = np.repeat(["a", "b", "c"], 20).astype(object)
+    model = OneVersusRest(x, y)
+    best, sure = model.predict(x)
+    assert [model.classes[b] for b in best] == y.tolist() and ((sure > 0.5) & (sure <= 1)).all()
+    for i, a in enumerate("abc"):
+        alone = svm(x, np.where(y == a, 1, -1).astype(np.float32))
+        assert np.allclose(np.append(model.w[:, i], model.b[i]), alone, atol=1e-3)
+    only = OneVersusRest(x[:20], y[:20])
+    assert only.predict(x)[0].tolist() == [0] * 60 and model.predict(x[:0])[0].tolist() == []
+
+
+def invented(languages: int, rows: int) -> list[tuple]:
+    """Rows of languages with words of their own over letters of their own preference."""
+    out = []
+    for k in range(languages):
+        rng = random.Random(k)
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyzéèüñçøåß", 9)
+        words = ["".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(30)]
+        out += [(k * rows + i, " ".join(rng.choices(words, k=40)), f"x{k:03d}", "a", 1) for i in range(rows)]
+    return out
+
+
+def test_each_of_two_hundred_languages_can_be_predicted(spark):
+    docs = spark.createDataFrame(invented(200, 24), SCHEMA)
+    model = langid.fit(docs)
+    assert len(model.families.classes) == 17 and max(len(m.classes) for m in model.within) == langid.MOST_RELATED
+    assert sum(len(m.w) for m in model.within) < 200 * langid.MOST_RELATED
+    got = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert {r.lang_pred for r in got if r.lang_pred == r.lang} == {f"x{k:03d}" for k in range(200)}
+    out = [r for r in got if r.held_out]
+    assert sum(r.lang_pred == r.lang for r in out) >= 0.95 * len(out)
+
+
+def test_prediction_in_two_steps(spark):
+    """Family, then votes of pairs within it, by loops over the model's weights."""
+    rows = invented(30, 16) + [(10_000 + 100 * ord(lang[0]) + i, t, lang, "a", 1) for lang, words in (("en", "the and with of"), ("de", "der und mit von"), ("fr", "les et avec des"), ("it", "gli con per che")) for i, t in enumerate([" ".join(random.Random(f"{lang}{j}").choices(words.split(), k=20)) for j in range(16)])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = langid.fit(docs)
+    of = langid.family_of(np.eye(30, dtype=np.float32), np.array([f"x{k:03d}" for k in range(30)], dtype=object), langid.FAMILIES)
+    assert of["de"] == of["en"] == "germanic" and of["fr"] == "romance" and len({of[f"x{k:03d}"] for k in range(30)}) == 3
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model).collect()}
+    for r in rows:
+        x = langid.ngrams(r[1]).astype(float)
+        margins = [float(x @ model.families.w[:, f] + model.families.b[f]) for f in range(len(model.families.classes))]
+        f = max(range(len(margins)), key=margins.__getitem__)
+        own = model.within[f]
+        votes, least = [0] * len(own.classes), [8.0] * len(own.classes)
+        for (i, j), w in zip(own.pairs, own.w, strict=True):
+            m = float(x @ w[:-1] + w[-1])
+            votes[i if m > 0 else j] += 1
+            least[i], least[j] = min(least[i], m), min(least[j], -m)
+        best = max(range(len(votes)), key=lambda k: votes[k] + (np.tanh(least[k]) + 1) / 4)
+        lang, score = got[r[0]]
+        assert lang == own.classes[best]
+        assert abs(score - 1 / (1 + np.exp(-4 * margins[f])) / (1 + np.exp(-4 * least[best]))) < 1e-3
+
+
+def test_equal_languages_tie(spark):
+    """Of languages with the same texts, one is predicted, the same for equal texts, and without much confidence."""
+    docs = spark.createDataFrame([(k * 40 + i, f"same words here number {'abcdefgh'[i % 8]}", lang, "a", 1) for k, lang in enumerate(("en", "de", "xx")) for i in range(40)], SCHEMA)
+    got = langid.identify(docs).join(docs.select("doc_id", "text"), "doc_id").collect()
+    by_text = {}
+    for r in got:
+        by_text.setdefault(r.text, set()).add((r.lang_pred, r.score))
+    assert all(len(v) == 1 for v in by_text.values()) and all(0 <= r.score < 0.7 for r in got)
+
+
 def test_stages_take_odd_rows(spark):
     odd = spark.createDataFrame([(*r, "clash", "clash") for r in ODD], SCHEMA + ", graded string, identified string")
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (6, None, 1), (None, 1, 1), (1, 1, 1)], "doc_id long, quality int, toxic int")
