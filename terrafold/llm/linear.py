@@ -18,6 +18,12 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, steps: int = 150) -> np.n
     return w
 
 
+def rounded(margin: np.ndarray) -> np.ndarray:
+    """Margins without their last digits, which depend on the other rows of a product, so that equal rows are predicted alike
+    and exact ties are ties."""
+    return np.round(margin.astype(float), 4)
+
+
 class OneVersusOne:
     """An SVM for each pair of classes; the class that wins most, by margin where equal, is predicted."""
 
@@ -34,7 +40,7 @@ class OneVersusOne:
         n = len(x)
         votes, least = np.zeros((n, len(self.classes))), np.full((n, len(self.classes)), 8.0)
         for (i, j), w in zip(self.pairs, self.w, strict=True):
-            m = x @ w[:-1] + w[-1]
+            m = rounded(x @ w[:-1] + w[-1])
             votes[:, i] += m > 0
             votes[:, j] += m <= 0
             least[:, i], least[:, j] = np.minimum(least[:, i], m), np.minimum(least[:, j], -m)
@@ -66,7 +72,7 @@ class OneVersusRest:
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class numbers, and how sure each is: the logistic of its margin over all others."""
-        margin = x @ self.w + self.b
+        margin = rounded(x @ self.w + self.b)
         best = np.argmax(margin, axis=1) if len(x) else np.zeros(0, int)
         sure = margin[np.arange(len(x)), best] if len(self.classes) > 1 else np.full(len(x), 8.0)
         return best, 1 / (1 + np.exp(-4 * sure.astype(float)))
