@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import matches, written
+from .common import matches, tidied, written
 
 #: What is between terms; A-Z are lower-cased before. The bytes of a character beyond ASCII are all above 0x7F.
 TERM = rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -73,7 +73,7 @@ def partial_counts(docs: DataFrame) -> DataFrame:
             yield pa.record_batch({"lang": same(lang), "source": same(source), "term": terms, "n": pa.array(packed & (_DOC - 1)), "docs": pa.array(packed >> 40)})
 
     rows = docs.select(F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return rows.mapInArrow(tidied(run), "lang string, source string, term string, n long, docs long")
 
 
 def probability(n: Column, total: Column, terms: Column, smoothing: int, scale: int) -> Column:

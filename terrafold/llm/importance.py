@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import matches, ranked, written
+from .common import matches, ranked, release, tidied, written
 
 WORD = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -134,7 +134,7 @@ def blocks(docs: DataFrame, target: DataFrame, longest: int, size: int = BLOCK)
             yield from own.rows(longest)
 
     of = lambda side, doc_id, df: df.select(F.lit(side).alias("side"), doc_id.cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return of(0, F.col("doc_id"), docs).union(of(1, F.lit(None), target)).mapInArrow(run, BLOCKS)
+    return of(0, F.col("doc_id"), docs).union(of(1, F.lit(None), target)).mapInArrow(tidied(run), BLOCKS)
 
 
 def numbered(words: DataFrame, buckets: int) -> DataFrame:
@@ -160,7 +160,7 @@ def numbered(words: DataFrame, buckets: int) -> DataFrame:
             seen, bucket, last = seen + int(at[-1]), int(hashed[-1]), word[len(word) - 1].as_py()
 
     rows = words.repartition("word").sortWithinPartitions("word")
-    return rows.mapInArrow(run, "block long, local int, side int, n long, id long, bucket int, word string")
+    return rows.mapInArrow(tidied(run), "block long, local int, side int, n long, id long, bucket int, word string")
 
 
 def longer_runs(runs: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
@@ -220,6 +220,7 @@ def resample(
         for n, data in zip(doc["n_features"], doc["counts"], strict=True):
             at, k = unpacked(data)
             weight.append(int((gain[at] * k).sum()) // int(n) if n else 0)
+        release()
         return doc[["doc_id", "n_words", "n_features"]].assign(weight=np.array(weight, np.int64))
 
     held = rows.where("counts IS NOT NULL").select("block", "doc_id", "n_words", "n_features", "counts")

@@ -18,6 +18,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: Pieces in the broadcast table, and in the summary of a task.
 FREQUENT = 32_768
@@ -141,7 +143,7 @@ def frequent_pieces(docs: DataFrame, text: str = "text", k: int = FREQUENT) -> l
         out.insert(0, "step", int(group["step"].iloc[0]) // MERGED)
         return out
 
-    rows = docs.select(F.col(text).cast("string")).mapInArrow(summed, "pieces array<string>, n array<long>")
+    rows = docs.select(F.col(text).cast("string")).mapInArrow(tidied(summed), "pieces array<string>, n array<long>")
     rows = rows.select(F.floor(F.spark_partition_id() / MERGED).alias("step"), "pieces", "n")
     for last in (False, False, True):
         rows = rows.withColumn("step", F.lit(0).cast("long")) if last else rows
@@ -172,4 +174,4 @@ def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, freque
             yield pa.record_batch({"doc_id": batch.column(0), "n_bytes": batch.column(2), "n_tokens": pa.array(n, pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(tidied(run), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
