@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 NO_PAIR = np.int32(2**31 - 1)
 #: Pieces of up to so many bytes are merged together.
@@ -288,4 +290,4 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, ids: bool =
                 yield pa.record_batch(out | ({"ids": pa.array(arrays, pa.list_(pa.int32()))} if ids else {}))
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema + (", ids array<int>" if ids else ""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), schema + (", ids array<int>" if ids else ""))

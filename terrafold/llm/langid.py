@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, release
 from .linear import OneVersusOne, OneVersusRest
 
 #: Closely related languages. Fixed values.
@@ -145,6 +145,7 @@ def predicted(text: Column, model: Hierarchy | None, spark) -> Column:
             scores[part] = sure
             for i, lang in zip(part.tolist(), got, strict=True):
                 langs[i] = lang
+        release()
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
     return run(text)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, hashed, mixed
+from .common import fresh, hashed, mixed, release
 from .linear import Rows, ordinal, sigmoid
 
 #: Features by block: words without their case and marks, their last letters, their shapes; a few of the document; and
@@ -178,6 +178,7 @@ def graded(text: Column, model: Grader | None, spark) -> Column:
         if shared.value is None:
             return pd.DataFrame({c: [None] * len(texts) for c in ("expected_grade", "p_fair", "p_good")}, dtype=float)
         tails = shared.value.tails(texts.tolist())
+        release()
         return pd.DataFrame({"expected_grade": tails.sum(1), "p_fair": tails[:, 0], "p_good": tails[:, -1]})
 
     return run(text)

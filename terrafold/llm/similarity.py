@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import new_path, removed
-from .common import checkpointed, fresh, partitions, shingles, written
+from .common import checkpointed, fresh, partitions, shingles, tidied, written
 
 #: Counters that find very frequent shingles, and how many times the mean makes one of them frequent.
 SLOTS, FREQUENT, LEAST_FREQUENT = 1 << 18, 8, 64
@@ -91,7 +91,7 @@ def members(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
             empty = {c: pa.nulls(len(part), t) for c, t in (("doc_id", pa.int64()), ("h", pa.int64()), ("g", pa.int32()), ("n", pa.int64()), ("name", pa.binary()), ("key", pa.int64()))}
             yield pa.record_batch(empty | {"slot": pa.array(part, pa.int32()), "count": pa.array(counts[part])})
 
-    both = written(docs.mapInArrow(run, "doc_id long, h long, g int, n long, name binary, key long, slot int, count long"), "members")
+    both = written(docs.mapInArrow(tidied(run), "doc_id long, h long, g int, n long, name binary, key long, slot int, count long"), "members")
     return both.where("slot is null").select("doc_id", "h", "g", "n", "name", "key"), both.where("slot is not null").select("slot", "count")
 
 
@@ -139,7 +139,7 @@ def postings(docs: DataFrame, k: int, least: Fraction, frequent: np.ndarray) ->
         spread = lambda i, kind: pa.array(np.repeat(np.array([h[i] for h in held], kind), n))
         return pa.record_batch({"token": pa.array(np.concatenate([h[0] for h in held]).view(np.int64)), "key": spread(1, np.int64), "n": spread(2, np.int32), "spare": spread(3, np.int32), "sure": spread(4, bool)})
 
-    return docs.select("text").mapInArrow(run, "token long, key long, n int, spare int, sure boolean")
+    return docs.select("text").mapInArrow(tidied(run), "token long, key long, n int, spare int, sure boolean")
 
 
 def candidates(posted: DataFrame, least: Fraction) -> DataFrame:
@@ -353,7 +353,7 @@ def joined(rows: DataFrame, k: int, least: Fraction) -> DataFrame:
         yield flush()
 
     shaped = rows.repartition(partitions(rows.sparkSession), "part").sortWithinPartitions("part", "name")
-    return shaped.select("part", "name", "label", "text").mapInArrow(run, "name binary, root binary")
+    return shaped.select("part", "name", "label", "text").mapInArrow(tidied(run), "name binary, root binary")
 
 
 def classes(docs: DataFrame, k: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -414,7 +414,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64()))
 
-    rows = asked_for(docs, key, wanted.select(key.alias("k"))).mapInArrow(once, "doc_id long, text string, h long, g int").select(F.col("doc_id").alias("_d"), "text", F.col("h").alias("_h"), F.col("g").alias("_g"))
+    rows = asked_for(docs, key, wanted.select(key.alias("k"))).mapInArrow(tidied(once), "doc_id long, text string, h long, g int").select(F.col("doc_id").alias("_d"), "text", F.col("h").alias("_h"), F.col("g").alias("_g"))
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g"))
     return wanted.join(rows, same).drop("doc_id", "h", "g", "_d", "_h", "_g")
 
