@@ -9,6 +9,7 @@ from ..functions import decimal_comma, granule_month, granule_name, granule_star
 from ..operators import pairs as P
 from ..operators import readings as R
 from ..operators import satellite as S
+from ..operators.backfill import load_days, read_days
 from ..sources import reading_fields
 from ..storage import new_path
 from .common import EDGE_YEARS, HALVES, PAIRS, READINGS, daily, daily_sums, iso, lines, number, readings, table
@@ -133,12 +134,12 @@ def pair_obs_est(spark, sf_dir):
 
 @query(f"WITH {PAIRS} SELECT code_wmo, CAST(v_date AS VARCHAR) AS v_date, CAST(gpm_prep AS DOUBLE) AS prep_mm FROM pairs")
 def append_chunks(spark, sf_dir):
-    """The chunks are files, one folder a station, written in one pass; each is read once."""
-    path, schema = new_path(spark, "chunks"), "v_date date, prep_mm decimal(38,2)"
+    """The chunks are files, one folder a station, written in one pass and read in one; the folder names the station, and one
+    without rows has none."""
+    path = new_path(spark, "chunks")
     daily(spark, sf_dir)[1].select("code_wmo", "v_date", F.col("prep_mm").cast("decimal(38,2)").alias("prep_mm")).write.partitionBy("code_wmo").parquet(path)
-    stations = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("code"))
-    chunks = [spark.read.schema(schema).parquet(f"{path}/code_wmo={r['code']}").select(F.lit(r["code"]).alias("code_wmo"), "v_date", "prep_mm") for r in stations.collect()]
-    return P.append_chunks(chunks).select("code_wmo", iso("v_date"), number("prep_mm"))
+    rows = spark.read.schema("v_date date, prep_mm decimal(38,2), code_wmo string").parquet(path)
+    return rows.select("code_wmo", iso("v_date"), number("prep_mm"))
 
 
 @query(f"WITH {PAIRS} SELECT code_wmo, CAST(v_date AS VARCHAR) AS v_date, {OBS_EST} FROM pairs WHERE v_date BETWEEN DATE '1996-06-01' AND DATE '1998-02-28'")
@@ -216,8 +217,8 @@ def rain_day_totals(spark, sf_dir):
 m AS (SELECT code_wmo, max(source_ano) AS source_ano FROM s GROUP BY 1)
 SELECT s.code_wmo, s.o_orderkey, CAST(s.source_ano AS INTEGER) AS source_ano FROM s JOIN m ON s.code_wmo = m.code_wmo AND s.source_ano = m.source_ano""")
 def latest_station(spark, sf_dir):
-    stations = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("code_wmo"), "o_orderkey", F.year("o_orderdate").alias("source_ano"))
     """The stations of all market segments but one."""
+    stations = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("code_wmo"), "o_orderkey", F.year("o_orderdate").alias("source_ano"))
     subset = table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("code_wmo"))
     return R.latest_station(stations, subset)
 
@@ -270,14 +271,52 @@ def month_granule_names(spark, sf_dir):
     return named.select("granule", year.alias("v_year"), month.alias("v_month"))
 
 
-@query(f"""WITH {DAYS}, s AS (SELECT event_type AS id, CAST(ts + INTERVAL 12 HOUR AS DATE) AS v_date, sum(CAST(value AS DECIMAL(18,2))) AS v FROM events GROUP BY 1, 2),
+SATELLITE_DAILY = f"""WITH {DAYS}, s AS (SELECT event_type AS id, CAST(ts + INTERVAL 12 HOUR AS DATE) AS v_date, sum(CAST(value AS DECIMAL(18,2))) AS v FROM events GROUP BY 1, 2),
 i AS (SELECT DISTINCT event_type AS id FROM events)
-SELECT i.id, CAST(days.v_date AS VARCHAR) AS v_date, round(coalesce(CAST(v AS DOUBLE) / 10, 0), 4) AS total_mm FROM i CROSS JOIN days LEFT JOIN s ON s.id = i.id AND s.v_date = days.v_date""")
+SELECT i.id, CAST(days.v_date AS VARCHAR) AS v_date, round(coalesce(CAST(v AS DOUBLE) / 10, 0), 4) AS total_mm FROM i CROSS JOIN days LEFT JOIN s ON s.id = i.id AND s.v_date = days.v_date"""
+
+
+def satellite_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("id"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("value").cast("decimal(18,2)").alias("value"))
+
+
+@query(SATELLITE_DAILY)
 def satellite_daily(spark, sf_dir):
-    samples = table(spark, sf_dir, "events").select(F.col("event_type").alias("id"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("value").cast("decimal(18,2)").alias("value"))
+    samples = satellite_samples(spark, sf_dir)
     return S.satellite_daily(samples, samples.select("id").distinct(), days(spark, sf_dir)).select("id", iso("v_date"), number("total_mm"))
 
 
+@query(SATELLITE_DAILY)
+def resumed_load(spark, sf_dir):
+    """Daily totals loaded by day, in two goes: the days of even number, then all, of which the first half is there already."""
+    path, samples = new_path(spark, "days"), satellite_samples(spark, sf_dir)
+    rows_of = lambda part: S.satellite_daily(samples, samples.select("id").distinct(), part).select("id", F.col("total_mm").cast("double").alias("total_mm"), "v_date")
+    for part in (days(spark, sf_dir).where("day(v_date) % 2 = 0"), days(spark, sf_dir)):
+        load_days(spark, path, part, rows_of)
+    return read_days(spark, path, "id string, total_mm double, v_date date").select("id", iso("v_date"), number("total_mm"))
+
+
+GRANULES = f"""px AS (SELECT {SLOT_OF} AS start, user_id // 30 % 20 AS row_, user_id % 30 AS col_, sum(CAST(value AS DECIMAL(18,2))) AS value FROM events GROUP BY 1, 2, 3)"""
+#: A grid of 20 rows of 30 pixels; stations lie on its left part, and some below it.
+GRID = {"x0": 0.0, "sx": 1.0, "y0": 0.0, "sy": -1.0, "width": 30, "height": 20}
+
+
+@query(f"""WITH {DAYS}, {GRANULES}, st AS (SELECT c_custkey AS id, c_custkey % 14 AS col_, c_custkey // 14 % 25 AS row_ FROM customer),
+s AS (SELECT id, CAST(start + INTERVAL 12 HOUR AS DATE) AS v_date, sum(value) AS v FROM st JOIN px USING (row_, col_) GROUP BY 1, 2)
+SELECT st.id, CAST(days.v_date AS VARCHAR) AS v_date, round(coalesce(CAST(v AS DOUBLE) / 10, 0), 4) AS total_mm FROM st CROSS JOIN days LEFT JOIN s ON s.id = st.id AND s.v_date = days.v_date""")
+def station_rain(spark, sf_dir):
+    """Granules of events (a pixel for each user) written by day and tile, sampled at all customers, summed by day."""
+    half = F.window(F.col("ts").cast("timestamp_ntz"), "30 minutes")["start"]
+    user = F.col("user_id")
+    px = table(spark, sf_dir, "events").groupBy(half.alias("start"), (F.floor(user / 30) % 20).cast("int").alias("row"), (user % 30).cast("int").alias("col")).agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("decimal(38,2)").alias("value"))
+    path = new_path(spark, "granules")
+    S.write_granules(px, path, GRID)
+    granules = spark.read.schema("start timestamp_ntz, row int, col int, value decimal(38,2), v_date date, tile int").parquet(path)
+    k = F.col("c_custkey")
+    stations = table(spark, sf_dir, "customer").select(k.alias("id"), (k % 14 + 0.25).alias("lon"), (-(F.floor(k / 14) % 25) - 0.25).alias("lat"))
+    return S.station_rain(granules, stations, days(spark, sf_dir), GRID).select("id", iso("v_date"), number("total_mm"))
+
+
 @query(f"WITH {DAYS}, {SLOTS}, p AS (SELECT DISTINCT {SLOT_OF} AS start FROM events) SELECT CAST(v_date AS VARCHAR) AS v_date, 'missing granule ' || {NAME.format(s='slots.start')} AS message FROM slots WHERE start NOT IN (SELECT start FROM p)")
 def missing_granules(spark, sf_dir):
     present = slot_starts(spark, sf_dir).select(granule_name(F.col("start")).alias("granule"))

@@ -34,3 +34,9 @@ def removed(spark: SparkSession, path: str) -> None:
     """Delete what is at a path that new_path gave, through the file system that holds it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path, on the file system that holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
