@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidied
+from .common import small_batches, tidied
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 NO_PAIR = np.int32(2**31 - 1)
@@ -268,6 +268,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, ids: bool =
     """
     with open(vocabulary, "rb") as f:
         lines = docs.sparkSession.sparkContext.broadcast(f.read())
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = loaded(lines.value)

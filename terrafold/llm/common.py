@@ -43,6 +43,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of whole texts that go to a worker at once, where the session has Spark's default, ten times as many.
+ROWS_AT_ONCE, SPARK_ROWS = "1000", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand whole texts to workers in small batches, unless the session says how many rows a batch has: Spark's default is
+    made for rows of numbers, and both sides hold a batch in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == SPARK_ROWS:
+        spark.conf.set(name, ROWS_AT_ONCE)
+
+
 def release() -> None:
     """Give back what Arrow holds for reuse: a worker waits for other tasks, and for other stages, with what it has."""
     pa.default_memory_pool().release_unused()

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, release
+from .common import fresh, release, small_batches
 from .linear import OneVersusOne, OneVersusRest
 
 #: Closely related languages. Fixed values.
@@ -132,6 +132,7 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, families: d
 def predicted(text: Column, model: Hierarchy | None, spark) -> Column:
     """struct<lang_pred, score>. A null text, one without a letter, and every text where nothing could be learned are
     `und` with score 0."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

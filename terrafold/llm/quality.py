@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, hashed, mixed, release
+from .common import fresh, hashed, mixed, release, small_batches
 from .linear import Rows, ordinal, sigmoid
 
 #: Features by block: words without their case and marks, their last letters, their shapes; a few of the document; and
@@ -171,6 +171,7 @@ def learned(columns: list[np.ndarray], values: list[np.ndarray], present: list[n
 def graded(text: Column, model: Grader | None, spark) -> Column:
     """struct<expected_grade, p_fair, p_good>: the expected grade, the probability of more than the lowest grade and that
     of the best. Without a model all are null."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("expected_grade double, p_fair double, p_good double")

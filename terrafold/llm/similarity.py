@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import new_path, removed
-from .common import checkpointed, fresh, partitions, shingles, tidied, written
+from .common import checkpointed, fresh, partitions, shingles, small_batches, tidied, written
 
 #: Counters that find very frequent shingles, and how many times the mean makes one of them frequent.
 SLOTS, FREQUENT, LEAST_FREQUENT = 1 << 18, 8, 64
@@ -71,6 +71,7 @@ def _once(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[str, np.n
 def members(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h, g, n, name, key) of every row, h and g being hashes of its text and key the first half of the name, and
     (slot, count) of the shingles of all rows, from one pass."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(SLOTS, np.int64), set()
