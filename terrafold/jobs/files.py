@@ -72,14 +72,16 @@ def band_csvs(spark, sf_dir):
     return out.withColumn("name", F.concat(F.lit("Brand#"), "name"))
 
 
-@query("""WITH g AS (SELECT vec_id // 4 AS grid, vec_id % 4 AS i, unnest(embedding[1:16]) AS height, generate_subscripts(embedding[1:16], 1) - 1 AS j FROM embeddings)
-SELECT CAST(grid AS VARCHAR) AS grid, CAST(CASE WHEN j * 24 > 180 THEN (j * 24 + 180) % 360 - 180 ELSE j * 24 END AS DOUBLE) AS lon, CAST(90 - i * 60 AS DOUBLE) AS lat, CAST(height AS DOUBLE) AS height FROM g WHERE j < 15""")
+@query("""WITH v AS (SELECT vec_id // 4 AS grid, embedding, row_number() OVER (PARTITION BY vec_id // 4 ORDER BY vec_id) - 1 AS k FROM embeddings WHERE embedding IS NOT NULL),
+g AS (SELECT grid, k, unnest(embedding) AS height, generate_subscripts(embedding, 1) - 1 AS pos FROM v),
+p AS (SELECT grid, height, k * 4 + pos // 16 AS i, pos % 16 AS j FROM g)
+SELECT CAST(grid AS VARCHAR) AS grid, CAST(CASE WHEN j * 24 > 180 THEN (j * 24 + 180) % 360 - 180 ELSE j * 24 END AS DOUBLE) AS lon, CAST(90 - i * 12 AS DOUBLE) AS lat, CAST(height AS DOUBLE) AS height FROM p WHERE j < 15""")
 def text_grid_files(spark, sf_dir):
-    """A text grid of every four vectors (their first 16 components), the number of longitudes left to the header."""
+    """A text grid of every four vectors, a line for each of them, the number of longitudes left to the header."""
     four = table(spark, sf_dir, "embeddings").where("embedding is not null").groupBy(F.floor(F.col("vec_id") / 4).alias("grid")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("rows"))
-    text = F.array_join(F.transform("rows", lambda r: F.array_join(F.transform(F.slice(r["embedding"], 1, 16), lambda x: x.cast("double").cast("string")), " ")), "\n\n")
+    text = F.array_join(F.transform("rows", lambda r: F.array_join(F.transform(r["embedding"], lambda x: x.cast("double").cast("string")), " ")), "\n\n")
     path = new_path(spark, "grids")
-    four.select("grid", F.concat(F.lit("-90 90 0 360 60 24\n"), text).alias("value")).repartition("grid").write.partitionBy("grid").text(path)
+    four.select("grid", F.concat(F.lit("-90 90 0 360 12 24\n"), text).alias("value")).repartition("grid").write.partitionBy("grid").text(path)
     return sources.read_text_grid(spark, path, grid=F.regexp_extract(F.col("_metadata.file_path"), "grid=([^/]*)/", 1))
 
 

@@ -89,14 +89,14 @@ def extent_snap(spark, sf_dir):
     return X.snap_extent(X.extent(points(spark, sf_dir)), 0.1, 0.25, 50.2, -0.25).select("left", "right", number("top"), number("bottom"))
 
 
-@query("""WITH a AS (SELECT 'a_' || CAST(n_nationkey AS VARCHAR) || '_dsm' AS raster_id, n_nationkey AS k, CAST(n_nationkey AS DOUBLE) AS sx FROM nation),
-b AS (SELECT n_nationkey AS k, n_regionkey * 1.5 AS x0, n_nationkey * -0.5 AS y0 FROM nation WHERE n_nationkey % 3 <> 0)
+@query("""WITH a AS (SELECT 'a_' || CAST(p_partkey AS VARCHAR) || '_dsm' AS raster_id, p_partkey AS k, p_retailprice AS sx FROM part),
+b AS (SELECT s_suppkey AS k, s_acctbal AS x0, (s_nationkey + 1) * -0.5 AS y0 FROM supplier)
 SELECT raster_id, sx, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0 FROM a JOIN b USING (k)""")
 def align_origin(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation")
-    tile = lambda name: F.concat(F.lit(name + "_"), F.col("n_nationkey").cast("string"), F.lit("_dsm" if name == "a" else "_hgt")).alias("raster_id")
-    a = nation.select(tile("a"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("n_nationkey").cast("double").alias("sx"))
-    b = nation.where("n_nationkey % 3 <> 0").select(tile("b"), (F.col("n_regionkey") * 1.5).alias("x0"), (F.col("n_nationkey") * -0.5).alias("y0"))
+    """Images of all parts with the origins of those suppliers' images that have the same number; the other parts have no partner."""
+    tile = lambda name, key: F.concat(F.lit(name + "_"), F.col(key).cast("string"), F.lit("_dsm" if name == "a" else "_hgt")).alias("raster_id")
+    a = table(spark, sf_dir, "part").select(tile("a", "p_partkey"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("p_retailprice").alias("sx"))
+    b = table(spark, sf_dir, "supplier").select(tile("b", "s_suppkey"), F.col("s_acctbal").alias("x0"), ((F.col("s_nationkey") + 1) * -0.5).alias("y0"))
     return X.align_origin(a, b, F.regexp_replace("raster_id", r"^[a-z]_(\d+)_.*$", "$1")).select("raster_id", "sx", "x0", "y0")
 
 

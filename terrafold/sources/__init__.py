@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import decimal_comma
+from .lines import file_lines
 
 #: Header lines of a station file, in their order; and the fields of its rows. Fixed values.
 FACTS = ("regiao", "uf", "estacao", "code_wmo", "lat", "long", "alt", "data")
@@ -21,21 +22,25 @@ def reading_fields(line) -> list:
     return [decimal_comma(F.get(parts, F.lit(i))).alias(name) for i, name in enumerate(("data", "hora", *MEASURES))]
 
 
+#: Lines of facts and the line of names before the rows of a station file.
+HEAD = len(FACTS) + 1
+
+
 def read_station_files(spark: SparkSession, path: str, glob: str = "*.CSV", source: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Stations and readings of a directory of station files: eight lines of facts, a header line, then hourly rows.
 
-    Each file is read whole, since a line's place in its file matters; files are the unit of work. source: an expression
-    on the file's `path` that names it; its stem by default.
+    Files are read in parts, so one of any size is spread; the facts stand in a file's first part and meet its rows by the
+    path, a row a file. source: an expression on the file's `path` that names it; its stem by default.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    lines = file_lines(spark, path, glob=glob).withColumn("line", F.decode("line", "ISO-8859-1"))
     stem = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1) if source is None else source
-    lines = F.split(F.decode("content", "ISO-8859-1"), r"\r?\n")
-    files = files.select(stem.alias("source"), lines.alias("lines"))
-    fact = {name: decimal_comma(F.get(F.split(F.get("lines", F.lit(i)), ";"), F.lit(1))) for i, name in enumerate(FACTS)}
+    head = (F.col("start") == 0) & (F.col("number") < HEAD)
+    fact = {name: F.max(F.when(F.col("number") == i, decimal_comma(F.get(F.split("line", ";"), F.lit(1))))).alias(name) for i, name in enumerate(FACTS)}
+    files = lines.where(head).groupBy("path").agg(*fact.values()).withColumn("source", stem)
     kinds = {"lat": "double", "long": "double", "alt": "double"}
     year = F.regexp_extract("source", r"([^_-]*)$", 1).try_cast("int")
-    stations = files.select("source", year.alias("source_ano"), *[(c.try_cast(kinds[n]) if n in kinds else c).alias(n) for n, c in fact.items()])
-    rows = files.select("source", fact["code_wmo"].alias("code_wmo"), F.posexplode("lines").alias("pos", "line")).where((F.col("pos") > 8) & (F.trim("line") != ""))
+    stations = files.select("source", year.alias("source_ano"), *[(F.col(n).try_cast(kinds[n]) if n in kinds else F.col(n)).alias(n) for n in FACTS])
+    rows = lines.where(~head & (F.trim("line") != "")).join(files.select("path", "source", "code_wmo"), "path")
     return stations, rows.select("source", "code_wmo", *reading_fields(F.col("line")))
 
 
@@ -57,18 +62,23 @@ def read_band_csvs(spark: SparkSession, path: str, bands: tuple[str, ...] = BAND
 
 def read_text_grid(spark: SparkSession, path: str, longitudes: int | None = None, grid: Column | None = None) -> DataFrame:
     """grid, lon, lat, height of text grids: six header numbers, then values in blocks; lines under four characters are empty.
-    How many longitudes there are follows from each header, unless it is given. grid: an expression on `_metadata` that
+    Files are read in parts, of any size; a value's place follows from the numbers of the parts before. How many longitudes there are follows from each header, unless it is given. grid: an expression on `_metadata` that
     names a file; its path by default."""
     from ..operators.pixels import unflatten_grid
 
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    text = files.select((F.col("_metadata.file_path") if grid is None else grid).alias("grid"), F.split("value", r"\r?\n").alias("lines"))
-    text = text.select("grid", F.filter("lines", lambda x: F.length(F.trim(x)) >= 4).alias("lines"))
-    numbers = lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != "")
-    head = numbers(F.element_at("lines", 1))
-    header = [F.element_at(head, i + 1).cast("double").alias(n) for i, n in enumerate(("south", "north", "west", "east", "n_s", "e_w"))]
-    values = F.transform(numbers(F.array_join(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))), " ")), lambda x: x.cast("double"))
-    return unflatten_grid(text.select("grid", *header, F.posexplode(values).alias("pos", "height")), longitudes)
+    # A line's numbers; lines under four characters are empty, and the first other one is the header.
+    weigh = lambda line: len(line.split()) if len(line.strip()) >= 4 else 0
+    lines = file_lines(spark, path, name=grid, weigh=weigh).withColumn("line", F.col("line").cast("string"))
+    lines = lines.withColumn("numbers", F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != "")).where(F.length(F.trim("line")) >= 4)
+    first = (F.col("start") == 0) & (F.col("before") == 0)
+    names = ("south", "north", "west", "east", "n_s", "e_w")
+    heads = lines.where(first).select("path", *[F.element_at("numbers", i + 1).cast("double").alias(n) for i, n in enumerate(names)], F.size("numbers").alias("head"))
+    # Where the numbers of a part begin in its file: a row a part.
+    parts = lines.groupBy("path", "start").agg(F.max(F.col("before") + F.size("numbers")).alias("n"))
+    begin = parts.withColumn("begin", F.sum("n").over(Window.partitionBy("path").orderBy("start")) - F.col("n")).drop("n")
+    values = lines.where(~first).join(begin, ["path", "start"]).join(heads, "path")
+    each = values.select(F.col("name").alias("grid"), *names, (F.col("begin") + F.col("before") - F.col("head")).alias("at"), F.posexplode("numbers").alias("i", "number"))
+    return unflatten_grid(each.select("grid", *names, (F.col("at") + F.col("i")).cast("int").alias("pos"), F.col("number").cast("double").alias("height")), longitudes)
 
 
 def pixels_from_parquet(spark: SparkSession, path: str, nodata: float | None) -> DataFrame:
