@@ -28,11 +28,11 @@ SAMPLES = f"{CATALOG}, {POINTS}, {HITS}, {TILES}, samples AS (SELECT point_id, h
 
 @query(f"WITH {CATALOG}, {POINTS}, {HITS} SELECT point_id, raster_id FROM hits")
 def points_in_extents(spark, sf_dir):
-    return X.points_in_extents(points(spark, sf_dir), catalog(spark, sf_dir), 8.0).select("point_id", "raster_id")
+    return X.points_in_extents(points(spark, sf_dir), catalog(spark, sf_dir)).select("point_id", "raster_id")
 
 
 def samples_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.sample_at_points(points(spark, sf_dir), catalog(spark, sf_dir), tiles(spark, sf_dir), 8.0)
+    return X.sample_at_points(points(spark, sf_dir), catalog(spark, sf_dir), tiles(spark, sf_dir))
 
 
 @query(f"WITH {SAMPLES} SELECT point_id, raster_id, pixel_value FROM samples")

@@ -8,8 +8,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import floor_mod, inside, raster_extent, world_to_pixel
+from ..functions import floor_mod, raster_extent, world_to_pixel
 from .quantiles import exact_quantiles
+from .spatial import points_in_boxes
 
 
 def nodata_to_null(px: DataFrame, column: str, nodata: float | None) -> DataFrame:
@@ -79,22 +80,17 @@ def _extents(catalog: DataFrame) -> DataFrame:
     return catalog.withColumns(dict(zip(names, raster_extent(*map(c, ("x0", "sx", "y0", "sy", "width", "height", "rx", "ry"))), strict=True)))
 
 
-def points_in_extents(points: DataFrame, catalog: DataFrame, cell: float) -> DataFrame:
-    """Every (point, image) whose extent (of a rotated image: the box around it) holds the point, edges included: both sides go to grid cells of the given width
-    and meet there, so neither is copied whole; the exact test follows."""
-    ext = _extents(catalog)
-    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
-    spread = ext.withColumn("cx", cells("minx", "maxx")).withColumn("cy", cells("miny", "maxy"))
-    at = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    hit = at.join(spread, ["cx", "cy"]).where(inside(F.col("x"), F.col("y"), F.col("minx"), F.col("maxx"), F.col("miny"), F.col("maxy")))
-    return hit.drop("cx", "cy", "minx", "maxx", "miny", "maxy")
+def points_in_extents(points: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Every (point, image) whose extent (of a rotated image: the box around it) holds the point, edges included. Both sides go
+    to the leaves of a quadtree over their density and meet there, so neither is copied whole; the exact test follows."""
+    return points_in_boxes(points, _extents(catalog)).drop("minx", "maxx", "miny", "maxy")
 
 
-def sample_at_points(points: DataFrame, catalog: DataFrame, pixels: DataFrame, cell: float) -> DataFrame:
+def sample_at_points(points: DataFrame, catalog: DataFrame, pixels: DataFrame) -> DataFrame:
     """point_id, raster_id, pixel_value: a row for each image that has a pixel at the point. A point on the far edge is
     inside the extent but has no pixel."""
     c = F.col
-    hit = points_in_extents(points, catalog, cell)
+    hit = points_in_extents(points, catalog)
     row, col = world_to_pixel(c("x"), c("y"), c("x0"), c("sx"), c("rx"), c("y0"), c("ry"), c("sy"))
     hit = hit.select("point_id", "raster_id", row.alias("row"), col.alias("col"))
     return hit.join(pixels, ["raster_id", "row", "col"]).select("point_id", "raster_id", c("value").alias("pixel_value"))

@@ -81,18 +81,6 @@ def test_repeated_rows_change_no_years(spark):
     assert got == {("p", "g"): (10, 5, 1), ("p", "h"): (10, 5, 1), ("q", "g"): (1, 1, 0), ("q", "h"): (1, 1, 0)}
 
 
-@pytest.fixture
-def no_broadcast(spark):
-    """Joins by shuffles alone, with partitions as they are dealt."""
-    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
-    before = {k: spark.conf.get(k) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    yield
-    for k, v in before.items():
-        spark.conf.set(k, v)
-
-
 def test_overlay_deals_unused_pixels_evenly(spark, no_broadcast):
     """Four of five pixels have class 0 or lie outside; the others spread by blocks."""
     at = spark.range(0, 800 * 500, 1, 8).select(F.floor(F.col("id") / 500).cast("int").alias("row"), (F.col("id") % 500).cast("int").alias("col"))
@@ -156,12 +144,12 @@ def test_extent_of_a_rotated_image(spark):
     catalog = spark.createDataFrame([("r", 0.0, 0.0, 1.0, 0.0, 1.0, 0.0, 3, 2)], "raster_id string, x0 double, sx double, rx double, y0 double, ry double, sy double, width int, height int")
     points = spark.createDataFrame([(1, 1.5, 2.5), (2, 2.5, 1.5)], "point_id int, x double, y double")
     pixels = spark.createDataFrame([("r", 1, 2, 7.0)], "raster_id string, row int, col int, value double")
-    assert [tuple(r) for r in X.sample_at_points(points, catalog, pixels, 2.0).collect()] == [(1, "r", 7.0)]
+    assert [tuple(r) for r in X.sample_at_points(points, catalog, pixels).collect()] == [(1, "r", 7.0)]
 
 
 def test_points_in_extents_equals_the_plain_join(spark):
     points = spark.range(60).select(F.col("id").alias("point_id"), (F.col("id") % 8 * 1.0).alias("x"), (F.col("id") % 7 * 1.0).alias("y"))
     catalog = spark.createDataFrame([(str(i), float(i), 1.0, 0.0, i + 2.0, 0.0, -1.0, 3, 2) for i in range(5)], "raster_id string, x0 double, sx double, rx double, y0 double, ry double, sy double, width int, height int")
-    got = X.points_in_extents(points, catalog, 2.0).select("point_id", "raster_id")
+    got = X.points_in_extents(points, catalog).select("point_id", "raster_id")
     plain = points.join(catalog, F.expr("x between x0 and x0 + width and y between y0 - height and y0")).select("point_id", "raster_id")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
