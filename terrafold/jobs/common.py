@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import bucketed, state
+
 #: The years at the edge of the data, left out of the scores.
 EDGE_YEARS = (1995, 2001)
 
@@ -34,9 +36,16 @@ def daily_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("code_wmo", "v_date").agg(F.sum(observed).alias("inmet_prep"), F.sum(estimated).alias("gpm_prep"))
 
 
+def daily_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """daily_sums as a table in buckets by station and day, made once for a session and state of the inputs; all queries on
+    daily rain share it."""
+    name = "daily_rain_" + state(spark, *(f"{sf_dir}/{t}.parquet" for t in ("lineitem", "supplier", "nation")))
+    return bucketed(daily_sums(spark, sf_dir), name, ["code_wmo", "v_date"])
+
+
 def daily(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Observed and estimated rain as tables of their own."""
-    both = daily_sums(spark, sf_dir)
+    """Observed and estimated rain as tables of their own, in the same buckets."""
+    both = daily_store(spark, sf_dir)
     return tuple(both.select("code_wmo", "v_date", F.col(c).alias("prep_mm")) for c in ("inmet_prep", "gpm_prep"))
 
 

@@ -12,7 +12,7 @@ from ..operators import satellite as S
 from ..operators.backfill import load_days, read_days
 from ..sources import reading_fields
 from ..storage import new_path
-from .common import EDGE_YEARS, HALVES, PAIRS, READINGS, daily, daily_sums, iso, lines, number, readings, table
+from .common import EDGE_YEARS, HALVES, PAIRS, READINGS, daily, daily_store, iso, lines, number, readings, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -50,7 +50,7 @@ SEASONAL = "seasonal AS (SELECT code_wmo, v_year, {s} AS seasons, sum(inmet_prep
 
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of all station days that the tables have; pair_obs_est makes the same by the join of both sides."""
-    return daily_sums(spark, sf_dir)
+    return daily_store(spark, sf_dir)
 
 
 def lowered(spark: SparkSession, sf_dir: str) -> DataFrame:
