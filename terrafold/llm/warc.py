@@ -16,7 +16,7 @@ import json
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +32,13 @@ DERIVATIVE = (
     "source_headers string, source_digest string, block_digest string, block_length long, block binary"
 )
 
-_HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)|<!doctype[^>]*>")
-_BREAK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>")
-_TAG = re.compile(r"</?[A-Za-z][^>]*>")
+#: Elements whose content is no text, and elements that end a line. Fixed values.
+HIDDEN = frozenset("script style template noscript".split())
+BREAKING = frozenset("address article aside blockquote br dd div dl dt footer form h1 h2 h3 h4 h5 h6 head header hr li main nav ol p pre section table td th title tr ul".split())
+#: A tag with its attributes: a quote counts after an equals sign alone, and one that is never closed runs to the end of the
+#: page, as does a tag. Nothing is tried twice, so a page of any shape takes time in proportion to its length.
+_TAG = re.compile(r"""</?([A-Za-z][^\s/>]*+)(?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+)*+(?:>|\Z)""")
+_END = {name: re.compile(rf"(?i)</{name}(?=[\s/>])") for name in HIDDEN}
 _CHARSET = re.compile(r"(?i)content-type:[^\r\n]*charset=[\"']?([\w.:-]+)")
 
 
@@ -47,10 +51,39 @@ def record_id(kind: str, *parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, json.dumps([kind, *parts]))}>"
 
 
+def visible(page: str) -> Iterator[str]:
+    """A page's text between tags, in one pass from left to right: comments, declarations and hidden elements are a blank, tags
+    of breaking elements a line end, other tags nothing. What is never closed runs to the end of the page. A `<` before
+    anything but a letter, a slash, `!` or `?` is text."""
+    at, end = 0, len(page)
+    while at < end:
+        start = page.find("<", at)
+        if start < 0:
+            break
+        yield page[at:start]
+        after = page[start + 1 : start + 2]
+        if tag := _TAG.match(page, start):
+            name, at = tag[1].lower(), tag.end()
+            if name in HIDDEN and after != "/":
+                closed = _END[name].search(page, at)
+                at = closed.start() if closed else end
+                yield " "
+            else:
+                yield "\n" if name in BREAKING else ""
+        elif after in ("!", "?", "/"):
+            comment = page.startswith("<!--", start)
+            closed = page.find("-->", start + 2) if comment else page.find(">", start)
+            at = end if closed < 0 else closed + (3 if comment else 1)
+            yield " "
+        else:
+            yield "<"
+            at = start + 1
+    yield page[at:]
+
+
 def plain_text(page: str) -> str:
     """The text of a page: no scripts, styles, comments or tags; block elements end lines; white space is one blank."""
-    page = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
-    lines = (" ".join(line.split()) for line in html.unescape(page).split("\n"))
+    lines = (" ".join(line.split()) for line in html.unescape("".join(visible(page))).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
@@ -123,16 +156,20 @@ def derive(records: DataFrame) -> DataFrame:
 _CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 
 
-def warc_bytes(kind: str, rid: str | None, uri: str | None, date: str | None, content: str, block: bytes, more: dict[str, str | None]) -> bytes:
-    """A record as it stands in a WARC/1.1 file, compressed as a gzip member of its own. Control characters in a field are
-    percent-encoded, empty fields are left out."""
+def warc_record(kind: str, rid: str | None, uri: str | None, date: str | None, content: str, block: bytes, more: dict[str, str | None]) -> bytes:
+    """A record as it stands in a WARC/1.1 file. Control characters in a field are percent-encoded, empty fields are left out."""
     head = {"WARC-Type": kind, "WARC-Record-ID": rid, "WARC-Target-URI": uri, "WARC-Date": date, "Content-Type": content, "Content-Length": str(len(block)), "WARC-Block-Digest": digest(block)} | more
     lines = "".join(f"{k}: {_CONTROL.sub(lambda m: f'%{ord(m[0]):02X}', v)}\r\n" for k, v in head.items() if v)
+    return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def warc_bytes(kind: str, rid: str | None, uri: str | None, date: str | None, content: str, block: bytes, more: dict[str, str | None]) -> bytes:
+    """A record, compressed as a gzip member of its own."""
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return packer.compress(b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n") + packer.flush()
+    return packer.compress(warc_record(kind, rid, uri, date, content, block, more)) + packer.flush()
 
 
-def as_warc(derived: DataFrame) -> DataFrame:
+def as_warc(derived: DataFrame, make: Callable[..., bytes] = warc_bytes) -> DataFrame:
     """(record_id, member): each derivative as a gzip member; members one after another are a WARC file. What WARC has no
     field for stands in extension fields: the page, the source's digest, and its headers as JSON text."""
 
@@ -144,12 +181,32 @@ def as_warc(derived: DataFrame) -> DataFrame:
                     "WARC-Refers-To": r["refers_to"], "WARC-Refers-To-Target-URI": r["target_uri"], "WARC-Refers-To-Date": r["refers_to_date"],
                     "X-Page-ID": None if r["page_id"] is None else str(r["page_id"]), "X-Source-Digest": r["source_digest"], "X-Source-Headers": json.dumps(r["source_headers"] or ""),
                 }
-                rows.append((r["record_id"], warc_bytes(r["record_type"], r["record_id"], r["target_uri"], r["date"], r["content_type"], r["block"] or b"", more)))
+                rows.append((r["record_id"], make(r["record_type"], r["record_id"], r["target_uri"], r["date"], r["content_type"], r["block"] or b"", more)))
             yield _batch(rows, "record_id string, member binary")
 
     return derived.mapInArrow(run, "record_id string, member binary")
 
 
+def write_warc(derived: DataFrame, path: str) -> int:
+    """Write derivatives as WARC files, part-*.warc.gz, a file a partition, each compressed as a whole; how many files there
+    are. Spark writes them, so path may be in any store that it reaches; what is there already is an error."""
+    spark = derived.sparkSession
+    # A record's last line end is the one that the text writer adds.
+    lines = as_warc(derived, warc_record).select(F.expr("substring(member, 1, length(member) - 1)").cast("string").alias("value"))
+    lines.write.option("compression", "gzip").option("lineSep", "\n").text(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath() for f in fs.listStatus(at) if f.getPath().getName().endswith(".txt.gz")]
+    for name in names:
+        fs.rename(name, spark._jvm.org.apache.hadoop.fs.Path(at, name.getName().removesuffix(".txt.gz") + ".warc.gz"))
+    return len(names)
+
+
+def read_derivatives(spark: SparkSession, path: str) -> DataFrame:
+    """The derivatives in WARC files, as from_warc gives them."""
+    return from_warc(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select(F.col("content").alias("member")))
+
+
 def from_warc(members: DataFrame) -> DataFrame:
     """The derivatives in WARC data (member: a record or several), as derive gives them; block_digest is that of the block
     as read, and intact tells whether it is the one in the record's header."""

@@ -1,5 +1,12 @@
 """Operator 6."""
 
+import html
+import random
+import time
+from html.parser import HTMLParser
+
+import pytest
+
 from terrafold.llm import warc
 
 PAGE = "page_id long, url string, html string, block string, intact string"
@@ -35,3 +42,105 @@ def test_many_members_in_one_file(spark, tmp_path):
     (tmp_path / "empty.warc").write_bytes(b"")
     read = warc.read_responses(spark, str(tmp_path)).collect()
     assert len(read) == 3000 and {r.record_id for r in read} == {f"<urn:{i}>" for i in range(3000)} and all(bytes(r.body) == body for r in read)
+
+
+class Reader(HTMLParser):
+    """What a page says, by the parser of the standard library."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.out, self.hidden = [], None
+
+    def handle_starttag(self, tag, attrs):
+        if self.hidden is None and tag in warc.HIDDEN:
+            self.hidden = tag
+            self.out.append(" ")
+        elif self.hidden is None:
+            self.out.append("\n" if tag in warc.BREAKING else "")
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if self.hidden == tag:
+            self.hidden = None
+        elif self.hidden is None:
+            self.out.append("\n" if tag in warc.BREAKING else "")
+
+    def add(self, data):
+        if self.hidden is None:
+            self.out.append(data)
+
+    handle_data = add
+
+    def handle_comment(self, data):
+        self.add(" ")
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
+    def handle_entityref(self, name):
+        self.add(f"&{name};")
+
+    def handle_charref(self, name):
+        self.add(f"&#{name};")
+
+
+def read(page: str) -> str:
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    lines = [" ".join(x.split()) for x in html.unescape("".join(reader.out)).split("\n")]
+    return "\n".join(x for x in lines if x)
+
+
+def test_pages_equal_another_parser(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect() if r.html]
+    assert len(pages) > 100
+    for page in pages:
+        assert warc.plain_text(page) == read(page)
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<a title="x > y">link</a>', "link"), ("<a title='x > \"y\"'>link</a>", "link"), ("<p title=don't>one</p>two", "one\ntwo"), ("a < b and c <3", "a < b and c <3"), ("x<b", "x"), ("x<a href=\"y>z</a>", "x"),
+    ("<script>if (a < b) '</p>'</script >after", "after"), ("<SCRIPT src=x>one</sCript>two", "two"), ("<style>never closed", ""), ("<!-- a > b -->c<!-->d<!--->e", "c d e"), ("<!-- never", ""), ("<!doctype html>t", "t"), ("<?php x ?>y", "y"), ("</ bogus>z", "z"),
+    ("<scripty>kept</scripty>", "kept"), ("<b>bo</b>ld", "bold"), ("<br/>a<br>b", "a\nb"), ("&lt;p&gt; &amp;amp;", "<p> &amp;"), ("<a b=>c", "c"), ("", ""), ("<", "<"), ("<script></script", ""), ("<template><p>no</p></template>yes", "yes"), ("<a\nhref = 'x>'\n>ok", "ok"),
+])
+def test_small_pages(page, text):
+    assert warc.plain_text(page) == text
+
+
+HOSTILE = ["<p ", "<!doctype ", "<a b=\"", "<a b='", "<!--", "<script>", "<script", "</", "<", "<a =", "<a b=\"c>", "<p>", "&", "&#", "<style></styl", "<?", "< ", "<a b = ", "</script", "<!-- --", "<a\"'"]
+
+
+@pytest.mark.parametrize("part", HOSTILE)
+def test_ten_megabytes_of_anything_are_read_once(part):
+    page = part * (10_000_000 // len(part))
+    began = time.process_time()
+    warc.plain_text(page)
+    short = time.process_time()
+    assert short - began < 20
+    warc.plain_text(page[: len(page) // 4])
+    # A quarter of the page takes about a quarter of the time.
+    assert time.process_time() - short > (short - began) / 12 or short - began < 2
+
+
+def test_any_mixture_ends(monkeypatch):
+    rng = random.Random(6)
+    for _ in range(300):
+        page = "".join(rng.choices([*HOSTILE, "text ", ">", "\"", "'", "-->", "</script>", "\n"], k=60))
+        text = warc.plain_text(page)
+        assert text == warc.plain_text(page) and "\n\n" not in text
+
+
+def test_files_of_derivatives(spark, tmp_path):
+    """What is written are WARC files of their own, read here by hand and by Spark."""
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>caf\u00e9 {i}</p>\n\n" * (i % 5), "-", "-") for i in range(60)] + [(None, None, None, "-", "-")], PAGE).repartition(3)
+    derived = warc.derive(warc.responses(pages))
+    path = str(tmp_path / "out")
+    assert warc.write_warc(derived, path) == len(list((tmp_path / "out").glob("part-*.warc.gz"))) == 3
+    heads = [h for f in (tmp_path / "out").glob("*.warc.gz") for h, block in warc.records_in(f.read_bytes()) if warc.digest(block) == h["warc-block-digest"]]
+    assert len(heads) == 122
+    plain = lambda rows: sorted(repr(tuple(r)[: len(derived.columns)]) for r in rows)
+    assert plain(warc.read_derivatives(spark, path).collect()) == plain(derived.collect())
+    with pytest.raises(Exception, match="exist"):
+        warc.write_warc(derived, path)
