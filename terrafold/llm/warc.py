@@ -38,6 +38,7 @@ BREAKING = frozenset("address article aside blockquote br dd div dl dt footer fo
 #: A tag with its attributes: a quote counts after an equals sign alone, and one that is never closed runs to the end of the
 #: page, as does a tag. Nothing is tried twice, so a page of any shape takes time in proportion to its length.
 _TAG = re.compile(r"""</?([A-Za-z][^\s/>]*+)(?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+)*+(?:>|\Z)""")
+_OPEN = re.compile(r"<(?=[A-Za-z!?/])").search
 _END = {name: re.compile(rf"(?i)</{name}(?=[\s/>])") for name in HIDDEN}
 _CHARSET = re.compile(r"(?i)content-type:[^\r\n]*charset=[\"']?([\w.:-]+)")
 
@@ -56,10 +57,8 @@ def visible(page: str) -> Iterator[str]:
     of breaking elements a line end, other tags nothing. What is never closed runs to the end of the page. A `<` before
     anything but a letter, a slash, `!` or `?` is text."""
     at, end = 0, len(page)
-    while at < end:
-        start = page.find("<", at)
-        if start < 0:
-            break
+    while found := _OPEN(page, at):
+        start = found.start()
         yield page[at:start]
         after = page[start + 1 : start + 2]
         if tag := _TAG.match(page, start):
@@ -70,14 +69,11 @@ def visible(page: str) -> Iterator[str]:
                 yield " "
             else:
                 yield "\n" if name in BREAKING else ""
-        elif after in ("!", "?", "/"):
+        else:
             comment = page.startswith("<!--", start)
             closed = page.find("-->", start + 2) if comment else page.find(">", start)
             at = end if closed < 0 else closed + (3 if comment else 1)
             yield " "
-        else:
-            yield "<"
-            at = start + 1
     yield page[at:]
 
 
