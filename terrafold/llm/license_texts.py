@@ -73,3 +73,20 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-ND-4.0": _commons("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
     "all-rights-reserved": ("All rights reserved.",),
 }
+
+#: Identifiers that tags use for a license here, where they aren't its own name.
+_TAGS = {"GPL-2.0-only": "GPL-2.0", "GPL-3.0-only": "GPL-3.0", "LGPL-2.1-only": "LGPL-2.1", "LGPL-3.0-only": "LGPL-3.0", "AGPL-3.0-only": "AGPL-3.0"}
+#: Names of licenses in sentences.
+_NAMED = {"MIT": "MIT License", "Apache-2.0": "Apache License, Version 2.0", "BSD": "BSD License", "ISC": "ISC License", "Zlib": "zlib License", "MPL-2.0": "Mozilla Public License 2.0", "EPL-2.0": "Eclipse Public License 2.0", "BSL-1.0": "Boost Software License 1.0"}
+_SENTENCES = ("Distributed under the terms of the {0}", "Distributed under the {0}", "Released under the terms of the {0}", "Licensed under the terms of the {0}", "Available under the {0}", "Licensed under the {0}")
+
+
+def _more(name: str) -> tuple[str, ...]:
+    """Tags and sentences that name a license."""
+    tags = [] if name == "all-rights-reserved" else [f"SPDX-License-Identifier: {i}" for i in (name, *(k for k, v in _TAGS.items() if v == name))]
+    sentences = [s.format(_NAMED[name]) for s in _SENTENCES] if name in _NAMED else []
+    own = [t.removeprefix("This work is ") for t in TEMPLATES[name] if t.startswith("This work is licensed under a Creative Commons")]
+    return tuple(x for x in (*tags, *sentences, *own) if x not in TEMPLATES[name])
+
+
+TEMPLATES = {name: (*texts, *_more(name)) for name, texts in TEMPLATES.items()}

@@ -1,16 +1,20 @@
 """Operator 10: license scans by conditional compression.
 
-A block of text that a license template explains compresses far better with the template as dictionary than without.
-Templates are ranked by that reduction, and each is confirmed by the exact words in which the block differs: few, and none
-of them a number, a negation or a word that names a license.
+A block of text that a license template explains compresses far better with the template as dictionary than without. Each
+candidate block is compressed with each template that can be confirmed there, and the templates are ranked by how many
+bytes that saves; the one that saves most is confirmed by the exact words in which the block differs: few, and none of them
+a number, a negation or a word that names a license. What it explains is taken, and no other license that saves less is found
+within. A template that saves nothing is none.
 
 A template of n words may differ in DIFFERENT of them, so of one more piece than that of the template at least one is
-found word for word; candidate blocks lie around the first three words of such pieces. Words are counted across lines and
-without marks, so wrapped notices and those in comments or tables are found.
+found word for word; a template without such a piece in a block can't be confirmed there, so it needs no compressing.
+Candidate blocks lie around the first words of such pieces. Words are counted across lines and without marks, so wrapped
+notices and those in comments or tables are found.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
@@ -33,8 +37,14 @@ NAMES = frozenset(
 )
 #: What every template holds; no confirmed block is without one, as these words never differ.
 ANCHOR = re.compile(r"(?i)licen[sc]e|permission|redistribution|rights|unencumbered")
-#: A notice after one of these, within so many words, is none.
-NEGATIONS, BEFORE = frozenset("not no never neither nor isn aren wasn without cannot".split()), 2
+#: A notice is none after one of these in the same clause, so many characters back at most. Fixed values.
+NEGATIONS = frozenset("not no never none nothing neither nor isn aren wasn weren doesn don without cannot".split())
+BACK = 400
+#: Where a clause ends: at a mark, a blank line, a line that begins with a capital, or before a new subject.
+CLAUSE = re.compile(r"""[.!?;:]["')\]]*\s|\n[^\w\n]*\n|\n\W*(?=[A-Z])|,\s+(?:and|but)\s""")
+#: Taken matches looked at before a new one. One that begins earlier and reaches as far would hold those between, which are
+#: then wordings of its own license.
+NEAR = 32
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 _LICENCE = re.compile(r"licence")
 
@@ -50,41 +60,31 @@ def fixed(word: str) -> bool:
     return word in NAMES or any(map(str.isdigit, word)) or ANCHOR.search(word) is not None
 
 
-def endings(template: list[str], block: list[str]) -> list[tuple[int, int]]:
-    """For each place in the block, from before its first word on: the least number of words to add, drop or change to
-    find the template ending there, and the earliest place where it then starts."""
-    above = [(0, j) for j in range(len(block) + 1)]
-    for i, a in enumerate(template, 1):
-        row = [(i, 0)]
-        for j, b in enumerate(block, 1):
-            (up, up_at), (left, left_at), (both, both_at) = above[j], row[-1], above[j - 1]
-            row.append(min((up + 1, up_at), (left + 1, left_at), (both + (a != b), both_at)))
-        above = row
-    return above
-
-
-def differences(template: list[str], block: list[str]) -> int:
-    """The least number of words to add, drop or change to find the template somewhere in the block."""
-    return min(endings(template, block))[0]
-
-
-def places(template: list[str], block: list[str], most: int) -> list[tuple[int, int, int]]:
-    """(start, end, differences) of every place where the template is found with at most so many differences, and with its
-    fixed words as they are; of neighbouring ends the one with the fewest, the last of equal ones."""
-    out, last, want = [], None, [w for w in template if fixed(w)]
-    if not most:
-        n = len(template)
-        return [(i, i + n, 0) for i in range(len(block) - n + 1) if block[i : i + n] == template]
-    for end, (d, start) in enumerate(endings(template, block)):
-        if d <= most and [w for w in block[start:end] if fixed(w)] == want:
-            if last != end - 1:
-                out.append((start, end, d))
-            elif d <= out[-1][2]:
-                out[-1] = start, end, d
-            last = end
+def bits(words: list[str]) -> dict[str, int]:
+    """The places of each word as bits."""
+    out: dict[str, int] = {}
+    for i, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << i
     return out
 
 
+def distances(masks: Mapping[str, int], n: int, words: list[str], anchored: bool) -> Iterator[int]:
+    """After each word of a text: the least number of words to add, drop or change to make a pattern of n words (as bits) of
+    what ends there; from anywhere on, or, if anchored, from the first word on. A column of the table of distances is two
+    numbers of n bits, so a word costs a few operations whatever n is."""
+    whole, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, score = whole, 0, n
+    for w in words:
+        same = masks.get(w, 0)
+        vertical = same | down
+        across = (((same & up) + up) ^ up) | same
+        more, less = (down | ~(across | up)) & whole, up & across
+        score += 1 if more & top else -1 if less & top else 0
+        more, less = more << 1 | anchored, less << 1
+        up, down = (less | ~(vertical | more)) & whole, more & vertical & whole
+        yield score
+
+
 class Match(NamedTuple):
     """A license found at words start to end (exclusive) of a text, its saving as a share of the block's compressed size, the
     differing words, and these as a share of the template's words."""
@@ -97,32 +97,43 @@ class Match(NamedTuple):
     share: float
 
 
-def outermost(found: list[Match]) -> list[Match]:
-    """The matches that no longer match of another license holds; where two hold the same words, the one that differs
-    least stays."""
-    out: list[Match] = []
-    near: list[Match] = []
-    for m in sorted(set(found), key=lambda m: (m.start, -m.end, m.share, m.name)):
-        near = [o for o in near if o.end > m.start]
-        if not any(o.name != m.name and m.end <= o.end for o in near):
-            out.append(m)
-            near.append(m)
-    return out
-
-
 class Template:
     def __init__(self, name: str, text: str):
         self.name, self.words = name, wording(text)
         n = len(self.words)
-        if n < 3 or not any(ANCHOR.search(w) for w in self.words):
-            raise ValueError(f"a template has three words or more and an anchor: {text}")
-        #: How many words may differ; pieces of a template have three words or more.
-        self.most = min(int(DIFFERENT * n), n // 3 - 1)
+        if n < 2 or not any(ANCHOR.search(w) for w in self.words):
+            raise ValueError(f"a template has two words or more and an anchor: {text}")
+        #: How many words may differ; pieces of a template have three words or more, but for one of two words.
+        self.most = max(0, min(int(DIFFERENT * n), n // 3 - 1))
         size = n // (self.most + 1)
         self.pieces = [(i * size, tuple(self.words[i * size : i * size + 3])) for i in range(self.most + 1)]
+        self.fixed = [w for w in self.words if fixed(w)]
+        self.forward, self.backward = bits(self.words), bits(self.words[::-1])
         raw = zstandard.ZstdCompressionDict(" ".join(self.words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.packer = zstandard.ZstdCompressor(level=19, dict_data=raw, write_content_size=False)
 
+    def places(self, block: list[str]) -> list[tuple[int, int, int]]:
+        """(start, end, differences) of the places where the template is found with few enough differences and with its fixed
+        words as they are: of ends one after another that with the fewest, the last of equal ones, from where it starts
+        earliest."""
+        n, most = len(self.words), self.most
+        near: list[list[tuple[int, int]]] = []
+        for end, d in enumerate(distances(self.forward, n, block, False), 1):
+            if d <= most:
+                if near and near[-1][-1][1] == 1 - end:
+                    near[-1].append((d, -end))
+                else:
+                    near.append([(d, -end)])
+        out = []
+        for run in near:
+            for d, end in sorted(run):
+                back = block[max(0, -end - n - most) : -end][::-1]
+                start = -end - max(i for i, own in enumerate(distances(self.backward, n, back, True), 1) if own == d)
+                if [w for w in block[start:-end] if fixed(w)] == self.fixed:
+                    out.append((start, -end, d))
+                    break
+        return out
+
 
 class Scanner:
     def __init__(self, templates: Mapping[str, tuple[str, ...]] = TEMPLATES):
@@ -132,56 +143,65 @@ class Scanner:
         for t, template in enumerate(self.templates):
             for offset, words in template.pieces:
                 self.at.setdefault(words, []).append((t, offset))
-        self.begins = {words[0] for words in self.at}
-        self.seen: dict[tuple[str, tuple[int, ...]], list[Match]] = {}
-
-    def candidates(self, words: list[str]) -> Iterator[tuple[int, int, tuple[int, ...]]]:
-        """(start, end, templates): the words among which some templates may be found; what overlaps is one block."""
-        found = []
+        self.begins: dict[str, set[int]] = {}
+        for words in self.at:
+            self.begins.setdefault(words[0], set()).add(len(words))
+        self.seen: dict[tuple[str, int], tuple[int, float, list[tuple[int, int, int]]]] = {}
+
+    def candidates(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(start, end, template): blocks of words in which a template may be found. Pieces that tell of about the same place
+        give one block."""
+        last: dict[int, int] = {}
         for i, w in enumerate(words):
-            if w in self.begins:
-                for t, offset in self.at.get(tuple(words[i : i + 3]), ()):
-                    template = self.templates[t]
-                    first = i - offset - template.most
-                    found.append((max(0, first), min(len(words), first + len(template.words) + 2 * template.most), t))
-        found.sort()
-        while found:
-            start, end, n = *found[0][:2], 0
-            while n < len(found) and found[n][0] < end:
-                end, n = max(end, found[n][1]), n + 1
-            yield start, end, tuple(sorted({t for _, _, t in found[:n]}))
-            found = found[n:]
-
-    def reductions(self, block: str, templates: tuple[int, ...]) -> list[tuple[float, int]]:
-        """Some templates by the share of a block's compressed size that it saves when they are given, best first."""
+            for size in self.begins.get(w, ()):
+                for t, offset in self.at.get(tuple(words[i : i + size]), ()):
+                    most, first = self.templates[t].most, i - offset
+                    if t not in last or first - last[t] > most:
+                        last[t] = first
+                        yield max(0, first - 2 * most), min(len(words), first + len(self.templates[t].words) + 4 * most), t
+
+    def reduction(self, block: str, t: int) -> tuple[int, int]:
+        """Bytes that a block takes compressed, and how many of them a template saves."""
         data = block.encode()
         bare = len(self.plain.compress(data))
-        return sorted((((bare - len(self.templates[t].packer.compress(data))) / max(1, bare), t) for t in templates), key=lambda x: (-x[0], x[1]))
+        return bare, bare - len(self.templates[t].packer.compress(data))
 
-    def matches(self, block: str, templates: tuple[int, ...]) -> list[Match]:
-        """All templates that the wording confirms. Compression ranks and scores them but rules none out: among other words
-        a short notice may save nothing."""
-        key = block, templates
+    def weighed(self, block: list[str], t: int) -> tuple[int, float, list[tuple[int, int, int]]]:
+        """The bytes that a template saves of a block, these as a share of the block's, and where the wording confirms it (not
+        asked where nothing is saved)."""
+        key = " ".join(block), t
         if key not in self.seen:
             if len(self.seen) > 20_000:
                 self.seen.clear()
-            own, found = block.split(" "), []
-            for saved, t in self.reductions(block, templates):
-                template = self.templates[t]
-                found += [Match(*at, template.name, saved, d, d / len(template.words)) for *at, d in places(template.words, own, template.most)]
-            if len(block) > 2000:
-                return found
-            self.seen[key] = found
+            bare, saved = self.reduction(*key)
+            self.seen[key] = saved, saved / max(1, bare), self.templates[t].places(block) if saved > 0 else []
         return self.seen[key]
 
     def find(self, text: str) -> list[Match]:
-        """All confirmed licenses of a whole text, but those within a longer notice and those that are negated."""
+        """The licenses of a whole text: of what overlaps those that save most, none within that of another license which saves
+        more, and none that is negated."""
         if ANCHOR.search(text) is None:
             return []
-        words, found = wording(text), []
-        for start, end, templates in self.candidates(words):
-            found += [m._replace(start=start + m.start, end=start + m.end) for m in self.matches(" ".join(words[start:end]), templates)]
-        return [m for m in outermost(found) if not NEGATIONS.intersection(words[max(0, m.start - BEFORE) : m.start])]
+        words, ranked = wording(text), set()
+        for start, end, t in self.candidates(words):
+            saved, share, places = self.weighed(words[start:end], t)
+            name, n = self.templates[t].name, len(self.templates[t].words)
+            ranked.update((-saved, Match(start + a, start + b, name, share, d, d / n)) for a, b, d in places)
+        starts: list[int] = []
+        taken: list[Match] = []
+        for _, m in sorted(ranked, key=lambda x: (x[0], x[1].share, x[1].start, x[1].name)):
+            at = bisect.bisect_right(starts, m.start)
+            if not any(m.name != o.name and m.end <= o.end for o in taken[max(0, at - NEAR) : at]):
+                starts.insert(at, m.start)
+                taken.insert(at, m)
+        begins = [w.start() for w in _WORD.finditer(text)] if taken else []
+        return [m for m in taken if not negated(text, begins[m.start])]
+
+
+def negated(text: str, at: int) -> bool:
+    """Whether a negation comes before a place in its clause; the character there tells whether a line begins with a capital."""
+    clause = CLAUSE.split(text[max(0, at - BACK) : at + 1])[-1]
+    return not NEGATIONS.isdisjoint(_WORD.findall(clause.lower()))
 
 
 _LOADED: dict[tuple, Scanner] = {}

@@ -1,6 +1,7 @@
 """Operator 10 against a search for every wording in every text."""
 
 import random
+import time
 
 import pytest
 
@@ -17,13 +18,52 @@ def names(scanner, text):
     return {m.name for m in scanner.find(text)}
 
 
+def endings(template, block):
+    """The table of distances row by row: for each end the fewest differences and the earliest start."""
+    above = [(0, j) for j in range(len(block) + 1)]
+    for i, a in enumerate(template, 1):
+        row = [(i, 0)]
+        for j, b in enumerate(block, 1):
+            (up, up_at), (left, left_at), (both, both_at) = above[j], row[-1], above[j - 1]
+            row.append(min((up + 1, up_at), (left + 1, left_at), (both + (a != b), both_at)))
+        above = row
+    return above
+
+
 def brute(text):
-    """Each wording sought through the whole text, without candidate blocks."""
-    words, found = licenses.wording(text), []
+    """Each wording sought through the whole text, without candidate blocks, bits or savings: the longest match that holds
+    others is found, and none after a negation."""
+    words, found = licenses.wording(text), set()
     for name, texts in TEMPLATES.items():
         for t in map(lambda x: licenses.Template(name, x), texts):
-            found += [licenses.Match(a, b, name, 0.0, d, d / len(t.words)) for a, b, d in licenses.places(t.words, words, t.most)]
-    return {m.name for m in licenses.outermost(found) if not licenses.NEGATIONS.intersection(words[max(0, m.start - licenses.BEFORE) : m.start])}
+            want = [w for w in t.words if licenses.fixed(w)]
+            found |= {(start, end, name, d / len(t.words)) for end, (d, start) in enumerate(endings(t.words, words)) if d <= t.most and [w for w in words[start:end] if licenses.fixed(w)] == want}
+    outer, begins = [], [w.start() for w in licenses._WORD.finditer(text)]
+    for m in sorted(found, key=lambda m: (m[0], -m[1], m[3], m[2])):
+        if not any(o[2] != m[2] and o[0] <= m[0] and m[1] <= o[1] for o in outer):
+            outer.append(m)
+    return {m[2] for m in outer if not licenses.negated(text, begins[m[0]])}
+
+
+def test_distances_equal_the_plain_table():
+    rng = random.Random(5)
+    for _ in range(300):
+        template, block = (rng.choices("abcd", k=rng.randint(1, n)) for n in (9, 40))
+        forward = licenses.bits(template)
+        assert list(licenses.distances(forward, len(template), block, False)) == [d for d, _ in endings(template, block)[1:]]
+        plain = [len(template)]
+        row = list(range(len(template) + 1))
+        for b in block:
+            row = next_row(row, template, b)
+            plain.append(row[-1])
+        assert list(licenses.distances(forward, len(template), block, True)) == plain[1:]
+
+
+def next_row(row, template, b):
+    out = [row[0] + 1]
+    for i, a in enumerate(template, 1):
+        out.append(min(out[-1] + 1, row[i] + 1, row[i - 1] + (a != b)))
+    return out
 
 
 def test_every_wording_is_found(scanner):
@@ -79,12 +119,45 @@ def test_rows(spark):
     assert licenses.scan(frame.limit(0)).count() == 0
 
 
-def test_what_saves_nothing_is_confirmed_all_the_same(scanner, monkeypatch):
+def test_savings_choose_the_winners(scanner, monkeypatch):
+    """Where nothing is saved nothing is found, and where all save alike what is found is wrong."""
+    every = [(name, text) for name, texts in TEMPLATES.items() for text in texts]
     monkeypatch.setattr(scanner, "seen", {})
-    monkeypatch.setattr(scanner, "reductions", lambda block, templates: [(-0.01, t) for t in templates])
-    assert names(scanner, "x all rights reserved y") == {"all-rights-reserved"}
-
-
-def test_differences():
-    assert licenses.differences("a b c".split(), "x a b c y".split()) == 0
-    assert licenses.differences("a b c".split(), "x a z c y".split()) == 1
+    monkeypatch.setattr(scanner, "reduction", lambda block, t: (100, 0))
+    assert all(names(scanner, text) == set() for _, text in every)
+    scanner.seen.clear()
+    monkeypatch.setattr(scanner, "reduction", lambda block, t: (100, 50))
+    assert any(names(scanner, text) != {name} for name, text in every)
+    # The larger saving wins, whichever it is.
+    text = TEMPLATES["GPL-3.0-or-later"][0]
+    of = {t: x.name for t, x in enumerate(scanner.templates)}
+    for winner in ("GPL-3.0-or-later", "nothing"):
+        scanner.seen.clear()
+        monkeypatch.setattr(scanner, "reduction", lambda block, t, winner=winner: (100, 50 if of[t] == winner else 0))
+        assert names(scanner, text) == {winner} - {"nothing"}
+
+
+@pytest.mark.parametrize("text, want", [
+    ("This is not a work that is licensed under the GNU General Public License, version 3", set()), ("None of these files is licensed under the MIT License.", set()), ("It doesn't come\nlicensed under the MIT License.", set()),
+    ("SPDX-License-Identifier: MIT", {"MIT"}), ("/* SPDX-License-Identifier: GPL-3.0-only */", {"GPL-3.0"}), ("SPDX-License-Identifier: GPL-2.0-or-later", {"GPL-2.0-or-later"}), ("SPDX-License-Identifier: Unknown-1.0", set()),
+    ("Distributed under the terms of the MIT license.", {"MIT"}), ("licensed under a Creative Commons Attribution 4.0 International License", {"CC-BY-4.0"}), ("Available under the ISC licence", {"ISC"}),
+    ("No warranty.\nLicensed under the MIT License.", {"MIT"}), ("There is no warranty, and it is licensed under the MIT License.", {"MIT"}), ("It is not ours.\n\nreleased under the MIT License", {"MIT"}), ("Without doubt: licensed under the MIT License.", {"MIT"}),
+])
+def test_tags_sentences_and_clauses(scanner, text, want):
+    assert names(scanner, text) == want == brute(text)
+
+
+def test_a_megabyte_of_notices():
+    rng, out = random.Random(1), []
+    for k in range(950):
+        words = TEMPLATES["MIT"][3].split()
+        words[[i for i, w in enumerate(words) if not licenses.fixed(w.strip(".,()\"").lower())][rng.randrange(60)]] = f"other{chr(97 + k % 26)}"
+        out.append(" ".join(words))
+    text, scanner = "\n".join(out), licenses.Scanner()
+    assert len(text) > 900_000
+    began = time.process_time()
+    found = scanner.find(text)
+    assert time.process_time() - began < 10
+    whole = [m for m in found if m.end - m.start > 100]
+    assert {m.name for m in found} == {"MIT"} and len(whole) == 950 and {m.differing for m in whole} <= {1, 2}
+    assert all(a.end <= b.start for a, b in zip(whole, whole[1:], strict=False))
