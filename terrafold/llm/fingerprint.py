@@ -31,7 +31,7 @@ _LOW, _LINE = np.uint64((1 << ENDING_BITS) - 1), np.uint64(xxhash.xxh3_64_intdig
 
 
 def digests(texts: list[str]) -> list[np.ndarray]:
-    """Of each text the digests of its paragraphs (lines; longer ones in pieces that end where their own words say so).
+    """Of each text the digests of its paragraphs: lines in pieces of about four words that end where their own words say so.
 
     Repeated paragraphs differ by how often they came before, so the digests are a set that stands for a multiset.
     """

@@ -26,7 +26,7 @@ from .bpe import chunks_of
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
-#: A shard is closed when it holds so many ids; a longer document is a shard of its own.
+#: A shard is closed when it holds so many ids; a document isn't divided, so one of more ids makes its shard longer.
 SHARD = 1_000_000
 #: A pair is replaced while it occurs so often without overlap. A rule takes three numbers (two symbols and a length), so
 #: one for a rarer pair would take at least as much as it saves.
