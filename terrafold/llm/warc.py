@@ -7,7 +7,6 @@ alike in all they hold are one record and share an id; any difference in payload
 
 from __future__ import annotations
 
-import base64
 import gzip
 import hashlib
 import html
@@ -40,11 +39,15 @@ BREAKING = frozenset("address article aside blockquote br dd div dl dt footer fo
 _TAG = re.compile(r"""</?([A-Za-z][^\s/>]*+)(?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+)*+(?:>|\Z)""")
 _OPEN = re.compile(r"<(?=[A-Za-z!?/])").search
 _END = {name: re.compile(rf"(?i)</{name}(?=[\s/>])") for name in HIDDEN}
+_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_PAIRS = [a + b for a in _DIGITS for b in _DIGITS]
 _CHARSET = re.compile(r"(?i)content-type:[^\r\n]*charset=[\"']?([\w.:-]+)")
 
 
 def digest(data: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    """SHA-1 in base 32, two digits at a time."""
+    n = int.from_bytes(hashlib.sha1(data).digest())
+    return "sha1:" + "".join([_PAIRS[n >> k & 1023] for k in range(150, -1, -10)])
 
 
 def record_id(kind: str, *parts: object) -> str:
@@ -52,29 +55,39 @@ def record_id(kind: str, *parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, json.dumps([kind, *parts]))}>"
 
 
-def visible(page: str) -> Iterator[str]:
+class Instead(dict):
+    """What stands for the tags of a name, as it is written: a line end, nothing, or None for a hidden element."""
+
+    def __missing__(self, name: str) -> str | None:
+        own = name.lower()
+        self[name] = found = None if own in HIDDEN else "\n" if own in BREAKING else ""
+        return found
+
+
+def visible(page: str) -> list[str]:
     """A page's text between tags, in one pass from left to right: comments, declarations and hidden elements are a blank, tags
     of breaking elements a line end, other tags nothing. What is never closed runs to the end of the page. A `<` before
     anything but a letter, a slash, `!` or `?` is text."""
-    at, end = 0, len(page)
+    at, end, out, instead = 0, len(page), [], Instead()
+    add, tag_at = out.append, _TAG.match
     while found := _OPEN(page, at):
         start = found.start()
-        yield page[at:start]
-        after = page[start + 1 : start + 2]
-        if tag := _TAG.match(page, start):
-            name, at = tag[1].lower(), tag.end()
-            if name in HIDDEN and after != "/":
-                closed = _END[name].search(page, at)
-                at = closed.start() if closed else end
-                yield " "
-            else:
-                yield "\n" if name in BREAKING else ""
+        add(page[at:start])
+        if tag := tag_at(page, start):
+            at, put = tag.end(), instead[tag[1]]
+            if put is None:
+                put = " " if page[start + 1] != "/" else ""
+                if put:
+                    closed = _END[tag[1].lower()].search(page, at)
+                    at = closed.start() if closed else end
+            add(put)
         else:
             comment = page.startswith("<!--", start)
             closed = page.find("-->", start + 2) if comment else page.find(">", start)
             at = end if closed < 0 else closed + (3 if comment else 1)
-            yield " "
-    yield page[at:]
+            add(" ")
+    add(page[at:])
+    return out
 
 
 def plain_text(page: str) -> str:
