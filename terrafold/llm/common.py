@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import new_path, shared_dir
+from ..storage import new_path, removed, shared_dir
 
 #: One word of a text, as the contracts of the queries define it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,14 +23,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again."""
+def written(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read again; its path is noted in made."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleared(spark: SparkSession, made: list[str]) -> None:
+    """Remove what written noted; nothing may read it any more."""
+    for path in made:
+        removed(spark, path)
+    made.clear()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, so that added columns never clash with the caller's."""
     taken = {c.lower() for c in df.columns}

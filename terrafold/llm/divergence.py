@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import matches, tidied, written
+from .common import cleared, matches, small_batches, tidied, written
 
 #: What is between terms; A-Z are lower-cased before. The bytes of a character beyond ASCII are all above 0x7F.
 TERM = rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -72,6 +72,7 @@ def partial_counts(docs: DataFrame) -> DataFrame:
             same = lambda x, k=len(own): pa.DictionaryArray.from_arrays(pa.array(np.zeros(k, np.int32)), pa.array([x], pa.string())).cast(pa.string())
             yield pa.record_batch({"lang": same(lang), "source": same(source), "term": terms, "n": pa.array(packed & (_DOC - 1)), "docs": pa.array(packed >> 40)})
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
     return rows.mapInArrow(tidied(run), "lang string, source string, term string, n long, docs long")
 
@@ -87,10 +88,11 @@ def counts(docs: DataFrame, least_docs: int, smoothing: int, scale: int) -> tupl
     """groups (lang, source, place, p0, terms) and postings (lang, source, place, term, n, p, p0, q): p is what the group
     gives the term, q what its language gives, p0 what the group gives a term that it hasn't. The kept terms are written
     before they are joined, so Spark knows their size: few are broadcast, many are joined by a shuffle."""
-    partial = written(partial_counts(docs), "terms")
+    made: list[str] = []
+    partial = written(partial_counts(docs), "terms", made)
     total = partial.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("n").alias("in_lang"), F.sum("docs").alias("docs"))
-    kept = written(total.where(F.col("docs") >= least_docs).drop("docs"), "kept-terms")
-    found = written(partial.join(kept, ["lang", "term"]).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.first("in_lang").alias("in_lang")), "postings")
+    kept = written(total.where(F.col("docs") >= least_docs).drop("docs"), "kept-terms", made)
+    found = written(partial.join(kept, ["lang", "term"]).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.first("in_lang").alias("in_lang")), "postings", made)
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("in_lang").alias("of_lang"))
     own = found.groupBy("lang", "source").agg(F.sum("n").alias("of_group"))
     none = lambda *names: {c: F.coalesce(c, F.lit(0)).cast("long") for c in names}
@@ -101,7 +103,9 @@ def counts(docs: DataFrame, least_docs: int, smoothing: int, scale: int) -> tupl
     p = probability(F.col("n"), F.col("of_group"), F.col("terms"), smoothing, scale)
     q = probability(F.col("in_lang"), F.col("of_lang"), F.col("terms"), smoothing, scale)
     postings = found.join(groups, ["lang", "source"]).select("lang", "source", "place", "term", "n", p.alias("p"), "p0", q.alias("q"))
-    return groups.select("lang", "source", "place", "p0", "terms"), written(postings, "placed-postings")
+    postings = written(postings, "placed-postings")
+    cleared(docs.sparkSession, made)
+    return groups.select("lang", "source", "place", "p0", "terms"), postings
 
 
 def standing_out(postings: DataFrame, top: int) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import matches, ranked, release, tidied, written
+from .common import cleared, matches, ranked, release, small_batches, tidied, written
 
 WORD = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -133,6 +133,7 @@ def blocks(docs: DataFrame, target: DataFrame, longest: int, size: int = BLOCK)
         if own:
             yield from own.rows(longest)
 
+    small_batches(docs.sparkSession)
     of = lambda side, doc_id, df: df.select(F.lit(side).alias("side"), doc_id.cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return of(0, F.col("doc_id"), docs).union(of(1, F.lit(None), target)).mapInArrow(tidied(run), BLOCKS)
 
@@ -204,13 +205,14 @@ def resample(
     are ordered by doc_id (null first), then by n_features and weight; repeated rows take ranks one after another. An empty target has no
     features; an empty table of documents gives an empty one. Extra columns are left out. Texts are read whole, in parts.
     """
-    rows = written(blocks(docs, target, longest), "blocks")
-    words = written(numbered(rows.where("word IS NOT NULL").select("block", "local", "side", "n", "word"), buckets), "numbered")
+    made: list[str] = []
+    rows = written(blocks(docs, target, longest), "blocks", made)
+    words = written(numbered(rows.where("word IS NOT NULL").select("block", "local", "side", "n", "word"), buckets), "numbered", made)
     features = words.select("block", "local", "side", "n", "bucket")
     if longest > 1:
         features = features.unionByName(longer_runs(rows.where("run IS NOT NULL").select("block", "local", "side", "n", "run"), words, buckets))
-        features = written(features, "features")
-    of_bucket = written(gains(features, buckets), "gains")
+        features = written(features, "features", made)
+    of_bucket = written(gains(features, buckets), "gains", made)
     back = features.where("side = 0").join(F.broadcast(of_bucket), "bucket").select("block", "local", F.col("gain").cast("int").alias("gain"))
 
     def weigh(doc: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
@@ -226,6 +228,7 @@ def resample(
     held = rows.where("counts IS NOT NULL").select("block", "doc_id", "n_words", "n_features", "counts")
     weighed = held.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(weigh, "doc_id long, n_words long, n_features long, weight long")
     scored = written(weighed.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)), "scored")
+    cleared(docs.sparkSession, made)
     able = scored.where(F.col("n_words") >= least_words)
     drawn = percent * able.count() // 100
     order = [F.col("score").desc(), F.col("doc_id").asc(), F.col("n_features").asc(), F.col("weight").asc()]
