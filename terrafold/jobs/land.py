@@ -236,10 +236,10 @@ def clip_to_regions(spark, sf_dir):
 
 @query(f"""WITH {PART}, c AS (SELECT row_, col_, col_ + 0.5 AS x, row_ + 0.5 AS y, {HEIGHT} AS h FROM px)
 SELECT row_ AS "row", col_ AS col, CAST(r_regionkey AS INTEGER) AS region_id FROM c JOIN region ON
-y < h AND x < 40 - r_regionkey AND (x > 30 OR y < 0.25 * h OR y > 0.5 * h) AND x > r_regionkey
-AND NOT (x > 5 AND x < 20 AND y > 0.0625 * h AND y < 0.1875 * h) OR y > 0.625 * h AND y < 0.875 * h AND x > 40 - r_regionkey AND x < 41""")
+y < h AND x >= r_regionkey AND x < 40 - r_regionkey AND (x >= 30 OR y < 0.25 * h OR y >= 0.5 * h)
+AND NOT (x >= 5 AND x < 20 AND y >= 0.0625 * h AND y < 0.1875 * h) OR y >= 0.625 * h AND y < 0.875 * h AND x >= 40 - r_regionkey AND x < 41""")
 def clip_with_holes(spark, sf_dir):
-    """Regions with a bay from the left, a hole and an exclave."""
+    """Regions with a bay from the left, a hole and an exclave; a centre on an upper or a left edge is inside, one on the others not."""
     k, w, none, h = F.col("r_regionkey") * 1.0, 40.0 - F.col("r_regionkey"), F.lit(0.0), F.col("h")
     at = lambda x: F.lit(float(x))
     outer = F.array(corner(k, none), corner(w, none), corner(w, h), corner(k, h), corner(k, 0.5 * h), corner(at(30), 0.5 * h), corner(at(30), 0.25 * h), corner(k, 0.25 * h))
