@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cleared, matches, small_batches, tidied, written
+from .common import cleared, matches, tidied, written
+from .similarity import asked_for
 
 #: What is between terms; A-Z are lower-cased before. The bytes of a character beyond ASCII are all above 0x7F.
 TERM = rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -72,7 +73,6 @@ def partial_counts(docs: DataFrame) -> DataFrame:
             same = lambda x, k=len(own): pa.DictionaryArray.from_arrays(pa.array(np.zeros(k, np.int32)), pa.array([x], pa.string())).cast(pa.string())
             yield pa.record_batch({"lang": same(lang), "source": same(source), "term": terms, "n": pa.array(packed & (_DOC - 1)), "docs": pa.array(packed >> 40)})
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
     return rows.mapInArrow(tidied(run), "lang string, source string, term string, n long, docs long")
 
@@ -92,7 +92,10 @@ def counts(docs: DataFrame, least_docs: int, smoothing: int, scale: int) -> tupl
     partial = written(partial_counts(docs), "terms", made)
     total = partial.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("n").alias("in_lang"), F.sum("docs").alias("docs"))
     kept = written(total.where(F.col("docs") >= least_docs).drop("docs"), "kept-terms", made)
-    found = written(partial.join(kept, ["lang", "term"]).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.first("in_lang").alias("in_lang")), "postings", made)
+    # Most counts are of terms that aren't kept; all but a few of these end before the join's shuffle.
+    key = F.xxhash64("lang", "term")
+    near = asked_for(partial.where("term IS NOT NULL"), key, kept.select(key.alias("key")))
+    found = written(near.join(kept, ["lang", "term"]).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.first("in_lang").alias("in_lang")), "postings", made)
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("in_lang").alias("of_lang"))
     own = found.groupBy("lang", "source").agg(F.sum("n").alias("of_group"))
     none = lambda *names: {c: F.coalesce(c, F.lit(0)).cast("long") for c in names}
