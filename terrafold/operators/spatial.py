@@ -13,6 +13,8 @@ DEPTH = 12
 #: A cell is cut in four while it holds more than this, and more than so small a share of all points and boxes. The share
 #: bounds the number of leaves: 4 * DEPTH * LEAVES at most.
 LEAST, LEAVES = 256, 1024
+#: A leaf is dealt out in parts of so much, so that a task's work doesn't grow with the table.
+HEAVY = 1 << 20
 
 
 def _spread(c: Column) -> Column:
@@ -46,7 +48,7 @@ def quadtree(cells: DataFrame, least: int = LEAST) -> pd.DataFrame:
     small = counted.where((F.col("n") <= limit) | (F.col("level") == DEPTH)).withColumn("parent", F.shiftright("node", 2))
     leaves = small.join(parent, ["level", "parent"], "left_semi").unionByName(small.where("level = 0"))
     out = leaves.select(F.call_function("shiftleft", F.col("node"), 2 * (DEPTH - F.col("level"))).alias("first"), "level", "n").toPandas()
-    out["parts"] = np.maximum(1, -(-out["n"] // limit)).astype(int)
+    out["parts"] = np.maximum(1, -(-out["n"] // min(limit, HEAVY))).astype(int)
     return out.sort_values("first", ignore_index=True)
 
 
@@ -68,8 +70,8 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, least: int = LEAST) ->
     """Columns of points (with x, y) and of boxes (with minx, maxx, miny, maxy) for every point in a box, edges included.
 
     Points and the centres of boxes are counted in fine cells, and a quadtree splits where they are dense, so each side goes
-    to leaves of about equal weight, a box to all that it touches. A finest cell that is still too heavy, as where a third
-    of all points are in one place, is dealt out: its points by their hash, its boxes to each part. The exact test follows.
+    to leaves of about equal weight, a box to all that it touches. A leaf that is still too heavy, as where a third of all
+    points are in one place or where the table is large, is dealt out: its points by their hash, its boxes to each part. The exact test follows.
     Points without x or y, and boxes without an edge, meet nothing. Names of points that boxes have too are an error.
     """
     clash = {c.lower() for c in points.columns} & {c.lower() for c in boxes.columns}

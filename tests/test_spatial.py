@@ -59,6 +59,18 @@ def test_leaves_cover_each_cell_once(spark):
     assert ((x2 - x1 + 1) ** 2 == size).all() and ((y2 - y1) == (x2 - x1)).all()
 
 
+def test_leaves_of_large_tables_are_dealt_out(spark, monkeypatch):
+    """However much a leaf may hold, a part holds HEAVY at most."""
+    monkeypatch.setattr(spatial, "HEAVY", 40)
+    leaves = quadtree(spark.createDataFrame([(i * 7919 % 4**DEPTH, 9) for i in range(500)], "z long, n long"), 1000)
+    assert (leaves["n"] > 40).any() and (leaves["parts"] == -(-leaves["n"] // 40)).all()
+    rng = random.Random(2)
+    points, boxes = points_of(rng, 300), boxes_of(rng)
+    got = points_in_boxes(spark.createDataFrame(points, "point_id int, x double, y double"), spark.createDataFrame(boxes, BOXES), 10_000)
+    want = [(i, n) for i, x, y in points for n, a, b, c, d in boxes if None not in (x, y, a, b, c, d) and a <= x <= b and c <= y <= d]
+    assert sorted((r["point_id"], r["name"]) for r in got.collect()) == sorted(want)
+
+
 def test_cells_follow_z_order(spark):
     rows = [(i, j, (i + 0.5) / 2**DEPTH, (j + 0.5) / 2**DEPTH) for i, j in ((0, 0), (1, 0), (0, 1), (5, 9), (2**DEPTH - 1, 2**DEPTH - 1))]
     df = spark.createDataFrame(rows, "i int, j int, x double, y double")
