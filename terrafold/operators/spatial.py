@@ -86,7 +86,10 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, least: int = LEAST) ->
     near = points.where(F.col("x").between(box[0], box[1]) & F.col("y").between(box[2], box[3]))
     centres = boxes.select(((F.col("minx") + F.col("maxx")) / 2).alias("x"), ((F.col("miny") + F.col("maxy")) / 2).alias("y"))
     z = z_cell(F.col("x"), F.col("y"), box).alias("z")
-    leaves = quadtree(near.select(z).unionByName(centres.select(z)).groupBy("z").agg(F.count("*").alias("n")), least)
+    # Counts of finest cells, bounded by their number, are asked twice.
+    cells = near.select(z).unionByName(centres.select(z)).groupBy("z").agg(F.count("*").alias("n")).persist()
+    leaves = quadtree(cells, least)
+    cells.unpersist()
     shared = points.sparkSession.sparkContext.broadcast((leaves["first"].to_numpy(np.int64), leaves["parts"].to_numpy(np.int32), leaf_boxes(leaves)))
 
     @F.pandas_udf("struct<leaf: int, parts: int>")
