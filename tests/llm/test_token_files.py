@@ -33,6 +33,44 @@ def test_ids_are_those_of_the_library(encoder, library):
         assert encoder.encode(text) == ids_of(library, text), text
 
 
+def test_texts_encoded_together_have_the_ids_of_the_library(library, monkeypatch):
+    rng = random.Random(3)
+    some = ["word", "don't", "'s", "it's,", "x1.", "2nd", "(a)", "é,", "für", "…,", "ab\ncd", "e.\nF", "\tq", "r\n\ns", "\x85", "u\xa0v", "漢字。", "🙂", "a_b", "\0", "ab\0", "z" * 70, "y" * 69 + "x", "<|", ".\n"]
+    texts = [rng.choice(["", "", " ", "\n"]) + rng.choice("  \n").join(rng.choices(some, k=rng.randint(0, 60))) for _ in range(600)]
+    texts = [t.replace("  ", " ") if rng.random() < 0.8 else t for t in texts]
+    texts += ["", " ", "\n", "a\n ", "a ", "<|endoftext|>b", "x" * 3000, " ".join("".join(rng.choices("abcdef", k=6)) for _ in range(3000))]
+    want = [ids_of(library, t) for t in texts]
+    with open(repair.TOKENIZER) as f:
+        definition = f.read()
+    # Few slots, and hashes that tell chunks of one length apart no more; parts of texts; little that is held; no wall.
+    for changed in ({}, {"_VALUES": np.ones_like(repair._VALUES), "SLOTS": 8}, {"PART": 50, "TOGETHER": 3}, {"PART": 500, "HELD": 20}, {"PART": 500, "HELD_BYTES": 900}, {"wall": None}):
+        with monkeypatch.context() as m:
+            for name in changed.keys() - {"wall"}:
+                m.setattr(repair, name, changed[name])
+            own = repair.Encoder(definition)
+            assert own.wall
+            if "wall" in changed:
+                own.wall = None
+            for _ in range(2):
+                assert list(own.encode_all(texts)) == want, changed
+            assert len(own.known.n) <= repair.HELD and len(own.known.data) + 4 * len(own.known.ids) <= repair.HELD_BYTES, changed
+
+
+def test_new_words_go_to_the_model_together_and_known_ones_hardly_again():
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(5000))
+    with open(repair.TOKENIZER) as f:
+        own = repair.Encoder(f.read())
+    calls, merge = [], own.merge
+    own.merge = lambda x: calls.append(x) or merge(x)
+    list(own.encode_all([text]))
+    assert len(calls) <= 5000 / repair.TOGETHER + 1
+    calls.clear()
+    list(own.encode_all([text]))
+    # Words that share a slot.
+    assert sum(x.count("\u0120") for x in calls) < 50
+
+
 def test_doubly_spaced_texts_are_cut_and_what_is_remembered_is_bounded(encoder, library, monkeypatch):
     rng = random.Random(1)
     texts = ["  ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(300)) + ".  " + "x" * 5000 for _ in range(20)]
